@@ -70,4 +70,8 @@ def screen(
         tests.append((ENCODED, ENCODED_SCREEN, False))
     if rewrite:
         tests.append((REWRITE, REWRITE_SCREEN, False))
-    return F.coalesce(_flags(tests)(text), F.lit(0)) if tests else F.lit(0)
+    if not tests:
+        return F.lit(0)
+    # Declared non-deterministic so that no filter above is moved below it and the call is not
+    # repeated: the point of the screen is that costlier predicates run after it.
+    return F.coalesce(_flags(tests).asNondeterministic()(text), F.lit(0))

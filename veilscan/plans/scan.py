@@ -1,16 +1,21 @@
-"""The scan: a table of lines or files in, a table of findings out."""
+"""The scan: a table of lines, texts or files in, a table of findings out."""
 
 from __future__ import annotations
 
 from collections.abc import Iterable
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from veilscan.functions.directives import DEFAULT_TAG
+from veilscan.functions.sizes import DEFAULT_MAX_FILE_SIZE
 from veilscan.operators.lines import to_lines
 from veilscan.operators.match import match_segments
 from veilscan.operators.segments import DEFAULT_DECODE_DEPTH, to_segments
+from veilscan.operators.structured import structured_lines
 from veilscan.rules import RuleSet, effective_rules
+from veilscan.sources.files import decode_bytes, expand_archives, read_files
+from veilscan.sources.history import history_lines
 
 
 def scan_lines(
@@ -24,8 +29,6 @@ def scan_lines(
 
     ``extra`` names further columns of ``lines`` to carry into the findings.
     """
-    from pyspark.sql import functions as F
-
     rules = (rules or effective_rules()).at_least(min_severity)
     if "prev_text" not in lines.columns:
         lines = lines.withColumn("prev_text", F.lit(None).cast("string"))
@@ -39,9 +42,65 @@ def scan_lines(
 
 
 def scan_texts(
-    files: DataFrame, rules: RuleSet | None = None, *, merge_lines: bool = False, **options
+    files: DataFrame, rules: RuleSet | None = None, *, merge_lines: bool = False,
+    structured: bool = False, **options,
 ) -> DataFrame:
-    """Findings of a table ``(path, content)``."""
-    extra = list(options.get("extra", ()))
-    lines = to_lines(files.select("path", "content", *extra), "content", merge_lines)
-    return scan_lines(lines, rules, **options)
+    """Findings of a table ``(path, content)``.
+
+    ``merge_lines`` joins spliced source lines (leave it off for prose, where apostrophes look
+    like open quotes).  ``structured`` reads JSON and dotenv files by their entries; findings then
+    carry ``leaf_path``.
+    """
+    extra = list(options.pop("extra", ()))
+    files = files.select("path", "content", *extra)
+    if not structured:
+        return scan_lines(
+            to_lines(files, "content", merge_lines), rules, extra=extra, **options)
+    return scan_lines(
+        file_lines(files, merge_lines), rules, extra=[*extra, "leaf_path"], **options)
+
+
+def file_lines(files: DataFrame, merge_lines: bool = True) -> DataFrame:
+    """Lines of files; JSON and dotenv files give synthetic lines instead of their raw ones."""
+    keep = [c for c in files.columns if c != "content"]
+    df = structured_lines(files)
+    is_structured = F.col("rows").isNotNull()
+    raw = to_lines(
+        df.where(~is_structured).drop("rows"), "content", merge_lines
+    ).withColumn("leaf_path", F.lit(None).cast("string"))
+    leaves = df.where(is_structured).select(*keep, F.explode("rows").alias("_row")).select(
+        *keep, "_row.line", "_row.text", F.lit(None).cast("string").alias("prev_text"),
+        "_row.leaf_path")
+    return raw.unionByName(leaves)
+
+
+def scan_files(
+    spark: SparkSession, path: str, rules: RuleSet | None = None, *,
+    ignore: Iterable[str] = (), scan_all_extensions: bool = False,
+    max_file_size: str | int = DEFAULT_MAX_FILE_SIZE, merge_lines: bool = True, **options,
+) -> DataFrame:
+    """Findings of a directory tree or a single file."""
+    files = read_files(
+        spark, path, ignore=ignore, scan_all_extensions=scan_all_extensions,
+        max_file_size=max_file_size).where("status = 'scanned'")
+    texts = expand_archives(files).select("path", decode_bytes(F.col("content")).alias("content"))
+    return scan_texts(texts, rules, merge_lines=merge_lines, structured=True, **options)
+
+
+def scan_history(
+    blocks: DataFrame, rules: RuleSet | None = None, *, marker: str | None = None,
+    max_commits: int | None = None, ignore: Iterable[str] = (), only_file: str | None = None,
+    max_diff_bytes: str | int = DEFAULT_MAX_FILE_SIZE, **options,
+) -> DataFrame:
+    """Findings in the added lines of a commit log, tagged with their commit.
+
+    Each added line stands alone: there is no previous line, no merging, and columns count from
+    the start of a cut.
+    """
+    named = {} if marker is None else {"marker": marker}
+    lines = history_lines(
+        blocks, max_commits=max_commits, ignore=list(ignore), only_file=only_file,
+        max_diff_bytes=max_diff_bytes, **named)
+    return scan_lines(
+        lines, rules, extra=["commit", "commit_author", "commit_date"], shift_columns=False,
+        **options)
