@@ -20,20 +20,31 @@ def split_lines(content: Column) -> Column:
     return F.split(content, LINE_BREAK, -1)
 
 
+def line_rows(
+    files: DataFrame, content: str = "content", merge: bool = False, needed: Column | None = None
+) -> DataFrame:
+    """Add ``rows``: ``array<struct<line, text, prev_text>>``, null where ``needed`` is false."""
+    text = F.col(content) if needed is None else F.when(needed, F.col(content))
+    df = files.withColumn("_lines", split_lines(text))
+    if merge:
+        return _merged_rows(df)
+    none = F.array(F.lit(None).cast("string"))
+    previous = F.concat(none, F.slice("_lines", F.lit(1), F.size("_lines") - 1))
+    number = F.sequence(F.lit(1), F.size("_lines"))
+    rows = F.arrays_zip(
+        number.alias("line"), F.col("_lines").alias("text"), previous.alias("prev_text"))
+    return df.withColumn("rows", F.when(F.col("_lines").isNotNull(), rows)).drop("_lines")
+
+
 def to_lines(files: DataFrame, content: str = "content", merge: bool = False) -> DataFrame:
     """One row per line: ``line`` (from 1), ``text`` and ``prev_text``; other columns are kept.
 
     The previous line is taken from the array of lines, so no shuffle is needed.
     """
     keep = [c for c in files.columns if c != content]
-    df = files.withColumn("_lines", split_lines(F.col(content)))
-    if merge:
-        return _merged_lines(df, keep)
-    none = F.array(F.lit(None).cast("string"))
-    previous = F.concat(none, F.slice("_lines", F.lit(1), F.size("_lines") - 1))
-    zipped = F.arrays_zip(F.col("_lines").alias("text"), previous.alias("prev_text"))
-    return df.select(*keep, F.posexplode(zipped).alias("_pos", "_row")).select(
-        *keep, (F.col("_pos") + 1).alias("line"), "_row.text", "_row.prev_text")
+    df = line_rows(files, content, merge)
+    return df.select(*keep, F.explode("rows").alias("_row")).select(
+        *keep, "_row.line", "_row.text", "_row.prev_text")
 
 
 def _odd_quotes(line: Column) -> Column:
@@ -45,7 +56,7 @@ def _has_quote(line: Column) -> Column:
     return any_of(line.contains(q) for q in QUOTES)
 
 
-def _merged_lines(df: DataFrame, keep: list[str]) -> DataFrame:
+def _merged_rows(df: DataFrame) -> DataFrame:
     """Lines with an open quote or a trailing ``+`` or ``\\`` take in the next one or two lines.
 
     Which lines open a merge depends on their neighbours only; which of them are reached depends on
@@ -82,18 +93,23 @@ def _merged_lines(df: DataFrame, keep: list[str]) -> DataFrame:
         items, start, step,
         lambda s: F.flatten(F.concat(s["blocks"], F.array(s["block"]))))
     untouched = F.sequence(F.lit(0), n - 1)
-    df = df.withColumn(
-        "_at", F.explode(F.when(F.exists("_taken", lambda t: t > 0), folded).otherwise(untouched)))
-    at, took = F.col("_at"), F.get(F.col("_taken"), F.col("_at"))
-
-    def joined(count):
-        tail = [js_trim(F.get(lines, at + k)) for k in range(1, count + 1)]
-        return F.concat(js_trim_end(F.get(lines, at)), *tail)
-
-    text = F.when(took == 2, joined(2)).when(took == 1, joined(1)).otherwise(F.get(lines, at))
-    return df.select(
-        *keep, (at + took + 1).alias("line"), text.alias("text"),
-        F.get(lines, at - 1).alias("prev_text"))
+    reached = F.when(F.exists("_taken", lambda t: t > 0), folded).otherwise(untouched)
+
+    def row(at):
+        took = F.get(F.col("_taken"), at)
+
+        def joined(count):
+            tail = [js_trim(F.get(lines, at + k)) for k in range(1, count + 1)]
+            return F.concat(js_trim_end(F.get(lines, at)), *tail)
+
+        text = F.when(took == 2, joined(2)).when(took == 1, joined(1)).otherwise(
+            F.get(lines, at))
+        return F.struct(
+            (at + took + 1).alias("line"), text.alias("text"),
+            F.get(lines, at - 1).alias("prev_text"))
+
+    rows = F.when(F.col("_lines").isNotNull(), F.transform(reached, row))
+    return df.withColumn("rows", rows).drop("_lines", "_taken")
 
 
 def cut_long_lines(lines: DataFrame, shift_columns: bool = True) -> DataFrame:

@@ -11,8 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.functions.paths import suffix
-from veilscan.functions.text import js_trim
+from veilscan.functions.paths import any_of, suffix
+from veilscan.functions.text import js_trim, let
 from veilscan.operators.lines import split_lines
 
 # Fixed value: longer files are scanned line by line.
@@ -97,7 +97,8 @@ def json_leaves(df: DataFrame, column: str, out: str = "leaves", when: Column |
         df = df.withColumn("_frontier", containers)
         levels.append(f"_leaves{level}")
     deep = F.size("_frontier") > 0
-    df = df.withColumn("_deep", _deep_leaves(F.when(deep, F.col(column))))
+    # Declared non-deterministic: the optimizer must not copy the call into other expressions.
+    df = df.withColumn("_deep", _deep_leaves.asNondeterministic()(F.when(deep, F.col(column))))
     found = F.when(deep, F.col("_deep")).when(F.col("_doc").isNotNull(), F.concat(*levels))
     return df.withColumn(out, found).drop(
         "_doc", "_frontier", "_grown", "_kinds", "_deep", *levels)
@@ -105,19 +106,21 @@ def json_leaves(df: DataFrame, column: str, out: str = "leaves", when: Column |
 
 def env_entries(content: Column) -> Column:
     """``array<struct<line, text>>`` of the entries of a dotenv text."""
-    def entry(line, i):
-        trimmed = js_trim(line)
+    def unquote(value):
+        quoted = any_of(value.startswith(q) & value.endswith(q) for q in ('"', "'"))
+        inner = F.substring(value, F.lit(2), F.greatest(F.length(value) - 2, F.lit(0)))
+        return F.when(quoted, inner).otherwise(value)
+
+    def parse(trimmed, i):
         at = F.instr(trimmed, "=")
-        key = js_trim(F.left(trimmed, at - 1))
-        value = js_trim(F.substring(trimmed, at + 1, F.length(trimmed)))
-        for quote in ('"', "'"):
-            quoted = (value.startswith(quote) & value.endswith(quote))
-            value = F.when(
-                quoted, F.substring(value, F.lit(2), F.greatest(F.length(value) - 2, F.lit(0)))
-            ).otherwise(value)
-        is_entry = (trimmed != "") & ~trimmed.startswith("#") & (at > 0)
+        value = let(js_trim(F.substring(trimmed, at + 1, F.length(trimmed))), unquote)
+        is_entry = ~trimmed.startswith("#") & (at > 0)
         return F.when(is_entry, F.struct(
-            (i + 1).alias("line"), F.concat(key, F.lit(": "), value).alias("text")))
+            (i + 1).alias("line"),
+            F.concat(js_trim(F.left(trimmed, at - 1)), F.lit(": "), value).alias("text")))
+
+    def entry(line, i):
+        return let(js_trim(line), lambda trimmed: parse(trimmed, i))
 
     entries = F.transform(split_lines(content), entry)
     return F.filter(entries, lambda e: e.isNotNull())
@@ -127,11 +130,10 @@ def is_structured(path: Column, content: Column, kind: str) -> Column:
     return (suffix(path) == kind) & (F.length(content) < STRUCTURED_LIMIT)
 
 
-def structured_lines(files: DataFrame, content: str = "content") -> DataFrame:
-    """Synthetic lines of the structured files; adds ``structured``, false for all others.
+def structured_rows(files: DataFrame, content: str = "content") -> DataFrame:
+    """Add ``entries``: ``array<struct<line, text, leaf_path>>`` of structured files.
 
-    Output per file: ``rows array<struct<line, text, leaf_path>>``, null when the file must be read
-    line by line (not structured, too long, or not parseable).
+    Null when the file must be read line by line: not structured, too long, or not parseable.
     """
     text = F.col(content)
     df = json_leaves(files, content, "_leaves", is_structured(F.col("path"), text, "json"))
@@ -142,6 +144,6 @@ def structured_lines(files: DataFrame, content: str = "content") -> DataFrame:
     env_rows = F.transform(env_entries(text), lambda e: F.struct(
         e["line"].alias("line"), e["text"].alias("text"),
         F.lit(None).cast("string").alias("leaf_path")))
-    rows = F.when(F.col("_leaves").isNotNull(), leaf_rows).when(
+    entries = F.when(F.col("_leaves").isNotNull(), leaf_rows).when(
         is_structured(F.col("path"), text, "env"), env_rows)
-    return df.withColumn("rows", rows).drop("_leaves")
+    return df.withColumn("entries", entries).drop("_leaves")

@@ -9,10 +9,10 @@ from pyspark.sql import functions as F
 
 from veilscan.functions.directives import DEFAULT_TAG
 from veilscan.functions.sizes import DEFAULT_MAX_FILE_SIZE
-from veilscan.operators.lines import to_lines
+from veilscan.operators.lines import line_rows, to_lines
 from veilscan.operators.match import match_segments
 from veilscan.operators.segments import DEFAULT_DECODE_DEPTH, to_segments
-from veilscan.operators.structured import structured_lines
+from veilscan.operators.structured import structured_rows
 from veilscan.rules import RuleSet, effective_rules
 from veilscan.sources.files import decode_bytes, expand_archives, read_files
 from veilscan.sources.history import history_lines
@@ -61,17 +61,23 @@ def scan_texts(
 
 
 def file_lines(files: DataFrame, merge_lines: bool = True) -> DataFrame:
-    """Lines of files; JSON and dotenv files give synthetic lines instead of their raw ones."""
+    """Lines of files; JSON and dotenv files give synthetic lines instead of their raw ones.
+
+    Every file becomes one array of rows, whichever way it is read, so the input is read once.
+    """
     keep = [c for c in files.columns if c != "content"]
-    df = structured_lines(files)
-    is_structured = F.col("rows").isNotNull()
-    raw = to_lines(
-        df.where(~is_structured).drop("rows"), "content", merge_lines
-    ).withColumn("leaf_path", F.lit(None).cast("string"))
-    leaves = df.where(is_structured).select(*keep, F.explode("rows").alias("_row")).select(
-        *keep, "_row.line", "_row.text", F.lit(None).cast("string").alias("prev_text"),
-        "_row.leaf_path")
-    return raw.unionByName(leaves)
+    df = structured_rows(files)
+    df = line_rows(df, "content", merge_lines, F.col("entries").isNull())
+    none = F.lit(None).cast("string")
+    rows = F.coalesce(
+        F.transform("entries", lambda e: F.struct(
+            e["line"].alias("line"), e["text"].alias("text"), none.alias("prev_text"),
+            e["leaf_path"].alias("leaf_path"))),
+        F.transform("rows", lambda r: F.struct(
+            r["line"].alias("line"), r["text"].alias("text"), r["prev_text"].alias("prev_text"),
+            none.alias("leaf_path"))))
+    return df.select(*keep, F.explode(rows).alias("_row")).select(
+        *keep, "_row.line", "_row.text", "_row.prev_text", "_row.leaf_path")
 
 
 def scan_files(

@@ -169,7 +169,8 @@ def decode_bytes(content: Column) -> Column:
     body = F.when(little_mark | big_mark, F.substring(content, F.lit(3), F.length(content)))
     body = body.otherwise(content)
     utf8 = F.replace(F.make_valid_utf8(content.cast("string")), F.lit("\0"), F.lit(""))
-    wide = _decode_utf16(F.when(little | big, body), F.coalesce(big, F.lit(False)))
+    # Declared non-deterministic: the optimizer must not copy the call into other expressions.
+    wide = _decode_utf16.asNondeterministic()(F.when(little | big, body), F.coalesce(big, F.lit(False)))
     return F.when(little | big, wide).otherwise(utf8)
 
 
