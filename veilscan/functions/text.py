@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
+from pyspark import SparkContext
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -21,6 +24,24 @@ MASK_REVEAL_MAX = 4
 MASK_REVEAL_SHARE = 0.25
 
 
+def built_once(build):
+    """Keep the column a function without arguments builds, for as long as the JVM lives.
+
+    A column expression is a description that any plan may use.  The larger ones here take
+    thousands of calls to the JVM to put together.
+    """
+    kept: dict[int, tuple[object, Column]] = {}
+
+    @wraps(build)
+    def get() -> Column:
+        gateway = SparkContext._gateway
+        if id(gateway) not in kept:
+            kept[id(gateway)] = (gateway, build())
+        return kept[id(gateway)][1]
+
+    return get
+
+
 def let(value: Column, fn) -> Column:
     """Evaluate ``value`` once and hand it to ``fn`` (for use inside lambdas)."""
     return F.element_at(F.transform(F.array(value), fn), 1)

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from veilscan.functions import codecs
 from veilscan.functions.normalize import join_wrapped_base64, normalize
 from veilscan.functions.regex import match_spans
-from veilscan.functions.text import let
+from veilscan.functions.text import built_once, let
 from veilscan.operators.lines import cut_long_lines
 from veilscan.operators.screen import ENCODED, HIT, REWRITE, screen
 from veilscan.rules import RuleSet
@@ -51,6 +51,13 @@ def _expand(frontier: Column) -> Column:
     return F.flatten(F.transform(frontier, of_text))
 
 
+@built_once
+def _next_level() -> Column:
+    """New texts out of the column ``_frontier``, whatever level is in it."""
+    empty = F.array().cast("array<struct<text:string,offset:int,codec:string>>")
+    return F.when(F.size("_frontier") > 0, _distinct(_expand(F.col("_frontier")))).otherwise(empty)
+
+
 def _distinct(found: Column) -> Column:
     """The first of each group of equal texts."""
     def firsts(items):
@@ -84,13 +91,10 @@ def decode_candidates(
     if needed is not None:
         frontier = F.when(needed, frontier).otherwise(empty)
     df = df.withColumn("_frontier", frontier)
-    # The same expression at every level: it reads the frontier column, whatever is in it.
-    expanded = F.when(F.size("_frontier") > 0, _distinct(_expand(F.col("_frontier")))).otherwise(
-        empty)
     levels: list[str] = []
     for level in range(1, depth + 1):
         name = f"_level{level}"
-        df = df.withColumn(name, expanded)
+        df = df.withColumn(name, _next_level())
         if levels:
             df = df.withColumn(name, _unknown(F.col(name), [F.col(c) for c in levels]))
         df = df.withColumn("_frontier", F.col(name))
