@@ -120,26 +120,37 @@ def replace_matches(text: Column, pattern: str, group: int, fn) -> Column:
     return F.when(text.rlike(pattern), F.array_join(woven, "")).otherwise(text)
 
 
-def match_spans(text: Column, pattern: Column | str, group: Column | int = 0) -> Column:
+def match_spans(text: Column, pattern: Column | str) -> Column:
     """All matches as ``array<struct<hit, pos>>``; ``pos`` counts characters from 0.
 
-    The position of a match is the length of the gaps up to it plus the matches before it.
+    The position of a match is the length of the gaps up to it plus the matches before it.  The
+    usual single match in ASCII text is simply looked up.
     """
     if isinstance(pattern, str):
         pattern = F.lit(pattern)
+
+    def one(hits):
+        return F.array(F.struct(
+            hits[0].alias("hit"), (F.regexp_instr(text, pattern) - 1).alias("pos")))
+
+    def many(hits):
+        start = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("at"))
+
+        def step(state, pair):
+            at = state["next"] + F.length(pair["gap"])
+            return F.struct((at + F.length(pair["hit"])).alias("next"),
+                            F.concat(state["at"], F.array(at)).alias("at"))
+
+        pairs = F.zip_with(
+            hits, F.slice(F.split(text, pattern, -1), F.lit(1), F.size(hits)),
+            lambda hit, gap: F.struct(hit.alias("hit"), gap.alias("gap")))
+        return F.zip_with(
+            hits, F.aggregate(pairs, start, step)["at"],
+            lambda hit, at: F.struct(hit.alias("hit"), at.alias("pos")))
+
+    def spans(hits):
+        plain = F.octet_length(text) == F.length(text)
+        return F.when((F.size(hits) == 1) & plain, one(hits)).otherwise(many(hits))
+
     whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    gaps = F.split(text, pattern, -1)
-    start = F.struct(F.lit(0).alias("next"), F.array().cast("array<int>").alias("at"))
-
-    def step(state, pair):
-        at = state["next"] + F.length(pair["gap"])
-        return F.struct((at + F.length(pair["hit"])).alias("next"),
-                        F.concat(state["at"], F.array(at)).alias("at"))
-
-    pairs = F.zip_with(
-        whole, F.slice(gaps, F.lit(1), F.size(whole)),
-        lambda hit, gap: F.struct(hit.alias("hit"), gap.alias("gap")))
-    positions = F.aggregate(pairs, start, step)["at"]
-    hits = whole if isinstance(group, int) and group == 0 else F.regexp_extract_all(
-        text, pattern, group if isinstance(group, Column) else F.lit(group))
-    return F.zip_with(hits, positions, lambda h, p: F.struct(h.alias("hit"), p.alias("pos")))
+    return F.element_at(F.transform(F.array(whole), spans), 1)

@@ -43,7 +43,9 @@ def to_lines(files: DataFrame, content: str = "content", merge: bool = False) ->
     """
     keep = [c for c in files.columns if c != content]
     df = line_rows(files, content, merge)
-    return df.select(*keep, F.explode("rows").alias("_row")).select(
+    # Outer, though no file is without lines: for a plain explode of a column the optimizer adds a
+    # filter on its size, which would split every text a second time.
+    return df.select(*keep, F.explode_outer("rows").alias("_row")).select(
         *keep, "_row.line", "_row.text", "_row.prev_text")
 
 

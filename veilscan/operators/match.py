@@ -33,10 +33,16 @@ def find_matches(candidates: DataFrame) -> DataFrame:
     text, pattern = F.col("text"), F.col("pattern")
     df = candidates.where(F.regexp_instr(text, F.col("probe")) > 0)
     spans = match_spans(text, pattern)
-    primary = F.regexp_extract_all(text, pattern, F.col("secret_group"))
-    fallback = F.regexp_extract_all(text, pattern, F.col("fallback_group"))
+    # Group 0 stands for the whole match, which the spans hold already.
+    primary, fallback = [
+        F.when(F.col(group) > 0, F.regexp_extract_all(text, pattern, F.col(group)))
+        for group in ("secret_group", "fallback_group")
+    ]
     df = df.withColumn("_span", spans).withColumn("_first", primary).withColumn("_second", fallback)
-    rows = F.arrays_zip("_span", "_first", "_second")
+    none = F.array_repeat(F.lit(None).cast("string"), F.size("_span"))
+    rows = F.arrays_zip(
+        "_span", F.coalesce("_first", none).alias("_first"),
+        F.coalesce("_second", none).alias("_second"))
     rows = F.when(F.col("is_global"), rows).otherwise(F.slice(rows, 1, 1))
     df = df.withColumn("_m", F.explode(rows)).drop("_span", "_first", "_second")
     matched = F.col("_m._span.hit")
@@ -102,9 +108,11 @@ def passes_entropy(
 
 def drop_low_entropy(matches: DataFrame) -> DataFrame:
     judged = F.col("requires_entropy") | F.col("min_entropy").isNotNull()
-    return matches.where(
-        ~judged
-        | passes_entropy(F.col("secret"), F.col("min_entropy"), F.col("requires_entropy")))
+    # CASE, not OR: its branch is evaluated for the judged rows only.
+    return matches.where(F.when(
+        judged,
+        passes_entropy(F.col("secret"), F.col("min_entropy"), F.col("requires_entropy")),
+    ).otherwise(True))
 
 
 FINDING_COLUMNS = [

@@ -13,6 +13,7 @@ import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilscan.functions.codecs import ENCODED_SCREEN
 from veilscan.functions.normalize import REWRITE_SCREEN
@@ -32,7 +33,7 @@ def _compiles(pattern: str) -> bool:
 def _flags(tests: list[tuple[int, str | None, bool]]):
     """Arrow UDF that sets bit ``flag`` where ``pattern`` is found (always, when it is None)."""
 
-    @F.arrow_udf("int")
+    @F.arrow_udf(T.IntegerType())
     def screen(text: pa.Array) -> pa.Array:
         total = pa.array([0] * len(text), pa.int32())
         for flag, pattern, ignore_case in tests:

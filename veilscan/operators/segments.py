@@ -16,6 +16,7 @@ from veilscan.rules import RuleSet
 MAX_DECODED_LENGTH = 8_192
 DEFAULT_DECODE_DEPTH = 3
 MAX_DECODE_DEPTH = 10
+DECODED_TYPE = "array<struct<depth:int,codec:string,text:string,offset:int>>"
 
 
 def check_decode_depth(depth: int) -> int:
@@ -75,7 +76,7 @@ def _unknown(found: Column, known: list[Column]) -> Column:
     return F.filter(found, lambda d: ~F.array_contains(earlier, d["text"]))
 
 
-def decode_candidates(
+def _with_decoded(
     df: DataFrame, column: str = "text", depth: int = DEFAULT_DECODE_DEPTH,
     needed: Column | None = None,
 ) -> DataFrame:
@@ -111,10 +112,20 @@ def decode_candidates(
             labelled(level))
         for level, name in enumerate(levels, 1)
     ]
-    none = F.array().cast("array<struct<depth:int,codec:string,text:string,offset:int>>")
+    none = F.array().cast(DECODED_TYPE)
     return df.withColumn("decoded", F.concat(none, *every)).drop("_frontier", *levels)
 
 
+def decode_texts(
+    df: DataFrame, column: str = "text", depth: int = DEFAULT_DECODE_DEPTH
+) -> DataFrame:
+    """One row per decoded text: the other columns plus ``depth, codec, text, offset``."""
+    keep = [c for c in df.columns if c != column]
+    decoded = F.concat(F.col("decoded"), F.array().cast(DECODED_TYPE))
+    return _with_decoded(df, column, depth).select(
+        *keep, F.explode(decoded).alias("_piece")).select(*keep, "_piece.*")
+
+
 def to_segments(
     lines: DataFrame, rules: RuleSet, *, decode_depth: int = DEFAULT_DECODE_DEPTH,
     normalise: bool = True, shift_columns: bool = True, engine: str = "arrow",
@@ -150,7 +161,7 @@ def to_segments(
         pieces = F.when(
             F.col("text") != F.col("line_text"), F.array(plain, raw)).otherwise(pieces)
     if decode:
-        df = decode_candidates(
+        df = _with_decoded(
             df, "text", decode_depth, (F.col("_screen").bitwiseAND(ENCODED) > 0) | rewrite)
         pieces = F.concat(pieces, F.col("decoded"))
     df = df.select(*keep, "col_shift", F.explode(pieces).alias("_piece")).select(

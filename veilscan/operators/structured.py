@@ -10,6 +10,7 @@ import json
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilscan.functions.paths import any_of, suffix
 from veilscan.functions.text import js_trim, let
@@ -20,7 +21,8 @@ STRUCTURED_LIMIT = 65_536
 # Levels walked by built-in expressions; deeper documents go through the Arrow helper.
 NATIVE_JSON_DEPTH = 6
 
-LEAF_TYPE = "array<struct<key:string,leaf_path:string,value:string>>"
+LEAF_TYPE = T.ArrayType(T.StructType([
+    T.StructField(name, T.StringType()) for name in ("key", "leaf_path", "value")]))
 
 
 @F.arrow_udf(LEAF_TYPE)

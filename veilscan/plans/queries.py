@@ -21,7 +21,7 @@ from veilscan.operators.blocks import scan_blocks
 from veilscan.operators.lines import cut_long_lines, to_lines
 from veilscan.operators.match import keyword_candidates
 from veilscan.operators.redact import redact
-from veilscan.operators.segments import decode_candidates
+from veilscan.operators.segments import decode_texts
 from veilscan.operators.structured import env_entries, json_leaves
 from veilscan.plans.scan import scan_history, scan_lines, scan_texts
 from veilscan.rules import Rule, compile_custom_rule, effective_rules
@@ -58,7 +58,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 def spread(df: DataFrame) -> DataFrame:
     """Use all cores when a small table comes in fewer splits than there are cores.
 
-    Applied to bare keys, before each becomes a text that takes much work.
+    Large tables come in more splits and are left where they are.
     """
     cores = df.sparkSession.sparkContext.defaultParallelism
     return df.repartition(cores) if df.rdd.getNumPartitions() < cores else df
@@ -78,13 +78,17 @@ def seeded_findings(spark: SparkSession, sf_dir: str, **options) -> DataFrame:
 
 
 def text_corpus(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return (
-        C.documents_corpus(table(spark, sf_dir, "documents"))
+    return spread(
+        documents(spark, sf_dir)
         .unionByName(C.pages_corpus(table(spark, sf_dir, "pages")))
         .unionByName(C.conversations_corpus(table(spark, sf_dir, "conversations")))
     )
 
 
+def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return C.documents_corpus(table(spark, sf_dir, "documents"))
+
+
 # -- rows derived from order keys ------------------------------------------------------------
 
 def _keys(spark, sf_dir) -> DataFrame:
@@ -236,7 +240,7 @@ def _digest(column: str) -> Column:
 
 
 def lines_documents(spark, sf_dir):
-    lines = to_lines(C.documents_corpus(table(spark, sf_dir, "documents")))
+    lines = to_lines(documents(spark, sf_dir))
     return lines.select("path", "line", F.length("text").alias("n_chars"),
                         _digest("text").alias("text_md5"), _digest("prev_text").alias("prev_md5"))
 
@@ -255,7 +259,7 @@ def merged_lines(spark, sf_dir):
 
 
 def long_line_chunks(spark, sf_dir):
-    docs = C.documents_corpus(table(spark, sf_dir, "documents"))
+    docs = spread(documents(spark, sf_dir))
     one_line = docs.select("path", F.translate("content", "\n", " ").alias("text"))
     return cut_long_lines(one_line).select(
         "path", "col_shift", F.length("text").alias("n_chars"), _digest("text").alias("text_md5"))
@@ -264,6 +268,7 @@ def long_line_chunks(spark, sf_dir):
 def wrapped_base64(spark, sf_dir):
     h = F.col("h")
     previous = F.base64(F.concat(h, F.when(F.col("k") % 3 == 0, "").otherwise(h)).cast("binary"))
+    previous = F.regexp_replace(previous, r"\r\n", "")
     current = F.when(F.col("k") % 2 == 0, F.base64(h.cast("binary"))).otherwise(
         F.concat(h, F.lit("!")))
     return _keys(spark, sf_dir).select("k", join_wrapped_base64(current, previous).alias("text"))
@@ -306,8 +311,8 @@ def json_leaves_events(spark, sf_dir):
         F.col("event_type"), F.lit('",{"deep":{"er":{"est":["x'),
         (F.col("event_id") % 7).cast("string"), F.lit('"]}}}]},"props":'), F.col("props"), F.lit("}"))
     df = json_leaves(events.select("event_id", document.alias("doc")), "doc")
-    return df.select("event_id", F.explode("leaves").alias("leaf")).select(
-        "event_id", "leaf.key", "leaf.leaf_path", "leaf.value")
+    return df.select("event_id", F.explode_outer("leaves").alias("leaf")).where(
+        "leaf IS NOT NULL").select("event_id", "leaf.key", "leaf.leaf_path", "leaf.value")
 
 
 def structured_findings(spark, sf_dir):
@@ -336,10 +341,8 @@ def normalized_pages(spark, sf_dir):
 
 def decoded_keys(spark, sf_dir):
     """Decoded candidates that are access key ids, with depth, decoder and offset."""
-    df = decode_candidates(encoded_lines(spark, sf_dir))
-    return df.select("k", F.explode("decoded").alias("d")).where(
-        F.col("d.text").startswith("AK" + "IA")).select(
-        "k", "d.depth", "d.codec", "d.text", "d.offset")
+    return decode_texts(encoded_lines(spark, sf_dir)).where(
+        F.col("text").rlike(r"^AKIA[0-9A-F]{16}\z")).select("k", "depth", "codec", "text", "offset")
 
 
 def decoded_findings(spark, sf_dir):
@@ -376,7 +379,7 @@ def scan_text_tables(spark, sf_dir):
 
 def custom_rule_findings(spark, sf_dir):
     rules = effective_rules(custom_rules(), builtin=[]).only(["doc-hex-token"])
-    docs = C.documents_corpus(table(spark, sf_dir, "documents"))
+    docs = spread(documents(spark, sf_dir))
     return scan_texts(docs, rules, decode_depth=0).select(*KEY_COLUMNS, "secret_sha")
 
 
@@ -632,7 +635,7 @@ def report_markdown(spark, sf_dir):
 
 def redacted_documents(spark, sf_dir):
     """Documents with every document token masked."""
-    docs = C.documents_corpus(table(spark, sf_dir, "documents"))
+    docs = spread(documents(spark, sf_dir))
     rules = effective_rules(custom_rules(), builtin=[]).only(["doc-hex-token"])
     found = scan_texts(docs, rules, decode_depth=0, keep_secret=True)
     return redact(docs, found).select(

@@ -12,6 +12,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from veilscan.functions import paths as P
 from veilscan.functions.sizes import DEFAULT_MAX_FILE_SIZE, parse_byte_size
@@ -147,7 +148,7 @@ def looks_binary(content: Column) -> Column:
     return null_share(content, BINARY_SAMPLE) > BINARY_NULL_SHARE
 
 
-@F.arrow_udf("string")
+@F.arrow_udf(T.StringType())
 def _decode_utf16(content: pa.Array, big_endian: pa.Array) -> pa.Array:
     """Tolerant UTF-16 decoding (the built-in decoder fails on malformed input)."""
     out = []
