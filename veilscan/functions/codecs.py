@@ -9,7 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from veilscan.functions.text import let, printable
+from veilscan.functions.regex import let
+from veilscan.functions.text import printable
 
 # Token finders, decoder alphabets and the reversed vendor prefixes.
 BASE64_TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}+"

@@ -109,15 +109,25 @@ def jvm_quote(text: str) -> str:
     return re.sub(r"([^A-Za-z0-9_ ])", r"\\\1", text) if text.isascii() else re.escape(text)
 
 
+def let(value: Column, fn) -> Column:
+    """Evaluate ``value`` once and hand it to ``fn``, which may use it any number of times."""
+    return F.element_at(F.transform(F.array(value), fn), 1)
+
+
 def replace_matches(text: Column, pattern: str, group: int, fn) -> Column:
     """Replace every match of ``pattern`` by ``fn(group)``; rows without a match pass through.
 
     Built-in expressions only: the pieces between matches are zipped with the rewritten matches.
+    The text appears once in the expression, so that such replacements can be nested.
     """
-    gaps = F.split(text, pattern, -1)
-    hits = F.transform(F.regexp_extract_all(text, F.lit(pattern), F.lit(group)), fn)
-    woven = F.zip_with(gaps, F.concat(hits, F.array(F.lit(""))), lambda gap, hit: F.concat(gap, hit))
-    return F.when(text.rlike(pattern), F.array_join(woven, "")).otherwise(text)
+    def rewrite(t):
+        gaps = F.split(t, pattern, -1)
+        hits = F.transform(F.regexp_extract_all(t, F.lit(pattern), F.lit(group)), fn)
+        woven = F.zip_with(
+            gaps, F.concat(hits, F.array(F.lit(""))), lambda gap, hit: F.concat(gap, hit))
+        return F.when(t.rlike(pattern), F.array_join(woven, "")).otherwise(t)
+
+    return let(text, rewrite)
 
 
 def match_spans(text: Column, pattern: Column | str) -> Column:
@@ -152,5 +162,4 @@ def match_spans(text: Column, pattern: Column | str) -> Column:
         plain = F.octet_length(text) == F.length(text)
         return F.when((F.size(hits) == 1) & plain, one(hits)).otherwise(many(hits))
 
-    whole = F.regexp_extract_all(text, pattern, F.lit(0))
-    return F.element_at(F.transform(F.array(whole), spans), 1)
+    return let(F.regexp_extract_all(text, pattern, F.lit(0)), spans)

@@ -42,11 +42,6 @@ def built_once(build):
     return get
 
 
-def let(value: Column, fn) -> Column:
-    """Evaluate ``value`` once and hand it to ``fn`` (for use inside lambdas)."""
-    return F.element_at(F.transform(F.array(value), fn), 1)
-
-
 def js_trim(text: Column) -> Column:
     """Strip Unicode white space on both sides."""
     return F.btrim(text, F.lit(WHITESPACE))

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from veilscan.functions import codecs
 from veilscan.functions.normalize import join_wrapped_base64, normalize
-from veilscan.functions.regex import match_spans
-from veilscan.functions.text import built_once, let
+from veilscan.functions.regex import let, match_spans
+from veilscan.functions.text import built_once
 from veilscan.operators.lines import cut_long_lines
 from veilscan.operators.screen import ENCODED, HIT, REWRITE, screen
 from veilscan.rules import RuleSet

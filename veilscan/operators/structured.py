@@ -13,7 +13,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilscan.functions.paths import any_of, suffix
-from veilscan.functions.text import js_trim, let
+from veilscan.functions.regex import let
+from veilscan.functions.text import js_trim
 from veilscan.operators.lines import split_lines
 
 # Fixed value: longer files are scanned line by line.
