@@ -78,7 +78,7 @@ def test_byte_decoding(spark):
     cases = [
         ("﻿hé".encode("utf-16-le"), "hé"), ("﻿hé".encode("utf-16-be"), "hé"),
         ("plain text".encode("utf-16-le"), "plain text"), ("abcd".encode("utf-16-be"), "abcd"),
-        (b"a\0b\0\0c", "abc"), ("é".encode(), "é"), (b"\xff\xfe\x00\xd8x", "�"), (b"", ""),
+        (b"a\0\0bc", "abc"), ("é".encode(), "é"), (b"\xff\xfe\x00\xd8x", "�"), (b"", ""),
     ]
     df = spark.createDataFrame([(i, c) for i, (c, _) in enumerate(cases)], "i int, c binary")
     got = df.select("i", decode_bytes(F.col("c")).alias("t")).orderBy("i").collect()

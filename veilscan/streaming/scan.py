@@ -84,6 +84,8 @@ def append_new_findings(
         spark = batch.sparkSession
         fresh = with_fingerprint(batch).dropDuplicates(["fingerprint"])
         if spark.catalog.tableExists(table):
+            # The listing of the files may be older than the last batch.
+            spark.catalog.refreshTable(table)
             known = spark.table(table).select("fingerprint")
             fresh = fresh.join(known, "fingerprint", "left_anti")
         fresh.write.mode("append").saveAsTable(table)
