@@ -4,10 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilscan.llm import byte_bpe
 from veilscan.llm.common import table
+from veilscan.llm.packing import cut_pieces, pack
 from veilscan.llm.url_filters import UrlRule, filter_urls
 
 URL_RULES = [
@@ -27,8 +30,31 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, labels, URL_RULES)
 
 
+def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document encoded and decoded again, as digests."""
+    path = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    encoded = byte_bpe.encode(docs, path, public_tokenizers.PATTERN).drop("text")
+    decoded = byte_bpe.decode(encoded, path)
+    return decoded.select(
+        "doc_id", F.size("ids").cast("long").alias("n_tokens"),
+        F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
+        F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
+def pieces_of(docs: DataFrame) -> DataFrame:
+    """All pieces with the CRC of their ids instead of the ids."""
+    cut = cut_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    return cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
+
+
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document packed into sequences of 4,096 tokens."""
+    return pack(pieces_of(table(spark, sf_dir, "documents")))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op7_url_filters]
+    found = [op3_byte_bpe, op7_url_filters, op8_best_fit_packing]
     return {f.__name__: f for f in found}
 
 
