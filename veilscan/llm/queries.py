@@ -8,8 +8,9 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.llm import byte_bpe
+from veilscan.llm import byte_bpe, nbsvm
 from veilscan.llm.common import table
+from veilscan.llm.fingerprints import compare_with_next
 from veilscan.llm.packing import cut_pieces, pack
 from veilscan.llm.url_filters import UrlRule, filter_urls
 
@@ -19,6 +20,14 @@ URL_RULES = [
 ]
 
 
+def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document's quality score, learnt from the labels outside fold 0."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    model = nbsvm.fit(docs, table(spark, sf_dir, "labels"))
+    return nbsvm.score(docs, model).select(
+        "doc_id", (nbsvm.fold(F.col("doc_id")) == 0).alias("held_out"), "score", "predicted")
+
+
 def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every page's verdict.  A page's outcome is that of the label with its number: bad if it is
     of low quality or toxic."""
@@ -53,8 +62,16 @@ def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(pieces_of(table(spark, sf_dir, "documents")))
 
 
+def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document's digest, against its edited text's and the next document's."""
+    return compare_with_next(table(spark, sf_dir, "documents")).select(
+        "doc_id", "n_chars", F.sha2("edited", 256).alias("edited_sha256"), "fingerprint",
+        "edited_fingerprint", "near_edited", "near_next")
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_byte_bpe, op7_url_filters, op8_best_fit_packing]
+    found = [op3_byte_bpe, op6_quality_classifier, op7_url_filters, op8_best_fit_packing,
+             op9_document_fingerprints]
     return {f.__name__: f for f in found}
 
 
