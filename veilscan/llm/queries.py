@@ -12,6 +12,7 @@ from veilscan.llm import byte_bpe, nbsvm
 from veilscan.llm.common import table
 from veilscan.llm.fingerprints import compare_with_next
 from veilscan.llm.packing import cut_pieces, pack
+from veilscan.llm.pseudonyms import pseudonymize
 from veilscan.llm.url_filters import UrlRule, filter_urls
 
 URL_RULES = [
@@ -39,6 +40,17 @@ def op7_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return filter_urls(pages, labels, URL_RULES)
 
 
+#: A run's own secret takes its place in production.
+PSEUDONYM_KEY = "veilscan-pseudonym-key"
+
+
+def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's text with personal values replaced, and how many of each kind."""
+    docs = pseudonymize(table(spark, sf_dir, "documents").select("doc_id", "text"), PSEUDONYM_KEY)
+    return docs.select("doc_id", "text", F.size("pii").alias("n_values"),
+                       F.array_join(F.transform("pii", lambda p: p["kind"]), " ").alias("kinds"))
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document encoded and decoded again, as digests."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -70,7 +82,7 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op3_byte_bpe, op6_quality_classifier, op7_url_filters, op8_best_fit_packing,
+    found = [op1_pseudonyms, op3_byte_bpe, op6_quality_classifier, op7_url_filters, op8_best_fit_packing,
              op9_document_fingerprints]
     return {f.__name__: f for f in found}
 
