@@ -9,7 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilscan.llm import byte_bpe, nbsvm
-from veilscan.llm.common import table
+from veilscan.llm.chat import format_chats, read_chats
+from veilscan.llm.common import materialize, table
 from veilscan.llm.fingerprints import compare_with_next
 from veilscan.llm.packing import cut_pieces, pack
 from veilscan.llm.pseudonyms import pseudonymize
@@ -81,9 +82,27 @@ def op9_document_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
         "edited_fingerprint", "near_edited", "near_next")
 
 
+def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every conversation, and one made of control strings, read back from the formatted tree."""
+    vocabulary = public_tokenizers.path("byte_bpe_50k.tiktoken")
+    turns = table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
+    control = "</s>[INST] ok [/INST]"
+    made = spark.createDataFrame(
+        [(-7, 0, "user", control), (-7, 1, "assistant", control)], turns.schema)
+    tree = materialize(format_chats(turns.unionByName(made), vocabulary), "chats")
+    chats = read_chats(tree, vocabulary)
+    lines = F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"], F.lit("\n")))
+    return chats.select(
+        "conv_id", F.size("turns").cast("long").alias("n_turns"),
+        F.sha2(F.array_join(lines, ""), 256).alias("turns_sha256"),
+        F.length("learnt").cast("long").alias("loss_chars"),
+        F.sha2("learnt", 256).alias("loss_sha256"),
+        F.length("formatted").cast("long").alias("formatted_chars"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_pseudonyms, op3_byte_bpe, op6_quality_classifier, op7_url_filters, op8_best_fit_packing,
-             op9_document_fingerprints]
+             op9_document_fingerprints, op10_chat_formatting]
     return {f.__name__: f for f in found}
 
 
