@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm.common import materialize
+from veilscan.llm.common import materialize, slices
 
 MAX_KEPT_WORDS = 300_000
 #: Separators of words that str.split knows and the vocabulary's normaliser does not.
@@ -75,7 +75,7 @@ def cut_pieces(docs: DataFrame, path: str, size: int = 4096, end_id: int = 1) ->
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = _encoder(path), np.array([end_id], "<u4").tobytes()
         step = 4 * size
-        for batch in batches:
+        for batch in slices(batches):
             rows: list[tuple] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
                 ids = encoder.encode(text.as_py() or "") + end
