@@ -12,6 +12,7 @@ from veilscan.llm import byte_bpe, nbsvm
 from veilscan.llm.chat import format_chats, read_chats
 from veilscan.llm.common import materialize, table
 from veilscan.llm.fingerprints import compare_with_next
+from veilscan.llm.neighbours import nearest
 from veilscan.llm.packing import cut_pieces, pack
 from veilscan.llm.pseudonyms import pseudonymize
 from veilscan.llm.url_filters import UrlRule, filter_urls
@@ -52,6 +53,12 @@ def op1_pseudonyms(spark: SparkSession, sf_dir: str) -> DataFrame:
                        F.array_join(F.transform("pii", lambda p: p["kind"]), " ").alias("kinds"))
 
 
+def op2_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The 20 nearest found of every vector whose number is divisible by 20, among all vectors."""
+    vectors = table(spark, sf_dir, "embeddings").select("vec_id", "embedding")
+    return nearest(vectors, vectors.where(F.col("vec_id") % 20 == 0), 20)
+
+
 def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document encoded and decoded again, as digests."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
@@ -101,7 +108,7 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_pseudonyms, op3_byte_bpe, op6_quality_classifier, op7_url_filters, op8_best_fit_packing,
+    found = [op1_pseudonyms, op2_nearest_neighbours, op3_byte_bpe, op6_quality_classifier, op7_url_filters, op8_best_fit_packing,
              op9_document_fingerprints, op10_chat_formatting]
     return {f.__name__: f for f in found}
 
