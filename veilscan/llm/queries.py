@@ -12,6 +12,7 @@ from veilscan.llm import byte_bpe, nbsvm
 from veilscan.llm.chat import format_chats, read_chats
 from veilscan.llm.common import materialize, table
 from veilscan.llm.fingerprints import compare_with_next
+from veilscan.llm.jaccard_join import near_duplicates
 from veilscan.llm.neighbours import nearest
 from veilscan.llm.packing import cut_pieces, pack
 from veilscan.llm.pseudonyms import pseudonymize
@@ -23,6 +24,11 @@ URL_RULES = [
 ]
 
 
+def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document with its class of linked documents."""
+    return near_duplicates(table(spark, sf_dir, "documents"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document's quality score, learnt from the labels outside fold 0."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -108,7 +114,8 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_pseudonyms, op2_nearest_neighbours, op3_byte_bpe, op6_quality_classifier, op7_url_filters, op8_best_fit_packing,
+    found = [op1_pseudonyms, op2_nearest_neighbours, op3_byte_bpe,
+             op4_ngram_jaccard_join, op6_quality_classifier, op7_url_filters, op8_best_fit_packing,
              op9_document_fingerprints, op10_chat_formatting]
     return {f.__name__: f for f in found}
 
