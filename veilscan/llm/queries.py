@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from veilscan.llm import byte_bpe, nbsvm
+from veilscan.llm import byte_bpe, nbsvm, page_text
 from veilscan.llm.chat import format_chats, read_chats
 from veilscan.llm.common import materialize, table
 from veilscan.llm.fingerprints import compare_with_next
@@ -29,6 +29,12 @@ def op4_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"))
 
 
+def op5_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every page's main text."""
+    pages = table(spark, sf_dir, "pages").select("page_id", "url", "html")
+    return page_text.with_length(page_text.extract(pages, page_text.train()).drop("html"))
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document's quality score, learnt from the labels outside fold 0."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
@@ -114,10 +120,12 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    found = [op1_pseudonyms, op2_nearest_neighbours, op3_byte_bpe,
-             op4_ngram_jaccard_join, op6_quality_classifier, op7_url_filters, op8_best_fit_packing,
+    found = [op1_pseudonyms, op2_nearest_neighbours, op3_byte_bpe, op4_ngram_jaccard_join,
+             op5_html_extraction, op6_quality_classifier, op7_url_filters, op8_best_fit_packing,
              op9_document_fingerprints, op10_chat_formatting]
-    return {f.__name__: f for f in found}
+    import corpus_pipeline
+
+    return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
 
 
 def llm_oracles() -> dict[str, str]:
