@@ -21,9 +21,15 @@ from pyspark.sql import functions as F
 
 from veilscan.llm.common import materialize, slices
 
-MAX_KEPT_WORDS = 300_000
+#: Kept words and kept pieces, in each of two generations.
+MAX_KEPT = 250_000
 #: Separators of words that str.split knows and the vocabulary's normaliser does not.
 ODD_SPACE = re.compile("[\x1c-\x1f]")
+#: Letters whose lower case is one letter of the same range.
+_LATIN = "A-Za-zÀ-ÖØ-öø-įı-ȹȻ-Ƚȿ-ʯ"
+#: Words of common Latin characters, which the normaliser only lower-cases, and their pieces.
+PLAIN = re.compile(f"[!-~¡-©«-±´¶·¸»¿{_LATIN}‘’“”–—…]{{1,64}}").fullmatch
+PIECES = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LATIN}]+|[0-9]|[^0-9{_LATIN}]+").findall
 #: At most so many items in one group.
 GROUP_ITEMS = 50_000
 MAX_ROUNDS = 30
@@ -32,7 +38,9 @@ MAX_ROUNDS = 30
 class WordEncoder:
     """Ids of a vocabulary whose tokens never span white space, as little-endian 32-bit bytes.
 
-    Each word between white space is encoded once and kept in a bounded table.
+    Words and the pieces they fall into are encoded once and kept in bounded tables.  Words of common
+    Latin characters are split here and their pieces merged by the tokenizer's model; words with any
+    other character go through the whole tokenizer.
     """
 
     def __init__(self, path: str):
@@ -40,12 +48,40 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
+        self.model = self.tokenizer.model
+        # The stand-in characters of bytes, in the order of the vocabulary's byte level.
+        printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
+        others = [b for b in range(256) if b not in printable]
+        self.signs = {b: 256 + i for i, b in enumerate(others)}
         self.kept: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+        self.older_pieces: dict[str, bytes] = {}
 
     def _fresh(self, texts: list[str]) -> list[bytes]:
         found = self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)
         return [np.array(x.ids, "<u4").tobytes() for x in found]
 
+    def _merged(self, piece: str) -> bytes:
+        signs = piece.encode().decode("latin-1").translate(self.signs)
+        return np.array([t.id for t in self.model.tokenize(signs)], "<u4").tobytes()
+
+    def _piece(self, piece: str) -> bytes:
+        found = self.pieces[piece] = self.older_pieces.get(piece) or self._merged(piece)
+        return found
+
+    def _word(self, word: str) -> bytes:
+        found = self.older.get(word)
+        if found is None:
+            if PLAIN(word):
+                pieces = self.pieces
+                found = b"".join([pieces.get(p) or self._piece(p) for p in PIECES(word.lower())])
+            else:
+                found = self._fresh([word])[0]
+        if len(word) <= 64:
+            self.kept[word] = found
+        return found
+
     def encode(self, text: str) -> bytes:
         if ODD_SPACE.search(text):
             return self._fresh([text])[0]
@@ -53,11 +89,12 @@ class WordEncoder:
         try:
             return b"".join([kept[w] for w in words])
         except KeyError:
-            if len(kept) > MAX_KEPT_WORDS:
-                kept.clear()
-            missing = [w for w in dict.fromkeys(words) if w not in kept]
-            kept.update(zip(missing, self._fresh(missing)))
-            return b"".join([kept[w] for w in words])
+            if len(kept) > MAX_KEPT:
+                self.older, self.kept = kept, {}
+                kept = self.kept
+            if len(self.pieces) > MAX_KEPT:
+                self.older_pieces, self.pieces = self.pieces, {}
+            return b"".join([kept.get(w) or self._word(w) for w in words])
 
 
 @lru_cache(maxsize=2)
@@ -146,10 +183,10 @@ def pack(pieces: DataFrame, size: int = 4096, nearly_full: float = 0.995,
     pieces = pieces.select(*(c for c in pieces.columns if c not in taken))
     own = [F.col(c) for c in pieces.columns]
     # Repeated rows are told apart by where they lie; any deal gives a right result.
-    packed = materialize(
-        _round(materialize(pieces.withColumn("_deal", F.xxhash64(*own, F.monotonically_increasing_id())),
-                           "pieces"), 0,
-               max(1, math.ceil(pieces.count() / group_items)), size, ["_deal"]), "packed-0")
+    pieces_dealt = materialize(pieces.withColumn(
+        "_deal", F.xxhash64(*own, F.monotonically_increasing_id())), "pieces")
+    groups = max(1, math.ceil(pieces_dealt.count() / group_items))
+    packed = materialize(_round(pieces_dealt, 0, groups, size, ["_deal"]), "packed-0")
     least = math.ceil(nearly_full * size)
     # Where bins went: bin -> top, shift.
     open_bins = packed.where(F.col("fill") < least).select(
