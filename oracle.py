@@ -273,7 +273,6 @@ def normalized(expr: str) -> str:
     """The normalisation steps that are plain replacements (the texts hold nothing for the rest)."""
     space = to_re2(r"\s")
     expr = f"regexp_replace({expr}, '[\\x{{200B}}-\\x{{200D}}\\x{{FEFF}}]', '', 'g')"
-    expr = f"substr({expr}, 1, 65536)"
     expr = f"regexp_replace({expr}, '/\\*(?s:.*?)\\*/', '', 'g')"
     expr = f"regexp_replace({expr}, '[\"'']{space}*\\+?{space}*[\"'']', '', 'g')"
     expr = f"regexp_replace({expr}, '\\{{\\{{|\\}}\\}}|<%[=\\-]?|-?%>', '', 'g')"
@@ -318,9 +317,9 @@ FROM taking JOIN reached USING (path, line)""",
   SELECT 'documents/' || doc_id || '.txt' AS path, replace(text, chr(10), ' ') AS text FROM documents
 ), cuts AS (
   SELECT path, text, CAST(s AS INTEGER) AS col_shift FROM one CROSS JOIN LATERAL (
-    SELECT unnest(range(0, 1 + greatest(0, CAST(ceil((length(text) - 65536) / 65280.0) AS INTEGER)))) * 65280 AS s))
-SELECT path, col_shift, length(substr(text, col_shift + 1, 65536)) AS n_chars,
-       md5(substr(text, col_shift + 1, 65536)) AS text_md5 FROM cuts""",
+    SELECT unnest(range(0, 1 + greatest(0, CAST(ceil((length(text) - 4096) / 3840.0) AS INTEGER)))) * 3840 AS s))
+SELECT path, col_shift, length(substr(text, col_shift + 1, 4096)) AS n_chars,
+       md5(substr(text, col_shift + 1, 4096)) AS text_md5 FROM cuts""",
         "wrapped_base64": f"""WITH {KEYS}
 SELECT k, CASE WHEN k % 2 = 1 THEN h || '!'
                WHEN k % 3 = 0 THEN to_base64(encode(h)) || to_base64(encode(h))

@@ -135,7 +135,8 @@ def test_long_line(spark, rules, ak):
     ], "path string, content string")
     found = scan_texts(files, rules.only(["aws-access-key"])).collect()
     assert {(r.path, r.column) for r in found} == {("deep.txt", 100_001), ("edge.txt", 65_527)}
-    cuts = cut_long_lines(files.withColumnRenamed("content", "text")).where("path = 'long.txt'")
+    lines = files.withColumnRenamed("content", "text")
+    cuts = cut_long_lines(lines, 65_536, 256).where("path = 'long.txt'")
     assert [r.col_shift for r in cuts.orderBy("col_shift").collect()] == [0, 65_280, 130_560, 195_840]
 
 

@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from veilscan.operators.blocks import scan_blocks
 from veilscan.operators.score import history_totals
-from veilscan.operators.structured import NATIVE_JSON_DEPTH
 from veilscan.plans.scan import file_lines, scan_files, scan_history
 from veilscan.sources.baselines import read_baseline_json
 from veilscan.sources.files import decode_bytes, read_files
@@ -86,7 +85,7 @@ def test_byte_decoding(spark):
 
 
 def test_structured_lines(spark):
-    deep = '{"n":' * (NATIVE_JSON_DEPTH + 3) + '{"k":"v"}' + "}" * (NATIVE_JSON_DEPTH + 3)
+    deep = '{"n":' * 40 + '{"k":"v"}' + "}" * 40
     rows = [
         ("a.json", '{"s":"x","l":["y",{"m":"z"}],"n":1,"t":true,"z":null}'), ("d.json", deep),
         ("bad.json", '{"a":\n1'), ("e.env", "A = 1 # c\n\nexport B='q'\nnone\nC=\"'x'\"\nD="),
@@ -98,7 +97,7 @@ def test_structured_lines(spark):
     assert got == [
         ("a.json", 1, "0: y", "l.0"), ("a.json", 1, "m: z", "l.1.m"), ("a.json", 1, "s: x", "s"),
         ("bad.json", 1, '{"a":', None), ("bad.json", 2, "1", None),
-        ("d.json", 1, "k: v", "n." * (NATIVE_JSON_DEPTH + 3) + "k"),
+        ("d.json", 1, "k: v", "n." * 40 + "k"),
         ("e.env", 1, "A: 1 # c", None), ("e.env", 3, "export B: q", None),
         ("e.env", 5, "C: 'x'", None), ("e.env", 6, "D: ", None),
         ("t.txt", 1, "one", None), ("t.txt", 2, "two", None)]

@@ -18,9 +18,10 @@ PERCENT_PAIRS = r"(?i)(?:%[0-9a-f]{2}){2,}+[A-Za-z0-9%._~!$\&'()*+,;=:@/?-]*+"
 PERCENT_TOKEN = r"(?i)(?:%[0-9a-f]{2})++[A-Za-z0-9%._~!$\&'()*+,;=:@/?-]*+"
 BYTE_ITEM = r"(?:\d{2,3}|0x[0-9a-fA-F]{2})"
 BYTE_ARRAY = rf"(?:\[|(?<!\w)Buffer\.from\(\[)((?:{BYTE_ITEM}\s*,\s*){{15,}}+{BYTE_ITEM})\]"
-REVERSED_SUFFIX = r"[A-Za-z0-9_\-]{15,80}(?:_phg|-_taplg|_evil_ks|_-xox|AIKA)(?!\w)"
-REVERSED_TOKEN = rf"(?i)(?:(?<!\w)(?=\w)|(?<=\w)(?!\w)){REVERSED_SUFFIX}"
-BASE58_TOKEN = r"[1-9A-HJ-NP-Za-km-z]{30,256}"
+REVERSED_SUFFIX = r"[A-Za-z0-9_\-]{15,}(?:_phg|-_taplg|_evil_ks|_-xox|AIKA)(?!\w)"
+# From the start of a run of token characters, so that a long run is read once.
+REVERSED_TOKEN = rf"(?i)(?<!\w)(?<!\w-)(?=\w){REVERSED_SUFFIX}"
+BASE58_TOKEN = r"[1-9A-HJ-NP-Za-km-z]{30,}"
 ASCII85_TOKEN = r"<~[!-u]+~>"
 BASE32_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 BASE58_ALPHABET = "123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz"

@@ -8,13 +8,16 @@ import re
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-DEFAULT_MAX_FILE_SIZE = 10 * 1024 * 1024
+# No limit: the largest number of bytes.
+NO_LIMIT = (1 << 63) - 1
 _SIZE = r"^(\d+(?:\.\d+)?)\s*(B|KB|K|MB|M|GB|G)?\z"
 _POWERS = {"K": 1, "M": 2, "G": 3}
 
 
-def parse_byte_size(value: str | int | float) -> int:
-    """Bytes meant by a size literal; raises ``ValueError`` unless positive."""
+def parse_byte_size(value: str | int | float | None) -> int:
+    """Bytes meant by a size literal (none: no limit); raises ``ValueError`` unless positive."""
+    if value is None:
+        return NO_LIMIT
     if isinstance(value, (int, float)):
         size = float(value)
     else:

@@ -23,7 +23,7 @@ from veilscan.rules import RuleSet, effective_rules
 def scan_blocks(
     files: DataFrame, rules: RuleSet | None = None, *,
     allowlist: Iterable[str] | DataFrame | None = None, keep_secret: bool = False,
-    engine: str = "arrow",
+    engine: str = "arrow", extra: Iterable[str] = (),
 ) -> DataFrame:
     """Findings of the block rules that span lines; ``line`` is where the match starts.
 
@@ -33,7 +33,7 @@ def scan_blocks(
     rules = RuleSet(tuple(rule for rule in rules.rules if rule.scope == "block"))
     texts = files.select(
         "path", F.col("content").alias("text"), F.lit(0).alias("depth"),
-        F.lit("block").alias("codec"), F.lit(0).alias("offset"))
+        F.lit("block").alias("codec"), F.lit(0).alias("offset"), *extra)
     hit = screen(F.col("text"), rules, decode=False, rewrite=False, engine=engine)
     texts = texts.withColumn("_hit", hit).where(F.col("_hit").bitwiseAND(HIT) > 0).drop("_hit")
     matches = find_matches(keyword_candidates(texts, rules)).where(
@@ -42,4 +42,4 @@ def scan_blocks(
     matches = matches.withColumn("line", F.regexp_count(before, F.lit("\n")) + 1).withColumn(
         "column", F.length(F.substring_index(before, "\n", -1)) + 1)
     matches = drop_low_entropy(drop_allowlisted(drop_placeholders(matches), allowlist))
-    return to_findings(matches, keep_secret=keep_secret)
+    return to_findings(matches, extra, keep_secret)

@@ -5,12 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.functions.normalize import MAX_TEXT_LENGTH
 from veilscan.functions.paths import any_of
 from veilscan.functions.text import js_trim, js_trim_end
 
 LINE_BREAK = r"\r?\n"
-CHUNK_OVERLAP = 256
 QUOTES = ["`", '"', "'"]
 # Lines kept in one piece of the merge state; bounds what a step of the fold copies.
 MERGE_BLOCK = 256
@@ -114,17 +112,16 @@ def _merged_rows(df: DataFrame) -> DataFrame:
     return df.withColumn("rows", rows).drop("_lines", "_taken")
 
 
-def cut_long_lines(lines: DataFrame, shift_columns: bool = True) -> DataFrame:
-    """Cut texts over the limit into overlapping windows and add ``col_shift``, their start."""
-    n = F.length("text")
-    stride = MAX_TEXT_LENGTH - CHUNK_OVERLAP
-    last = (F.ceil((n - MAX_TEXT_LENGTH) / stride) * stride).cast("int")
-    starts = F.when(n > MAX_TEXT_LENGTH, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(
+def cut_long_lines(lines: DataFrame, width: int, overlap: int) -> DataFrame:
+    """Cut texts over ``width`` into overlapping windows and add ``col_shift``, their start.
+
+    For callers that cannot hold a long line.  The scan does not use it: a window may cut a secret.
+    """
+    n, stride = F.length("text"), width - overlap
+    last = (F.ceil((n - width) / stride) * stride).cast("int")
+    starts = F.when(n > width, F.sequence(F.lit(0), last, F.lit(stride))).otherwise(
         F.array(F.lit(0)))
     others = [c for c in lines.columns if c != "text"]
-    cut = lines.select(*others, "text", F.explode(starts).alias("col_shift")).withColumn(
-        "text",
-        F.when(F.length("text") > MAX_TEXT_LENGTH,
-               F.substring("text", F.col("col_shift") + 1, F.lit(MAX_TEXT_LENGTH)))
-        .otherwise(F.col("text")))
-    return cut if shift_columns else cut.withColumn("col_shift", F.lit(0))
+    return lines.select(*others, "text", F.explode(starts).alias("col_shift")).withColumn(
+        "text", F.when(F.length("text") > width, F.substring(
+            "text", F.col("col_shift") + 1, F.lit(width))).otherwise(F.col("text")))

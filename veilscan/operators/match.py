@@ -13,9 +13,6 @@ from veilscan.functions.placeholders import is_placeholder
 from veilscan.functions.regex import match_spans
 from veilscan.rules import RuleSet
 
-# Values of an allowlist kept in the plan as literals; longer lists come as a DataFrame.
-ALLOWLIST_LITERALS = 1_000
-
 
 def keyword_candidates(segments: DataFrame, rules: RuleSet) -> DataFrame:
     """One row per text and rule whose keyword it holds (rules without keywords always run)."""
@@ -68,31 +65,24 @@ def drop_allowlisted(
 ) -> DataFrame:
     """Drop secrets listed by value or by SHA-256.
 
-    A short list is a literal set.  A DataFrame (column ``entry``) is anti-joined twice, each time
-    on equality, so it may be of any size.
+    A list or a DataFrame (column ``entry``) of any size: it is anti-joined twice, each time on
+    equality.  The optimizer broadcasts a short one; beside a long one a secret with very many
+    matches is split over tasks by the skew join.
     """
     if allowlist is None:
         return matches
+    if not isinstance(allowlist, DataFrame):
+        values = sorted(set(allowlist))
+        if not values:
+            return matches
+        allowlist = matches.sparkSession.createDataFrame([(v,) for v in values], "entry string")
     secret = F.col("secret")
-    if isinstance(allowlist, DataFrame):
-        entries = allowlist.select(T.js_trim(F.col("entry")).alias("_entry")).where(
-            "_entry <> ''").distinct()
-        return (
-            matches.join(entries, secret == F.col("_entry"), "left_anti")
-            .join(entries, F.sha2(secret, 256) == F.col("_entry"), "left_anti")
-        )
-    values = sorted({v.strip() for v in allowlist if v.strip()})
-    if not values:
-        return matches
-    if len(values) > ALLOWLIST_LITERALS:
-        spark = matches.sparkSession
-        return drop_allowlisted(
-            matches, spark.createDataFrame([(v,) for v in values], "entry string"))
-    hashes = [v for v in values if len(v) == 64]
-    allowed = secret.isin(values)
-    if hashes:
-        allowed = allowed | F.sha2(secret, 256).isin(hashes)
-    return matches.where(~allowed)
+    entries = allowlist.select(T.js_trim(F.col("entry")).alias("_entry")).where(
+        "_entry <> ''").distinct()
+    return (
+        matches.join(entries, secret == F.col("_entry"), "left_anti")
+        .join(entries, F.sha2(secret, 256) == F.col("_entry"), "left_anti")
+    )
 
 
 def passes_entropy(

@@ -97,12 +97,12 @@ def secret_reuse(findings: DataFrame) -> DataFrame:
 
 
 def file_totals(files: DataFrame, content: str = "content") -> DataFrame:
-    """One row: files scanned and skipped, and lines scanned.  ``status`` is optional."""
+    """One row: distinct files scanned and skipped, and lines scanned.  ``status`` is optional."""
     scanned = F.col("status") == "scanned" if "status" in files.columns else F.lit(True)
     breaks = F.regexp_count(F.col(content), F.lit("\n"))
     return files.agg(
-        F.count(F.when(scanned, 1)).alias("files_scanned"),
-        F.count(F.when(~scanned, 1)).alias("skipped_files"),
+        F.count_distinct(F.when(scanned, F.col("path"))).alias("files_scanned"),
+        F.count_distinct(F.when(~scanned, F.col("path"))).alias("skipped_files"),
         F.coalesce(F.sum(F.when(scanned, breaks + 1)), F.lit(0)).alias("lines_scanned"))
 
 

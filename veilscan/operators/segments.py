@@ -9,11 +9,9 @@ from veilscan.functions import codecs
 from veilscan.functions.normalize import join_wrapped_base64, normalize
 from veilscan.functions.regex import let, match_spans
 from veilscan.functions.text import built_once
-from veilscan.operators.lines import cut_long_lines
 from veilscan.operators.screen import ENCODED, HIT, REWRITE, screen
 from veilscan.rules import RuleSet
 
-MAX_DECODED_LENGTH = 8_192
 DEFAULT_DECODE_DEPTH = 3
 MAX_DECODE_DEPTH = 10
 DECODED_TYPE = "array<struct<depth:int,codec:string,text:string,offset:int>>"
@@ -107,10 +105,7 @@ def _with_decoded(
             d["offset"].alias("offset"))
 
     every = [
-        F.transform(
-            F.filter(F.col(name), lambda d: F.length(d["text"]) <= MAX_DECODED_LENGTH),
-            labelled(level))
-        for level, name in enumerate(levels, 1)
+        F.transform(F.col(name), labelled(level)) for level, name in enumerate(levels, 1)
     ]
     none = F.array().cast(DECODED_TYPE)
     return df.withColumn("decoded", F.concat(none, *every)).drop("_frontier", *levels)
@@ -128,9 +123,11 @@ def decode_texts(
 
 def to_segments(
     lines: DataFrame, rules: RuleSet, *, decode_depth: int = DEFAULT_DECODE_DEPTH,
-    normalise: bool = True, shift_columns: bool = True, engine: str = "arrow",
+    normalise: bool = True, engine: str = "arrow",
 ) -> DataFrame:
-    """Texts that may hold a finding, one row each.
+    """Texts that may hold a finding, one row each; lines of any length are taken whole.
+
+    What is encoded more than ``decode_depth`` times over is not seen.
 
     Input: any columns with ``text`` and ``prev_text``.  Output: those columns, with ``text``
     replaced by the segment's text and ``line_text`` (the line as it was), ``depth``, ``codec``
@@ -141,15 +138,12 @@ def to_segments(
     df = lines.withColumn(
         "_screen",
         screen(F.col("text"), rules, decode=decode, rewrite=normalise, engine=engine))
-    df = cut_long_lines(df.where("_screen > 0"), shift_columns)
-    df = df.withColumn("line_text", F.col("text")).withColumn(
+    df = df.where("_screen > 0").withColumn("line_text", F.col("text")).withColumn(
         "text", join_wrapped_base64(F.col("text"), F.col("prev_text")))
     rewrite = F.col("_screen").bitwiseAND(REWRITE) > 0
     if normalise:
         df = normalize(df, "text", rewrite)
-    else:
-        df = df.withColumn("text", F.substring("text", 1, 65_536))
-    keep = [c for c in df.columns if c not in ("text", "_screen", "col_shift")]
+    keep = [c for c in df.columns if c not in ("text", "_screen")]
     plain = F.struct(
         F.lit(0).alias("depth"), F.lit("plain").alias("codec"), F.col("text").alias("text"),
         F.lit(0).alias("offset"))
@@ -164,9 +158,8 @@ def to_segments(
         df = _with_decoded(
             df, "text", decode_depth, (F.col("_screen").bitwiseAND(ENCODED) > 0) | rewrite)
         pieces = F.concat(pieces, F.col("decoded"))
-    df = df.select(*keep, "col_shift", F.explode(pieces).alias("_piece")).select(
-        *keep, "_piece.depth", "_piece.codec", "_piece.text",
-        (F.col("_piece.offset") + F.col("col_shift")).alias("offset"))
+    df = df.select(*keep, F.explode(pieces).alias("_piece")).select(
+        *keep, "_piece.depth", "_piece.codec", "_piece.text", "_piece.offset")
     hit = screen(F.col("text"), rules, decode=False, rewrite=False, engine=engine)
     return df.withColumn("_screen", hit).where(
         F.col("_screen").bitwiseAND(HIT) > 0).drop("_screen")

@@ -17,18 +17,13 @@ from veilscan.functions.regex import let
 from veilscan.functions.text import js_trim
 from veilscan.operators.lines import split_lines
 
-# Fixed value: longer files are scanned line by line.
-STRUCTURED_LIMIT = 65_536
-# Levels walked by built-in expressions; deeper documents go through the Arrow helper.
-NATIVE_JSON_DEPTH = 6
-
 LEAF_TYPE = T.ArrayType(T.StructType([
     T.StructField(name, T.StringType()) for name in ("key", "leaf_path", "value")]))
 
 
 @F.arrow_udf(LEAF_TYPE)
-def _deep_leaves(document: pa.Array) -> pa.Array:
-    """String leaves of documents nested too deeply for the unrolled levels."""
+def _leaves(document: pa.Array) -> pa.Array:
+    """String leaves of each document in document order; null where it is null or not JSON."""
     def walk(node, path, out):
         items = node.items() if isinstance(node, dict) else enumerate(node)
         for key, value in items:
@@ -53,58 +48,14 @@ def _deep_leaves(document: pa.Array) -> pa.Array:
     return pa.array([leaves(t) for t in document.to_pylist()], kind)
 
 
-def _children(node: Column) -> Column:
-    """Key, path and value of everything directly inside an object or array."""
-    none = F.array().cast("array<struct<key:string,leaf_path:string,value:variant>>")
-    path, value = node["leaf_path"], node["value"]
-
-    def child(key, inner):
-        here = F.when(path == "", key).otherwise(F.concat(path, F.lit("."), key))
-        return F.struct(key.alias("key"), here.alias("leaf_path"), inner.alias("value"))
-
-    entries = F.map_entries(F.try_variant_get(value, "$", "map<string,variant>"))
-    items = F.try_variant_get(value, "$", "array<variant>")
-    return F.coalesce(
-        F.transform(entries, lambda e: child(e["key"], e["value"])),
-        F.transform(items, lambda v, i: child(i.cast("string"), v)),
-        none)
-
-
 def json_leaves(df: DataFrame, column: str, out: str = "leaves", when: Column | None = None):
     """Add ``out``: string leaves of the JSON text, or null where it is not valid JSON.
 
-    One array per nesting level, each level built from the containers of the level before.
+    One walk for documents of any size and depth; texts that are not asked for are null to it.
     """
     text = F.col(column) if when is None else F.when(when, F.col(column))
-    empty = F.array().cast(LEAF_TYPE)
-    df = df.withColumn("_doc", F.try_parse_json(text))
-    df = df.withColumn("_frontier", F.when(F.col("_doc").isNotNull(), F.array(F.struct(
-        F.lit("").alias("key"), F.lit("").alias("leaf_path"), F.col("_doc").alias("value")))))
-    grown = F.flatten(F.transform(F.col("_frontier"), _children))
-    kinds = F.transform("_grown", lambda n: F.struct(
-        n["key"].alias("key"), n["leaf_path"].alias("leaf_path"), n["value"].alias("value"),
-        F.schema_of_variant(n["value"]).alias("kind")))
-    strings = F.transform(
-        F.filter("_kinds", lambda n: n["kind"] == "STRING"),
-        lambda n: F.struct(n["key"].alias("key"), n["leaf_path"].alias("leaf_path"),
-                           F.try_variant_get(n["value"], "$", "string").alias("value")))
-    containers = F.transform(
-        F.filter("_kinds", lambda n: n["kind"].rlike("^(?:OBJECT|ARRAY)")),
-        lambda n: F.struct(n["key"].alias("key"), n["leaf_path"].alias("leaf_path"),
-                           n["value"].alias("value")))
-    levels = []
-    for level in range(NATIVE_JSON_DEPTH):
-        df = df.withColumn("_grown", F.when(F.size("_frontier") > 0, grown))
-        df = df.withColumn("_kinds", kinds)
-        df = df.withColumn(f"_leaves{level}", F.coalesce(strings, empty))
-        df = df.withColumn("_frontier", containers)
-        levels.append(f"_leaves{level}")
-    deep = F.size("_frontier") > 0
     # Declared non-deterministic: the optimizer must not copy the call into other expressions.
-    df = df.withColumn("_deep", _deep_leaves.asNondeterministic()(F.when(deep, F.col(column))))
-    found = F.when(deep, F.col("_deep")).when(F.col("_doc").isNotNull(), F.concat(*levels))
-    return df.withColumn(out, found).drop(
-        "_doc", "_frontier", "_grown", "_kinds", "_deep", *levels)
+    return df.withColumn(out, _leaves.asNondeterministic()(text))
 
 
 def env_entries(content: Column) -> Column:
@@ -129,17 +80,13 @@ def env_entries(content: Column) -> Column:
     return F.filter(entries, lambda e: e.isNotNull())
 
 
-def is_structured(path: Column, content: Column, kind: str) -> Column:
-    return (suffix(path) == kind) & (F.length(content) < STRUCTURED_LIMIT)
-
-
 def structured_rows(files: DataFrame, content: str = "content") -> DataFrame:
     """Add ``entries``: ``array<struct<line, text, leaf_path>>`` of structured files.
 
-    Null when the file must be read line by line: not structured, too long, or not parseable.
+    Null when the file must be read line by line: not structured or not parseable.
     """
     text = F.col(content)
-    df = json_leaves(files, content, "_leaves", is_structured(F.col("path"), text, "json"))
+    df = json_leaves(files, content, "_leaves", suffix(F.col("path")) == "json")
     leaf_rows = F.transform("_leaves", lambda leaf: F.struct(
         F.lit(1).alias("line"),
         F.concat(leaf["key"], F.lit(": "), leaf["value"]).alias("text"),
@@ -148,5 +95,5 @@ def structured_rows(files: DataFrame, content: str = "content") -> DataFrame:
         e["line"].alias("line"), e["text"].alias("text"),
         F.lit(None).cast("string").alias("leaf_path")))
     entries = F.when(F.col("_leaves").isNotNull(), leaf_rows).when(
-        is_structured(F.col("path"), text, "env"), env_rows)
+        suffix(F.col("path")) == "env", env_rows)
     return df.withColumn("entries", entries).drop("_leaves")

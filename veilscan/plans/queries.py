@@ -261,7 +261,7 @@ def merged_lines(spark, sf_dir):
 def long_line_chunks(spark, sf_dir):
     docs = spread(documents(spark, sf_dir))
     one_line = docs.select("path", F.translate("content", "\n", " ").alias("text"))
-    return cut_long_lines(one_line).select(
+    return cut_long_lines(one_line, 4_096, 256).select(
         "path", "col_shift", F.length("text").alias("n_chars"), _digest("text").alias("text_md5"))
 
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilscan.functions.directives import DEFAULT_TAG
-from veilscan.functions.sizes import DEFAULT_MAX_FILE_SIZE
+from veilscan.operators.blocks import scan_blocks
 from veilscan.operators.lines import line_rows, to_lines
 from veilscan.operators.match import match_segments
 from veilscan.operators.segments import DEFAULT_DECODE_DEPTH, to_segments
@@ -22,7 +22,7 @@ def scan_lines(
     lines: DataFrame, rules: RuleSet | None = None, *,
     allowlist: Iterable[str] | DataFrame | None = None,
     min_severity: str = "low", decode_depth: int = DEFAULT_DECODE_DEPTH, normalise: bool = True,
-    tag: str = DEFAULT_TAG, keep_secret: bool = False, shift_columns: bool = True,
+    tag: str = DEFAULT_TAG, keep_secret: bool = False,
     engine: str = "arrow", extra: Iterable[str] = (),
 ) -> DataFrame:
     """Findings of a table ``(path, line, text[, prev_text])``.
@@ -35,8 +35,7 @@ def scan_lines(
     extra = list(extra)
     lines = lines.select("path", "line", "text", "prev_text", *extra)
     segments = to_segments(
-        lines, rules, decode_depth=decode_depth, normalise=normalise,
-        shift_columns=shift_columns, engine=engine)
+        lines, rules, decode_depth=decode_depth, normalise=normalise, engine=engine)
     return match_segments(
         segments, rules, allowlist=allowlist, tag=tag, extra=extra, keep_secret=keep_secret)
 
@@ -49,15 +48,21 @@ def scan_texts(
 
     ``merge_lines`` joins spliced source lines (leave it off for prose, where apostrophes look
     like open quotes).  ``structured`` reads JSON and dotenv files by their entries; findings then
-    carry ``leaf_path``.
+    carry ``leaf_path``.  Rules for secrets over several lines look at whole texts as well.
     """
     extra = list(options.pop("extra", ()))
     files = files.select("path", "content", *extra)
-    if not structured:
-        return scan_lines(
-            to_lines(files, "content", merge_lines), rules, extra=extra, **options)
-    return scan_lines(
-        file_lines(files, merge_lines), rules, extra=[*extra, "leaf_path"], **options)
+    if structured:
+        files = files.withColumn("leaf_path", F.lit(None).cast("string"))
+        extra = [*extra, "leaf_path"]
+    lines = (file_lines(files.drop("leaf_path"), merge_lines) if structured
+             else to_lines(files, "content", merge_lines))
+    found = scan_lines(lines, rules, extra=extra, **options)
+    chosen = (rules or effective_rules()).at_least(options.get("min_severity", "low"))
+    if not any(rule.scope == "block" for rule in chosen.rules):
+        return found
+    kept = {k: v for k, v in options.items() if k in ("allowlist", "keep_secret", "engine")}
+    return found.unionByName(scan_blocks(files, chosen, extra=extra, **kept))
 
 
 def file_lines(files: DataFrame, merge_lines: bool = True) -> DataFrame:
@@ -83,7 +88,7 @@ def file_lines(files: DataFrame, merge_lines: bool = True) -> DataFrame:
 def scan_files(
     spark: SparkSession, path: str, rules: RuleSet | None = None, *,
     ignore: Iterable[str] = (), scan_all_extensions: bool = False,
-    max_file_size: str | int = DEFAULT_MAX_FILE_SIZE, merge_lines: bool = True, **options,
+    max_file_size: str | int | None = None, merge_lines: bool = True, **options,
 ) -> DataFrame:
     """Findings of a directory tree or a single file."""
     files = read_files(
@@ -96,17 +101,15 @@ def scan_files(
 def scan_history(
     blocks: DataFrame, rules: RuleSet | None = None, *, marker: str | None = None,
     max_commits: int | None = None, ignore: Iterable[str] = (), only_file: str | None = None,
-    max_diff_bytes: str | int = DEFAULT_MAX_FILE_SIZE, **options,
+    max_diff_bytes: str | int | None = None, **options,
 ) -> DataFrame:
     """Findings in the added lines of a commit log, tagged with their commit.
 
-    Each added line stands alone: there is no previous line, no merging, and columns count from
-    the start of a cut.
+    Each added line stands alone: there is no previous line and no merging.
     """
     named = {} if marker is None else {"marker": marker}
     lines = history_lines(
         blocks, max_commits=max_commits, ignore=list(ignore), only_file=only_file,
         max_diff_bytes=max_diff_bytes, **named)
     return scan_lines(
-        lines, rules, extra=["commit", "commit_author", "commit_date"], shift_columns=False,
-        **options)
+        lines, rules, extra=["commit", "commit_author", "commit_date"], **options)

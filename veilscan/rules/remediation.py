@@ -66,5 +66,5 @@ def with_remediation(findings: DataFrame, rules: RuleSet) -> DataFrame:
     """Findings with the steps of their rule as an array."""
     steps = remediation(findings.sparkSession, rules).groupBy("rule_id").agg(
         F.array_sort(F.collect_list(F.struct("step_no", "step"))).alias("_steps"))
-    return findings.join(F.broadcast(steps), "rule_id", "left").withColumn(
+    return findings.join(steps, "rule_id", "left").withColumn(
         "steps", F.transform("_steps", lambda s: s["step"])).drop("_steps")

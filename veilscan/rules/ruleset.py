@@ -21,15 +21,12 @@ from veilscan.functions.regex import (
 from veilscan.rules.catalog import Rule, builtin_rules
 from veilscan.schemas import CUSTOM_RULE_SCHEMA, RULE_SCHEMA, SEVERITY_WEIGHT
 
-# Rules are shipped to every task; beyond this many rows the join is left to the optimizer.
-BROADCAST_RULE_LIMIT = 20_000
-
 
 class RuleError(ValueError):
     """A custom rule or rules file that cannot be used."""
 
 
-def compile_custom_rule(definition: Mapping) -> Rule:
+def compile_custom_rule(definition: Mapping, check: bool = True) -> Rule:
     """Validate one custom rule definition and make it a rule."""
     rule_id = definition.get("id") or ""
     problems = [
@@ -58,19 +55,26 @@ def compile_custom_rule(definition: Mapping) -> Rule:
         min_entropy, (min_entropy is not None) if requires is None else requires,
         definition["name"], definition.get("description") or "Custom user-defined detection rule",
     )
-    check_pattern(rule)
+    if check:
+        check_patterns([rule])
     return rule
 
 
-def check_pattern(rule: Rule) -> None:
-    """Raise when the JVM cannot compile the pattern of a rule."""
+def check_patterns(rules: list[Rule]) -> None:
+    """Raise when the JVM cannot compile the pattern of a rule: one job for all of them, and more
+    only to name the faulty one."""
     session = SparkSession.getActiveSession()
-    if session is None:
+    if session is None or not rules:
         return
     try:
-        session.range(1).select(F.regexp_instr(F.lit(""), F.lit(rule.pattern))).collect()
+        session.range(1).select(
+            *(F.regexp_instr(F.lit(""), F.lit(rule.pattern)) for rule in rules)).collect()
     except Exception as error:
-        raise RuleError(f'Invalid regex in custom rule "{rule.rule_id}": {error}') from error
+        if len(rules) > 1:
+            half = len(rules) // 2
+            check_patterns(rules[:half])
+            check_patterns(rules[half:])
+        raise RuleError(f'Invalid regex in custom rule "{rules[0].rule_id}": {error}') from error
 
 
 def load_custom_rules(spark: SparkSession, path: str) -> list[Rule]:
@@ -107,7 +111,9 @@ def load_custom_rules(spark: SparkSession, path: str) -> list[Rule]:
         definitions = None
     if definitions is None:
         raise RuleError(f'Rules file "{path}" must hold a JSON array of rules or a "customRules" list')
-    return [compile_custom_rule(d.asDict()) for d in definitions]
+    compiled = [compile_custom_rule(d.asDict(), check=False) for d in definitions]
+    check_patterns(compiled)
+    return compiled
 
 
 @dataclass(frozen=True)
@@ -139,9 +145,8 @@ class RuleSet:
         return spark.createDataFrame(rows, RULE_SCHEMA)
 
     def joinable(self, spark: SparkSession) -> DataFrame:
-        """Rule rows for the match join, broadcast while their number is within the limit."""
-        df = self.to_df(spark)
-        return F.broadcast(df) if len(self.rules) <= BROADCAST_RULE_LIMIT else df
+        """Rule rows for the match join; the optimizer knows their size and broadcasts small ones."""
+        return self.to_df(spark)
 
     @cached_property
     def anchor_regex(self) -> str | None:
@@ -159,8 +164,7 @@ class RuleSet:
         """The same for RE2; ``None`` when a rule without keywords has no RE2 form."""
         literals = [k.lower() for r in self.rules if r.keywords and not r.anchor for k in r.keywords]
         anchors = dict.fromkeys(r.anchor for r in self.rules if r.keywords and r.anchor)
-        unkeyed = [f"(?-i:{to_re2(r.source)})" if "i" not in r.flags else to_re2(r.source)
-                   for r in self.unkeyed]
+        unkeyed = [_with_flags(to_re2(r.source), r.flags) for r in self.unkeyed]
         parts = [re.escape(word) for word in sorted(set(literals))]
         parts += _share_tails([to_re2(anchor) for anchor in anchors]) + unkeyed
         return "|".join(parts) or None
@@ -217,6 +221,13 @@ class RuleSet:
         return F.array_distinct(F.concat(*arrays))
 
 
+def _with_flags(pattern: str, flags: str) -> str:
+    """An RE2 pattern under its own flags, within one that ignores case."""
+    on = "".join(f for f in "ms" if f in flags)
+    off = "" if "i" in flags else "-i"
+    return f"(?{on}{off}:{pattern})" if on or off else f"(?:{pattern})"
+
+
 def _share_tails(patterns: list[str]) -> list[str]:
     """Join ``(?:vendor)<same tail>`` patterns into one alternation in front of the shared tail."""
     shared: dict[str, list[str]] = {}

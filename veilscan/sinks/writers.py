@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import json
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from datetime import datetime, timezone
 
 import pandas as pd
@@ -15,7 +15,8 @@ from veilscan.operators.score import REPORT_ORDER
 from veilscan.rules import RuleSet, effective_rules
 from veilscan.sinks import reports as R
 
-# Findings per report file; larger reports are split into several complete files.
+# A report is a folder of files, each a complete document of about this many findings with its own
+# counts; a small report is a folder of one.
 FINDINGS_PER_FILE = 50_000
 
 
@@ -29,14 +30,17 @@ def write_baseline_table(findings: DataFrame, path: str, mode: str = "overwrite"
 
 
 def write_baseline_json(findings: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Baseline files of the JSON layout; several when there are many entries."""
+    """A folder of baseline files of the JSON layout, each with its own number of entries."""
     entries = baseline_entries(findings).select(F.to_json(F.struct(
         "fingerprint", F.col("rule_id").alias("ruleId"), "file", "line")).alias("fragment"))
     created = datetime.now(timezone.utc).isoformat()
     entries = entries.persist()
     try:
         total = entries.count()
-        head = f'{{"version":"1.0","createdAt":"{created}","totalFindings":{total},"entries":['
+
+        def head(count: int) -> str:
+            return f'{{"version":"1.0","createdAt":"{created}","totalFindings":{count},"entries":['
+
         _write_framed(entries.repartition(_files(total)), path, head, "]}", ",", mode)
     finally:
         entries.unpersist()
@@ -47,23 +51,22 @@ def _files(total: int) -> int:
 
 
 def _write_framed(
-    rows: DataFrame, path: str, head: str, tail: str, separator: str, mode: str
+    rows: DataFrame, path: str, head: Callable[[int], str], tail: str, separator: str, mode: str,
+    counted: str = "",
 ) -> None:
-    """Write each partition of ``fragment`` as one complete document, row by row."""
+    """Write each partition of ``fragment`` as one complete document.
+
+    The head states the document's own number of findings (fragments that hold ``counted``), so a
+    partition, which holds about
+    ``FINDINGS_PER_FILE`` of them, is read before its first row is written.
+    """
 
     def frame(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        yield pd.DataFrame({"value": [head]})
-        first = True
-        for batch in batches:
-            if len(batch) == 0:
-                continue
-            lines = batch["fragment"].tolist()
-            ends = [separator] * (len(lines) - 1)
-            # The separator goes before a row, so that the last row has none after it.
-            starts = ["" if first else separator] + ends
-            first = False
-            yield pd.DataFrame({"value": [s + line for s, line in zip(starts, lines)]})
-        yield pd.DataFrame({"value": [tail]})
+        lines = [line for batch in batches for line in batch["fragment"]]
+        count = sum(counted in line for line in lines)
+        # The separator goes before a row, so that the last row has none after it.
+        rest = [separator + line for line in lines[1:]]
+        yield pd.DataFrame({"value": [head(count), *lines[:1], *rest, tail]})
 
     rows.select("fragment").mapInPandas(frame, "value string").write.mode(mode).text(path)
 
@@ -81,25 +84,25 @@ def write_report(
 ) -> None:
     """Write a ``sarif``, ``junit``, ``quality``, ``json`` or ``annotations`` report.
 
-    A large report becomes several files, each a complete document.
+    ``path`` becomes a folder of complete documents (see ``FINDINGS_PER_FILE``).  A summary is that of
+    the whole report.
     """
     findings = findings.drop("secret").persist()
     try:
         total = findings.count()
         spark = findings.sparkSession
         if kind == "sarif":
-            head, tail = R.sarif_frame(spark, rules or effective_rules())
+            start, tail = R.sarif_frame(spark, rules or effective_rules())
             rows, separator = R.sarif_results(findings), ","
         elif kind == "quality":
-            head, tail, separator, rows = "[", "]", ",", R.quality_issues(findings)
+            start, tail, separator, rows = "[", "]", ",", R.quality_issues(findings)
         elif kind == "json":
             about = "{}" if summary is None else R.json_summary(summary).head().fragment
-            head, tail, separator = f'{{"summary":{about},"findings":[', "]}", ","
+            start, tail, separator = f'{{"summary":{about},"findings":[', "]}", ","
             rows = R.json_findings(findings)
         elif kind == "junit":
             files = 0 if summary is None else summary.head().files_scanned
-            head, tail = R.junit_frame(files, total)
-            rows, separator = R.junit_rows(findings), ""
+            tail, rows, separator = R.junit_frame(files, 0)[1], R.junit_rows(findings), ""
         elif kind == "annotations":
             _sorted_parts(R.annotations(findings), total, REPORT_ORDER).select(
                 F.col("fragment").alias("value")).write.mode(mode).text(path)
@@ -113,7 +116,12 @@ def write_report(
             parts = parts.sortWithinPartitions("path", "part", *REPORT_ORDER[1:])
         else:
             parts = _sorted_parts(rows, total, REPORT_ORDER)
-        _write_framed(parts, path, head, tail, separator, mode)
+
+        def head(count: int) -> str:
+            return R.junit_frame(files, count)[0] if kind == "junit" else start
+
+        _write_framed(parts, path, head, tail, separator, mode,
+                      "<testcase " if kind == "junit" else "")
     finally:
         findings.unpersist()
 

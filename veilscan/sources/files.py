@@ -15,12 +15,11 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from veilscan.functions import paths as P
-from veilscan.functions.sizes import DEFAULT_MAX_FILE_SIZE, parse_byte_size
+from veilscan.functions.sizes import parse_byte_size
 
 FILE_SCHEMA = "path string, content binary, length bigint"
-# What counts as binary or as UTF-16 without a byte order mark.
-UTF16_SAMPLE, UTF16_NULL_SHARE = 512, 0.3
-BINARY_SAMPLE, BINARY_NULL_SHARE = 1_024, 0.01
+# Shares of zero bytes that mean binary, or UTF-16 without a byte order mark.
+UTF16_NULL_SHARE, BINARY_NULL_SHARE = 0.3, 0.01
 ARCHIVE_SUFFIXES = ["zip", "jar"]
 
 
@@ -84,12 +83,13 @@ def _read_hidden(spark: SparkSession, root: str, hidden: list[tuple[str, str, in
 
 def read_files(
     spark: SparkSession, path: str, *, ignore: Iterable[str] = (),
-    scan_all_extensions: bool = False, max_file_size: str | int = DEFAULT_MAX_FILE_SIZE,
+    scan_all_extensions: bool = False, max_file_size: str | int | None = None,
 ) -> DataFrame:
     """Walk a directory (or take one file): ``path, content, length, status``.
 
     ``path`` is relative to the directory.  ``status`` is ``scanned``, ``too-large`` or
-    ``symlink``; ignored paths are left out, and the content of skipped files is not read.
+    ``symlink``; ignored paths are left out, and the content of skipped files is not read.  Without
+    ``max_file_size`` no file is too large.
     """
     ignore = list(ignore)
     limit = parse_byte_size(max_file_size)
@@ -129,23 +129,37 @@ def read_files(
     name = F.col("path")
     files = files.where(
         ~P.in_excluded_directory(name) & ~P.is_ignored_path(name, ignore, scan_all_extensions))
-    linked = P.any_of((name == link) | name.startswith(link + "/") for link in links)
-    status = F.when(linked, "symlink").when(F.col("length") > limit, "too-large").otherwise(
-        "scanned")
-    return files.withColumn("status", status).withColumn(
-        "content", F.when(F.col("status") == "scanned", F.col("content")))
+    if links:
+        # A path is linked when it, or a folder above it, is a link: equi-joins on its beginnings.
+        table = spark.createDataFrame([(link,) for link in links], "_link string")
+        parts = F.split(name, "/")
+        starts = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda n: F.array_join(
+            F.slice(parts, F.lit(1), n), "/"))
+        linked = files.select(name, F.explode(starts).alias("_link")).join(
+            table, "_link", "left_semi").select("path").distinct()
+        files = files.join(linked, "path", "left_anti").withColumn(
+            "_linked", F.lit(False)).unionByName(
+            files.join(linked, "path", "left_semi").withColumn("_linked", F.lit(True)))
+    else:
+        files = files.withColumn("_linked", F.lit(False))
+    # The limit reaches the reader of the scanned branch; the other one reads names and sizes.
+    taken = files.where(~F.col("_linked") & (F.col("length") <= limit))
+    skipped = files.where(F.col("_linked") | (F.col("length") > limit))
+    return taken.select("path", "content", "length", F.lit("scanned").alias("status")).unionByName(
+        skipped.select("path", F.lit(None).cast("binary").alias("content"), "length", F.when(
+            F.col("_linked"), "symlink").otherwise("too-large").alias("status")))
 
 
-def null_share(content: Column, sample: int) -> Column:
-    """Share of zero bytes among the first ``sample`` bytes; 0 for empty content."""
-    head = F.decode(F.substring(content, 1, sample), "ISO-8859-1")
-    nulls = F.length(head) - F.length(F.replace(head, F.lit("\0"), F.lit("")))
-    return F.when(F.length(head) > 0, nulls / F.length(head)).otherwise(0.0)
+def null_share(content: Column) -> Column:
+    """Share of zero bytes in the whole content; 0 for empty content."""
+    body = F.decode(content, "ISO-8859-1")
+    nulls = F.length(body) - F.length(F.replace(body, F.lit("\0"), F.lit("")))
+    return F.when(F.length(body) > 0, nulls / F.length(body)).otherwise(0.0)
 
 
 def looks_binary(content: Column) -> Column:
     """The guard of snapshot content: more than a trace of zero bytes."""
-    return null_share(content, BINARY_SAMPLE) > BINARY_NULL_SHARE
+    return null_share(content) > BINARY_NULL_SHARE
 
 
 @F.arrow_udf(T.StringType())
@@ -163,7 +177,7 @@ def decode_bytes(content: Column) -> Column:
     """Text of a file: UTF-16 by byte order mark or by its zero bytes, else UTF-8 without NULs."""
     head = F.hex(F.substring(content, 1, 4))
     ascii_byte = "(?:[2-6][0-9A-F]|7[0-9A-E])"
-    many_nulls = null_share(content, UTF16_SAMPLE) > UTF16_NULL_SHARE
+    many_nulls = null_share(content) > UTF16_NULL_SHARE
     little_mark, big_mark = head.startswith("FFFE"), head.startswith("FEFF")
     little = little_mark | (many_nulls & head.rlike(f"^{ascii_byte}00{ascii_byte}00$"))
     big = big_mark | (many_nulls & head.rlike(f"^00{ascii_byte}00{ascii_byte}$"))
@@ -178,8 +192,7 @@ def decode_bytes(content: Column) -> Column:
 def expand_archives(files: DataFrame) -> DataFrame:
     """Replace zip and jar files by their members, path ``archive://member``.
 
-    Folders and members with a zero byte near the start are skipped.  Archives that cannot be read
-    stay as they are.  Output columns: ``path, content``.
+    Folders, and members with more than a trace of zero bytes, are skipped; members come one by one.  Archives that cannot be read stay as they are.  Output columns: ``path, content``.
     """
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -189,14 +202,18 @@ def expand_archives(files: DataFrame) -> DataFrame:
                     continue
                 try:
                     with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                        names = [i for i in archive.infolist() if not i.is_dir()]
-                        bodies = [(i.filename, archive.read(i)) for i in names]
+                        # Sound archives are read member by member, the others not at all.
+                        broken = archive.testzip() is not None
+                        for member in () if broken else archive.infolist():
+                            body = b"" if member.is_dir() else archive.read(member)
+                            if not member.is_dir() and (
+                                    body.count(0) <= BINARY_NULL_SHARE * len(body)):
+                                yield pd.DataFrame(
+                                    {"path": [f"{path}://{member.filename}"], "content": [body]})
                 except (zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError, OSError):
+                    broken = True
+                if broken:
                     yield pd.DataFrame({"path": [path], "content": [content]})
-                    continue
-                for name, body in bodies:
-                    if b"\0" not in body[:BINARY_SAMPLE]:
-                        yield pd.DataFrame({"path": [f"{path}://{name}"], "content": [body]})
 
     is_archive = P.suffix(F.col("path")).isin(ARCHIVE_SUFFIXES)
     plain = files.select("path", "content").where(~is_archive)

@@ -10,7 +10,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from veilscan.functions.paths import is_ignored_path
-from veilscan.functions.sizes import DEFAULT_MAX_FILE_SIZE, parse_byte_size
+from veilscan.functions.sizes import parse_byte_size
 
 COMMIT_MARKER = "__COMMIT_START__"
 HUNK_HEADER = r"^@@ -\d+(?:,\d+)? \+(\d+)(?:,\d+)? @@"
@@ -19,10 +19,20 @@ LOG_LINE_BREAK = r"\r\n|\n|\r"
 
 def read_log(spark: SparkSession, path: str, marker: str = COMMIT_MARKER) -> DataFrame:
     """One row per commit from text exported with ``marker NUL hash NUL author NUL date NUL``."""
-    return (
-        spark.read.option("lineSep", marker).text(path)
-        .select(F.concat(F.lit(marker), "value").alias("block")).where(F.length("block") > len(marker))
-    )
+    return log_blocks(spark.read.option("lineSep", record_separator(marker)).text(path), marker)
+
+
+def record_separator(marker: str) -> str:
+    """A commit begins at the marker at a line's start, before a NUL; elsewhere it is text."""
+    return f"\n{marker}\0"
+
+
+def log_blocks(records: DataFrame, marker: str) -> DataFrame:
+    """Whole blocks of records that were split at the separator; only a file's first has its head."""
+    head = F.lit(f"{marker}\0")
+    return records.where(F.length("value") > 0).select(F.when(
+        F.col("value").startswith(head), F.col("value")).otherwise(
+        F.concat(head, "value")).alias("block"))
 
 
 def parse_commits(blocks: DataFrame, marker: str = COMMIT_MARKER) -> DataFrame:
@@ -80,7 +90,7 @@ def is_binary_diff(section: Column) -> Column:
 
 
 def added_lines(
-    diffs: DataFrame, max_diff_bytes: str | int = DEFAULT_MAX_FILE_SIZE
+    diffs: DataFrame, max_diff_bytes: str | int | None = None
 ) -> DataFrame:
     """One row per added line: ``line`` and ``text``, up to the byte limit of each file diff."""
     limit = parse_byte_size(max_diff_bytes)
@@ -114,7 +124,7 @@ def added_lines(
 def history_lines(
     blocks: DataFrame, *, marker: str = COMMIT_MARKER, max_commits: int | None = None,
     ignore: list[str] | tuple[str, ...] = (), only_file: str | None = None,
-    max_diff_bytes: str | int = DEFAULT_MAX_FILE_SIZE,
+    max_diff_bytes: str | int | None = None,
 ) -> DataFrame:
     """Added lines of a whole log, ready to scan."""
     commits = newest_commits(parse_commits(blocks, marker), max_commits)

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from veilscan.functions import paths as P
-from veilscan.functions.sizes import DEFAULT_MAX_FILE_SIZE, parse_byte_size
+from veilscan.functions.sizes import parse_byte_size
 from veilscan.sources.files import looks_binary
 
 SYMLINK_MODE = "120000"
@@ -16,7 +16,7 @@ def pick_snapshot(snapshots: DataFrame, snapshot_id: Column | str) -> DataFrame:
     return snapshots.where(F.col("snapshot_id") == snapshot_id).drop("snapshot_id")
 
 
-def guard(files: DataFrame, max_file_size: str | int = DEFAULT_MAX_FILE_SIZE) -> DataFrame:
+def guard(files: DataFrame, max_file_size: str | int | None = None) -> DataFrame:
     """Add ``status``: ``scanned`` or the reason a file is skipped; skipped content becomes null."""
     limit = parse_byte_size(max_file_size)
     data = F.col("content").cast("binary")

@@ -13,7 +13,7 @@ from pyspark.sql.streaming import StreamingQuery
 from veilscan.operators.baseline import with_fingerprint
 from veilscan.plans.scan import scan_history, scan_lines, scan_texts
 from veilscan.rules import RuleSet
-from veilscan.sources.history import COMMIT_MARKER
+from veilscan.sources.history import COMMIT_MARKER, log_blocks, record_separator
 
 
 def read_text_stream(spark: SparkSession, path: str, files_per_batch: int = 1_000) -> DataFrame:
@@ -29,11 +29,9 @@ def read_log_stream(
     spark: SparkSession, path: str, marker: str = COMMIT_MARKER
 ) -> DataFrame:
     """Stream of commit blocks; a block is one row, so no state is carried between batches."""
-    return (
-        spark.readStream.format("text").option("lineSep", marker).load(path)
-        .where(F.length("value") > 0)
-        .select(F.concat(F.lit(marker), "value").alias("block"))
-    )
+    records = (
+        spark.readStream.format("text").option("lineSep", record_separator(marker)).load(path))
+    return log_blocks(records, marker)
 
 
 def stream_texts(texts: DataFrame, rules: RuleSet | None = None, **options) -> DataFrame:
