@@ -11,6 +11,7 @@ from veilscan.functions.regex import to_re2
 from veilscan.operators.score import REPORT_ORDER
 from veilscan.plans.queries import CUSTOM_RULES
 from veilscan.rules import Rule, builtin_rules
+from veilscan.rules.catalog import NOT_CODE
 from veilscan.rules.remediation import STEPS
 
 ZWSP = "\u200b"
@@ -119,8 +120,7 @@ def sql_pattern(rule: Rule) -> str:
     """
     source = rule.source
     if rule.rule_id == "generic-password":
-        source = source.replace(r"(?!(?:process\.|getenv\b|\$\{|[a-zA-Z_]\w*\())", "")
-        source = source.replace(r"(?=[\s#;]|$)", "")
+        source = source.replace(NOT_CODE, "")
     flags = "(?i)" if "i" in rule.flags else ""
     return f"{flags}(?:{to_re2(source)})()()"
 
@@ -220,9 +220,10 @@ CONFIG_SEGMENTS = CONFIGS + """, conf_lines AS (
   UNION ALL SELECT path, 2, NULL, 'id ' || ak FROM conf WHERE k % 4 = 3)"""
 
 ENCODED = KEYS + """, enc AS (
-  SELECT k, ak, CASE k % 6 WHEN 1 THEN 2 WHEN 3 THEN 2 ELSE 1 END AS depth,
-         CASE k % 6 WHEN 0 THEN 'base64' WHEN 1 THEN 'base64' WHEN 2 THEN 'hex'
-                    WHEN 3 THEN 'base64' WHEN 4 THEN 'bytes' ELSE 'reversed' END AS codec
+  SELECT k, ak, CASE k % 9 WHEN 1 THEN 2 WHEN 3 THEN 2 ELSE 1 END AS depth,
+         CASE k % 9 WHEN 0 THEN 'base64' WHEN 1 THEN 'base64' WHEN 2 THEN 'hex'
+                    WHEN 3 THEN 'base64' WHEN 4 THEN 'bytes' WHEN 5 THEN 'reversed'
+                    WHEN 6 THEN 'percent' WHEN 7 THEN 'base32' ELSE 'ascii85' END AS codec
   FROM keys)"""
 
 SNAPSHOTS = KEYS + """, files AS (
@@ -460,11 +461,11 @@ marked AS (SELECT *, {FINGERPRINT} IN (SELECT fp FROM base) AS suppressed FROM f
             f"""SELECT s.severity, count(risks.w) AS count
 FROM {severities} LEFT JOIN risks USING (w) GROUP BY s.severity""", more=risks),
         "score_report": seeded(
-            f"""SELECT score, {TIER} AS tier, critical, high, medium, low FROM (
+            f"""SELECT CAST(score AS INTEGER) AS score, {TIER} AS tier, critical, high, medium, low FROM (
   SELECT greatest(0, 100 - coalesce(sum({PENALTY}), 0)) AS score,
          count(*) FILTER (w = 4) AS critical, count(*) FILTER (w = 3) AS high,
          count(*) FILTER (w = 2) AS medium, count(*) FILTER (w = 1) AS low
-  FROM (SELECT secret_hash, max({WEIGHT}) AS w FROM found WHERE path = 'src/m1/f1.ts'
+  FROM (SELECT secret_hash, max({WEIGHT}) AS w FROM found
         GROUP BY secret_hash))"""),
         "findings_per_severity": seeded(
             "SELECT severity, count(*) AS count FROM found GROUP BY severity"),
@@ -552,7 +553,7 @@ def _reports() -> dict[str, str]:
         return seeded(f"SELECT {order}, {fragment} AS fragment FROM found")
 
     message = json_text(
-        "'Secret detected by rule ''' || rule_name || ''' (masked: ' || masked_value || ')'")
+        "'Rule ''' || rule_name || ''' found a secret: ' || masked_value")
     location = ("""'"locations":[{"physicalLocation":{"artifactLocation":{"uri":' || """
                 + json_text("path")
                 + """ || ',"uriBaseId":"%SRCROOT%"},"region":{"startLine":' || greatest(1, line) """
@@ -562,11 +563,11 @@ def _reports() -> dict[str, str]:
     case = (
         "'    <testcase classname=\"' || path || '\" name=\"' || " + xml_name
         + " || ' at line ' || line || ':' || \"column\" || '\" time=\"0.001\">' || chr(10) || "
-        "'      <failure message=\"[' || upper(severity) || '] ' || rule_name || ' detected: ' || "
-        "masked_value || ' (' || rule_id || ')\" type=\"SecurityLeak\">Secret finding in ' || path "
-        "|| ':' || line || ':' || \"column\" || chr(10) || 'Rule ID: ' || rule_id || chr(10) || "
-        "'Severity: ' || severity || chr(10) || 'Masked Secret: ' || masked_value || chr(10) || "
-        "'Remediation: Revoke and rotate this credential immediately.</failure>' || chr(10) || "
+        "'      <failure message=\"[' || upper(severity) || '] ' || rule_name || ': ' || "
+        "masked_value || ' (' || rule_id || ')\" type=\"SecurityLeak\">At ' || path "
+        "|| ':' || line || ':' || \"column\" || chr(10) || 'Rule: ' || rule_id || chr(10) || "
+        "'Severity: ' || severity || chr(10) || 'Secret: ' || masked_value || chr(10) || "
+        "'What to do: withdraw this credential and issue a new one.</failure>' || chr(10) || "
         "'    </testcase>'")
     return {
         "report_json": report(
@@ -586,8 +587,8 @@ def _reports() -> dict[str, str]:
             + location + " AS fragment FROM found"),
         "report_quality": report(
             "'{\"description\":' || "
-            + json_text("'[' || upper(severity) || '] ' || rule_name || ': Secret detected (' || "
-                        "masked_value || '). Revoke immediately.'")
+            + json_text("'[' || upper(severity) || '] ' || rule_name || ': found ' || "
+                        "masked_value || '. Withdraw it now.'")
             + " || ',\"check_name\":\"' || rule_id || '\",\"fingerprint\":\"' || "
             "sha256(path || ':' || line || ':' || \"column\" || ':' || rule_id || ':' || masked_value) "
             "|| '\",\"severity\":\"' || CASE severity WHEN 'critical' THEN 'blocker' "
@@ -603,8 +604,8 @@ UNION ALL SELECT DISTINCT path, 2, NULL, NULL, NULL, '  </testsuite>' FROM found
         "report_annotations": report(
             "'::' || CASE WHEN severity IN ('critical', 'high') THEN 'error' ELSE 'warning' END || "
             "' file=' || path || ',line=' || line || ',col=' || \"column\" || "
-            "',title=veilscan%3A ' || rule_name || ' [' || upper(severity) || ']::Secret detected: ' "
-            "|| masked_value || ' (' || rule_id || '). Remove credential and revoke immediately.'"),
+            "',title=veilscan%3A ' || rule_name || ' [' || upper(severity) || ']::Found ' "
+            "|| masked_value || ' (' || rule_id || '). Take it out of the file and withdraw it.'"),
         "report_markdown": seeded(
             """SELECT '| `' || rule_id || '` | `' || path || '` | ' || line || ' |' AS fragment FROM (
   SELECT * FROM found ORDER BY path, line, depth, rule_ord, "column", masked_value LIMIT 10)"""),

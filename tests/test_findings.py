@@ -127,8 +127,8 @@ def test_commit_replaces_fingerprint(make):
 def test_markdown(make):
     found = make(*[("jwt", "high", f"a|{i:02}", str(i)) for i in range(12)])
     text = R.markdown_summary(found)
-    assert "12 potential" in text and text.count("| `jwt`") == 10 and "a\\|00" in text
-    assert "No secrets" in R.markdown_summary(make())
+    assert "12 finding(s)" in text and text.count("| `jwt`") == 10 and "a\\|00" in text
+    assert "Nothing found" in R.markdown_summary(make())
 
 
 def test_redaction(spark):

@@ -11,13 +11,16 @@ from veilscan.functions.regex import to_jvm_regex
 from veilscan.functions.text import js_trim
 
 DEFAULT_TAG = "scan"
+COMMENT_OPENINGS = ("//", "#", "--", "/*", "<!--")
+# What ends the list of rules: the comment's end or the next comment.
+_ENDS = r"-->|\*/|#|//"
 
 
 def _pattern(tag: str, kind: str) -> str:
-    source = (
-        rf"(?:\/\/|#|--|\/\*|<!--)\s*{re.escape(tag)}:{kind}(?:\s+(.*?))?(?:-->|\*\/|$|#|\/\/)"
-    )
-    return to_jvm_regex(source, "i")
+    """A comment's opening, the tag and the kind, and the words after it up to the line's end."""
+    opening = "(?:" + "|".join(map(re.escape, COMMENT_OPENINGS)) + ")"
+    return to_jvm_regex(
+        rf"{opening}\s*{re.escape(tag)}:{kind}(?=\s|{_ENDS}|$)([^\r\n]*)", "i")
 
 
 def parse_directive(text: Column, kind: str = "ignore", tag: str = DEFAULT_TAG) -> Column:
@@ -26,7 +29,8 @@ def parse_directive(text: Column, kind: str = "ignore", tag: str = DEFAULT_TAG)
     ``kind`` is ``ignore`` (this line) or ``ignore-next-line``.
     """
     pattern = _pattern(tag, kind)
-    listed = js_trim(F.regexp_extract(text, pattern, 1))
+    words = F.regexp_extract(text, pattern, 1)
+    listed = js_trim(F.regexp_replace(words, rf"(?:{_ENDS}).*$", ""))
     listed = js_trim(F.regexp_replace(F.regexp_replace(listed, r"^\[", ""), r"\]\z", ""))
     words = F.split(listed, to_jvm_regex(r"[\s,]+"), -1)
     rules = F.filter(words, lambda w: w != "")
