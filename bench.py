@@ -16,7 +16,7 @@ from pyspark.sql import functions as F
 from veilscan.operators.lines import to_lines
 from veilscan.operators.screen import screen
 from veilscan.plans import queries as Q
-from veilscan.plans.scan import scan_texts
+from veilscan.plans.scan import scan_lines, scan_texts
 from veilscan.rules import effective_rules
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -63,6 +63,11 @@ def main() -> None:
     rules = effective_rules()
     scan = run(scan_texts(corpus, rules))
     arrow = run(lines.where(screen(F.col("text"), rules) > 0))
+    # Eight lines of 200,000 characters, each with every rule.
+    long_lines = spark.range(8).selectExpr(
+        "'long.txt' AS path", "id AS line", "repeat('abcdefghij ', 18200) AS text").persist()
+    long_lines.count()
+    long_line = run(scan_lines(long_lines, rules)) / 8
     jvm = run(lines.where(screen(F.col("text"), rules, engine="jvm", decode=False,
                                  rewrite=False) > 0))
     print(json.dumps({
@@ -75,6 +80,7 @@ def main() -> None:
             "corpus_mb": round(size / 1e6, 2), "lines": n_lines,
             "scan_sec": round(scan, 3), "scan_mb_per_sec": round(size / 1e6 / scan, 2),
             "scan_lines_per_sec": round(n_lines / scan),
+            "long_line_ms": round(1000 * long_line, 1),
             "screen_arrow_sec": round(arrow, 3), "screen_jvm_sec": round(jvm, 3),
         },
     }))

@@ -27,7 +27,9 @@ from veilscan.plans.scan import scan_history, scan_lines, scan_texts
 from veilscan.rules import Rule, compile_custom_rule, effective_rules
 from veilscan.rules.remediation import with_remediation
 from veilscan.sinks import reports as R
+from veilscan.sinks.writers import write_baseline_json
 from veilscan.sources import tables as C
+from veilscan.sources.baselines import read_baseline_json
 from veilscan.sources.files import decode_bytes
 from veilscan.sources.history import (
     COMMIT_MARKER,
@@ -36,6 +38,7 @@ from veilscan.sources.history import (
     history_lines,
     newest_commits,
     parse_commits,
+    read_log,
 )
 from veilscan.sources.snapshots import changed_since, guard, pick_snapshot, staged
 from veilscan.streaming import scan as streams
@@ -506,6 +509,93 @@ def block_findings(spark, sf_dir):
         "path", "line", "column", "rule_id", "masked_value", "secret_hash")
 
 
+# -- texts that cross former limits, engines, marks within lines ---------------------------------
+
+def long_files(spark, sf_dir) -> DataFrame:
+    """A file per supplier: a line of over 65,000 characters, a Base64 text of 25,000 or a JSON
+    document of over 70,000, with an access key id."""
+    s = F.col("s_suppkey")
+    ak = F.concat(F.lit("AK"), F.lit("IA"), F.upper(
+        F.substring(F.md5(s.cast("string").cast("binary")), 1, 16)))
+    note = F.concat(F.repeat(F.lit("note "), 3_000), F.lit("id "), ak, F.repeat(F.lit(" end"), 1_000))
+    files = F.array(
+        F.struct(F.concat(F.lit("long"), s, F.lit(".txt")).alias("path"), F.concat(
+            F.repeat(F.lit("x "), (s % 200 + 32_600).cast("int")), ak, F.lit(" y")).alias("content")),
+        F.struct(F.concat(F.lit("blob"), s, F.lit(".txt")).alias("path"), F.concat(
+            F.lit("blob "), F.translate(F.base64(note.cast("binary")), "\r\n", "")).alias("content")),
+        F.struct(F.concat(F.lit("long"), s, F.lit(".json")).alias("path"), F.concat(
+            F.lit('{"pad":["'), F.repeat(F.lit("x "), 35_000), F.lit('"],"deep":{"id":"'), ak,
+            F.lit('"}}')).alias("content")))
+    return spread(table(spark, sf_dir, "supplier").select("s_suppkey")).select(
+        F.get(files, (s % 3).cast("int")).alias("f")).select("f.*")
+
+
+def long_text_findings(spark, sf_dir):
+    """The planted keys of the long files, found by a scan with all rules."""
+    found = scan_texts(long_files(spark, sf_dir), structured=True)
+    return found.where("rule_id = 'aws-access-key'").select(
+        "path", "line", "column", "depth", "leaf_path", "masked_value", "secret_hash")
+
+
+def text_block_findings(spark, sf_dir):
+    """Keys over several lines, found by the ordinary scan of texts with all rules."""
+    return scan_texts(key_files(spark, sf_dir)).where("codec = 'block'").select(
+        "path", "line", "column", "rule_id", "masked_value", "secret_hash")
+
+
+def engines_agree(spark, sf_dir):
+    """A rule without keywords and with a multi-line flag, under both screens."""
+    rules = effective_rules([compile_custom_rule(
+        {"id": "corp-tag", "name": "Tag", "regex": "/^corp-[a-z]{4}$/m", "severity": "low"})], builtin=[])
+    tag = F.translate(F.substring("h", 1, 4), "0123456789", "ghijklmnop")
+    lines = _keys(spark, sf_dir).select(
+        F.lit("a.txt").alias("path"), F.col("k").alias("line"),
+        F.concat(F.lit("one\ncorp-"), tag, F.lit("\ntwo")).alias("text"))
+    found = [
+        scan_lines(lines, rules, engine=engine).select(
+            F.lit(engine).alias("engine"), "line", "column", "secret_hash")
+        for engine in ("arrow", "jvm")]
+    return found[0].unionByName(found[1])
+
+
+def marked_commits(spark, sf_dir) -> DataFrame:
+    """A commit per order that adds a line with the commit marker in it, and then a key."""
+    k, s = F.col("k"), F.col("k").cast("string")
+    return _keys(spark, sf_dir).select(F.concat(
+        F.lit(COMMIT_MARKER + "\0"), "h", F.lit("\0Dev\0" + "2024-01-01T00:00:00+00:00\0\n\n"),
+        F.lit("diff --git a/m b/m\n--- a/m\n+++ b/src/m"), (k % 5).cast("string"),
+        F.lit(".ts\n@@ -0,0 +1,2 @@\n+const M"), s, F.lit(f" = '{COMMIT_MARKER}'\n+id "), "ak",
+        F.lit("\n")).alias("block"))
+
+
+def _marked_log(spark, sf_dir) -> str:
+    folder = f"{_work_folder(spark)}/log"
+    marked_commits(spark, sf_dir).write.text(folder)
+    return folder
+
+
+def history_marker_lines(spark, sf_dir):
+    """A written log whose lines hold the marker, read back and scanned with all rules."""
+    found = scan_history(read_log(spark, _marked_log(spark, sf_dir)))
+    return found.where("rule_id = 'aws-access-key'").select(
+        "commit", "path", "line", "column", "masked_value", "secret_hash")
+
+
+def stream_history_findings(spark, sf_dir):
+    """The same log as a stream of commit blocks."""
+    blocks = streams.read_log_stream(spark, _marked_log(spark, sf_dir))
+    found = streams.stream_history(blocks).where("rule_id = 'aws-access-key'")
+    return _run_stream(spark, found.select(
+        "commit", "path", "line", "column", "masked_value", "secret_hash"))
+
+
+def written_baseline(spark, sf_dir):
+    """The fingerprints of the seeded corpus, written as JSON documents and read back."""
+    folder = f"{_work_folder(spark)}/baseline"
+    write_baseline_json(seeded_findings(spark, sf_dir), folder)
+    return read_baseline_json(spark, folder)
+
+
 # -- analytics over findings --------------------------------------------------------------------
 
 def severity_counts(spark, sf_dir):
@@ -722,6 +812,8 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         scan_summary, finding_remediation, snapshot_changes, staged_findings, history_added_lines,
         history_findings, history_totals, history_newest, report_json, report_sarif,
         report_sarif_history, report_quality, report_junit, report_annotations, report_markdown,
-        redacted_documents, stream_findings, stream_active_findings,
+        redacted_documents, stream_findings, stream_active_findings, long_text_findings,
+        text_block_findings, engines_agree, history_marker_lines, stream_history_findings,
+        written_baseline,
     ]
     return {fn.__name__: fn for fn in chosen}
