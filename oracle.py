@@ -622,21 +622,12 @@ SELECT path, length(text) AS n_chars, md5(text) AS content_md5 FROM step WHERE l
     }
 
 
-def _former_limits() -> dict[str, str]:
+def _planted() -> dict[str, str]:
     """Planted values alone: no pattern of a rule takes part."""
-    long = """long AS (
-  SELECT s_suppkey AS s, 'AK' || 'IA' || upper(substr(md5(CAST(s_suppkey AS VARCHAR)), 1, 16)) AS ak
-  FROM supplier), planted AS (
-  SELECT 'long' || s || '.txt' AS path, 2 * (s % 200 + 32600) + 1 AS "column", 0 AS depth,
-         NULL AS leaf_path, ak FROM long WHERE s % 3 = 0
-  UNION ALL SELECT 'blob' || s || '.txt', 15009, 1, NULL, ak FROM long WHERE s % 3 = 1
-  UNION ALL SELECT 'long' || s || '.json', 5, 0, 'deep.id', ak FROM long WHERE s % 3 = 2)"""
     hashed = "sha256(path || ':aws-access-key:' || ak) AS secret_hash"
     marked = f"""WITH {KEYS}, m AS (SELECT h AS "commit", 'src/m' || (k % 5) || '.ts' AS path, ak FROM keys)
 SELECT "commit", path, 2 AS line, 4 AS "column", {mask('ak')} AS masked_value, {hashed} FROM m"""
     return {
-        "long_text_findings": f"""WITH {long}
-SELECT path, 1 AS line, "column", depth, leaf_path, {mask('ak')} AS masked_value, {hashed} FROM planted""",
         "engines_agree": f"""WITH {KEYS}
 SELECT engine, k AS line, 5 AS "column", sha256('a.txt:corp-tag:corp-'
   || translate(substr(h, 1, 4), '0123456789', 'ghijklmnop')) AS secret_hash
@@ -649,7 +640,7 @@ FROM keys, (VALUES ('arrow'), ('jvm')) e(engine)""",
 def all_oracles() -> dict[str, str]:
     out = {
         **_text_preparation(), **_normalisation_and_decoding(), **_matching_and_filters(),
-        **_analytics(), **_snapshots_and_history(), **_reports(), **_former_limits(),
+        **_analytics(), **_snapshots_and_history(), **_reports(), **_planted(),
     }
     out["text_block_findings"] = out["block_findings"]
     out["written_baseline"] = seeded(f"SELECT DISTINCT {FINGERPRINT} AS fingerprint FROM found")

@@ -509,33 +509,7 @@ def block_findings(spark, sf_dir):
         "path", "line", "column", "rule_id", "masked_value", "secret_hash")
 
 
-# -- texts that cross former limits, engines, marks within lines ---------------------------------
-
-def long_files(spark, sf_dir) -> DataFrame:
-    """A file per supplier: a line of over 65,000 characters, a Base64 text of 25,000 or a JSON
-    document of over 70,000, with an access key id."""
-    s = F.col("s_suppkey")
-    ak = F.concat(F.lit("AK"), F.lit("IA"), F.upper(
-        F.substring(F.md5(s.cast("string").cast("binary")), 1, 16)))
-    note = F.concat(F.repeat(F.lit("note "), 3_000), F.lit("id "), ak, F.repeat(F.lit(" end"), 1_000))
-    files = F.array(
-        F.struct(F.concat(F.lit("long"), s, F.lit(".txt")).alias("path"), F.concat(
-            F.repeat(F.lit("x "), (s % 200 + 32_600).cast("int")), ak, F.lit(" y")).alias("content")),
-        F.struct(F.concat(F.lit("blob"), s, F.lit(".txt")).alias("path"), F.concat(
-            F.lit("blob "), F.translate(F.base64(note.cast("binary")), "\r\n", "")).alias("content")),
-        F.struct(F.concat(F.lit("long"), s, F.lit(".json")).alias("path"), F.concat(
-            F.lit('{"pad":["'), F.repeat(F.lit("x "), 35_000), F.lit('"],"deep":{"id":"'), ak,
-            F.lit('"}}')).alias("content")))
-    return spread(table(spark, sf_dir, "supplier").select("s_suppkey")).select(
-        F.get(files, (s % 3).cast("int")).alias("f")).select("f.*")
-
-
-def long_text_findings(spark, sf_dir):
-    """The planted keys of the long files, found by a scan with all rules."""
-    found = scan_texts(long_files(spark, sf_dir), structured=True)
-    return found.where("rule_id = 'aws-access-key'").select(
-        "path", "line", "column", "depth", "leaf_path", "masked_value", "secret_hash")
-
+# -- secrets over several lines, engines, marks within lines ---------------------------------
 
 def text_block_findings(spark, sf_dir):
     """Keys over several lines, found by the ordinary scan of texts with all rules."""
@@ -812,7 +786,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         scan_summary, finding_remediation, snapshot_changes, staged_findings, history_added_lines,
         history_findings, history_totals, history_newest, report_json, report_sarif,
         report_sarif_history, report_quality, report_junit, report_annotations, report_markdown,
-        redacted_documents, stream_findings, stream_active_findings, long_text_findings,
+        redacted_documents, stream_findings, stream_active_findings,
         text_block_findings, engines_agree, history_marker_lines, stream_history_findings,
         written_baseline,
     ]
