@@ -20,6 +20,7 @@ import base64
 import gc
 import re
 import sys
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -29,8 +30,14 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
-#: Kept pieces, transitions and pairs; a table that is full starts afresh, which costs time only.
-MAX_KEPT = 600_000
+from veilscan.llm.common import slices
+
+#: Kept pieces (in each of two generations), and states and pairs of the transducer; a table that
+#: is full starts afresh, which costs time only.
+MAX_KEPT = 125_000
+MAX_STATES = 250_000
+#: Stands for the token before the first one; tokens are packed into 20 bits.
+NO_TOKEN = (1 << 20) - 1
 #: Longer pieces run through the transducer each time instead of being kept.
 MAX_KEPT_PIECE = 64
 #: Bytes after which the transducer emits what is settled.
@@ -52,6 +59,14 @@ def load_ranks(path: str) -> dict[bytes, int]:
         return {base64.b64decode(token): int(rank) for token, rank in map(bytes.split, lines)}
 
 
+def _packed(numbers: list[int]) -> bytes:
+    return array("q", numbers).tobytes()
+
+
+def _unpacked(data: bytes) -> array:
+    return array("q", data)
+
+
 class BpeTransducer:
     """Encodes the bytes of one piece into ranks."""
 
@@ -73,19 +88,24 @@ class BpeTransducer:
                 node = below
             self.rank_at[node] = rank
         self.halves: dict[int, tuple[int, int] | None] = {}
-        self.rows: dict[tuple, dict] = {}
+        self.kept: dict[bytes, tuple[dict, int, bytes]] = {}
         self._forget()
 
     def _forget(self) -> None:
-        # A state: (trie node, last token before it) for each live position, the oldest first.
-        # Its row maps a byte to the next row, the size of the last token there and its rank as
-        # bytes; under -1 it holds the state itself.
-        for row in self.rows.values():
+        # A state is the bytes of packed (trie node, last token before it), eight for each live
+        # position, the oldest first.  It is kept as (row, size of its last token, that token's rank
+        # as bytes); a row maps a byte to what is kept of the next state, and under -1 has its own.
+        for row, _, _ in self.kept.values():
             row.clear()  # rows refer to each other
-        self.start = {-1: ((0, -1),)}
-        self.rows = {self.start[-1]: self.start}
-        self.n_moves = 0
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.kept.clear()
+        self.pairs: dict[int, bool] = {}
+        self.start = self._keep(_packed([NO_TOKEN]), 0, b"")
+
+    def _keep(self, state: bytes, size: int, rank: bytes) -> tuple[dict, int, bytes]:
+        found = self.kept.get(state)
+        if found is None:
+            found = self.kept[state] = ({-1: state}, size, rank)
+        return found
 
     def merge(self, data: bytes, until: int = 1) -> list[bytes]:
         """The merges by definition, always the lowest rank and the leftmost of equals, until so
@@ -114,11 +134,12 @@ class BpeTransducer:
         The tokens are taken apart towards the border, the latest merge first.  At each stage the
         parts that touch exist until the undone merge; they must not merge with each other earlier.
         """
-        if first < 0:
+        if first == NO_TOKEN:
             return True
-        found = self.pairs.get((first, second))
+        pair = first << 20 | second
+        found = self.pairs.get(pair)
         if found is None:
-            found = self.pairs[first, second] = self._border_holds(first, second)
+            found = self.pairs[pair] = self._border_holds(first, second)
         return found
 
     def _border_holds(self, left: int, right: int) -> bool:
@@ -139,29 +160,26 @@ class BpeTransducer:
 
     def _step(self, row: dict, byte: int) -> tuple[dict, int, bytes]:
         live, whole, child, rank_at = [], None, self.child, self.rank_at
-        for node, last in row[-1]:
-            node = child.get(node << 8 | byte)
+        for packed in _unpacked(row[-1]):
+            node = child.get((packed >> 20) << 8 | byte)
             if node is None:
                 continue
-            live.append((node, last))
+            last = packed & NO_TOKEN
+            live.append(node << 20 | last)
             if whole is None:
                 rank = rank_at.get(node)
                 if rank is not None and self._may_follow(last, rank):
                     whole = rank
         if whole is None:
             raise ValueError("the vocabulary has no token for a byte")
-        live.append((0, whole))
-        state = tuple(live)
-        below = self.rows.get(state)
-        if below is None:
-            below = self.rows[state] = {-1: state}
-        self.n_moves += 1
-        move = row[byte] = (below, self.size[whole], whole.to_bytes(4, sys.byteorder))
+        live.append(whole)
+        move = row[byte] = self._keep(
+            _packed(live), self.size[whole], whole.to_bytes(4, sys.byteorder))
         return move
 
     def _settled(self, row: dict, outputs: list[tuple[dict, int, bytes]]) -> int:
         """The position up to which all live hypotheses have the same tokens."""
-        back = [len(outputs) - self.depth[node] for node, _ in row[-1]]
+        back = [len(outputs) - self.depth[packed >> 20] for packed in _unpacked(row[-1])]
         while len(set(back)) > 1:  # the furthest goes back by its last token
             at = back.index(max(back))
             back[at] -= outputs[back[at] - 1][1]
@@ -169,7 +187,9 @@ class BpeTransducer:
 
     def encode(self, data: bytes) -> bytes:
         """The ranks as native 32-bit integers."""
-        row, done = self.start, []
+        if len(self.kept) > MAX_STATES or len(self.pairs) > MAX_STATES:
+            self._forget()
+        row, done = self.start[0], []
         outputs: list[tuple[dict, int, bytes]] = []
         for begin in range(0, len(data), WINDOW):
             for byte in data[begin:begin + WINDOW]:
@@ -180,10 +200,10 @@ class BpeTransducer:
                 settled = self._settled(row, outputs)
                 done += self._tokens(outputs, settled)
                 outputs = outputs[settled:]
-            if self.n_moves > MAX_KEPT:
-                state = row[-1]
-                self._forget()
-                row = self.rows.setdefault(state, {-1: state})
+                if len(self.kept) > MAX_STATES:
+                    state, (_, size, rank) = row[-1], outputs[-1]
+                    self._forget()
+                    row = self._keep(state, size, rank)[0]
         return b"".join(done + self._tokens(outputs, len(outputs)))
 
     def _tokens(self, outputs: list[tuple[dict, int, bytes]], at: int) -> list[bytes]:
@@ -303,7 +323,7 @@ def _append(df: DataFrame, source: str, name: str, kind: T.DataType, make) -> Da
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         convert = make()
-        for batch in batches:
+        for batch in slices(batches):
             made = convert(batch.column(columns.index(source)))
             yield pa.RecordBatch.from_arrays(
                 [*(batch.column(columns.index(c)) for c in kept), made], [*kept, name])
