@@ -116,6 +116,14 @@ def test_classes_of_odd_tables(spark):
     assert jaccard_join.near_duplicates(df.limit(0)).count() == 0
 
 
+def test_numbers_shared_by_different_texts(spark):
+    words = [f"w{i}" for i in range(40)]
+    rows = [(5, " ".join(words)), (5, " ".join(words[::-1])), (6, " ".join([*words, "x"])), (7, "other words here")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = sorted((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df).collect())
+    assert out == plain_classes(rows)
+
+
 def test_signatures_never_overstate_the_difference():
     chance = np.random.default_rng(3)
     for _ in range(200):

@@ -6,9 +6,10 @@
    ones are found over all documents; whatever their list, the candidates are complete.
 3. Tiles with the same members are one tile.  In a tile every node is first compared with the hub,
    the node that lies in most tiles: of near copies that is most often their original.
-4. What the hub does not link is compared within size-banded tiles, split into blocks when large,
-   without making rows of pairs: signatures of hashed bits are compared, and the count of differing
-   bits bounds the overlap from above.
+4. Nodes of different classes so far are compared within size-banded tiles, split into blocks when
+   large, without making rows of pairs: signatures of hashed bits are compared, and the count of
+   differing bits bounds the overlap from above.  First a tile gives only as many pairs as would join
+   its classes, then, once these are verified, all that are left between different classes.
 5. Pairs that stay are verified by exact intersection of the sorted arrays.  Only their texts are
    read again.
 6. Links make components.
@@ -40,7 +41,7 @@ FREQUENT_SHARE, MAX_FREQUENT = 1000, 1 << 18
 PORTION = 1 << 21
 #: Nodes in a block of a tile.
 BLOCK = 1024
-BITS_PER_SHINGLE = 4
+BITS_PER_SHINGLE = 2
 
 
 def required(size: np.ndarray | int):
@@ -231,8 +232,11 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) ->
     """The pairs whose sets are similar, by exact intersection."""
     def make_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, Shingler(size)):
+            # Rows that share a number may have other texts.
+            own = [(n, s.tobytes()) for n, s in zip(batch.column("node").to_pylist(), sets)
+                   if _digest(s) == n]
             yield pa.RecordBatch.from_arrays(
-                [batch.column("node"), pa.array([s.tobytes() for s in sets], pa.binary())],
+                [pa.array([n for n, _ in own], pa.int64()), pa.array([s for _, s in own], pa.binary())],
                 ["node", "shingles"])
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -265,26 +269,45 @@ def _hub_pairs(entries: DataFrame) -> DataFrame:
         F.col("node").alias("a"), F.col("hub.node").alias("b")).distinct()
 
 
-def _rest_pairs(entries: DataFrame, links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """Pairs of a tile that lie in different classes as far as known and that signatures allow.
+def _forest(pairs: np.ndarray, different: np.ndarray, label: np.ndarray) -> np.ndarray:
+    """Of pairs of row numbers, those that join classes not joined before, the likeliest first."""
+    top: dict[int, int] = {}
 
-    The known class of a hub is itself, that of another node a hub that it is linked with, so nodes
-    of one known class are connected.  A tile is cut by bands of sizes, of which only equal and
-    neighbouring ones hold partners, and into blocks, each pair of blocks being a task's work.
+    def find(x: int) -> int:
+        while top.get(x, x) != x:
+            top[x] = top.get(top[x], top[x])
+            x = top[x]
+        return x
+
+    chosen = []
+    for at in np.argsort(different, kind="stable"):
+        first, second = (find(x) for x in label[pairs[at]].tolist())
+        if first != second:
+            top[max(first, second)] = min(first, second)
+            chosen.append(at)
+    return pairs[chosen]
+
+
+def _rest_pairs(entries: DataFrame, classes: DataFrame, nodes: DataFrame, forest: bool) -> DataFrame:
+    """Pairs (``key, a, b``) of a tile that lie in different classes so far and that signatures allow:
+    all of them, or as many as join the classes of a tile (``forest``).
+
+    A large tile is cut by bands of sizes, of which only equal and neighbouring ones hold partners,
+    and into blocks, each pair of blocks being a task's work.
     """
-    known = links.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("hub")).join(
-        links.select(F.col("b").alias("node")).distinct(), "node", "left_anti")
-    labelled = entries.where("n > 2").join(known, "node", "left").withColumn(
-        "label", F.coalesce("hub", "node"))
+    labelled = entries.where("n > 2").join(classes, "node", "left").withColumn(
+        "label", F.coalesce("component", "node"))
     mixed = labelled.groupBy("key").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     mixed = mixed.where("low <> high").select("key")
     rows = labelled.join(mixed, "key").join(nodes.select("node", "bits"), "node")
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node", F.lit(2)), blocks).cast("int")
     band = F.floor(F.log(F.col("size").cast("double")) / float(np.log(DENOMINATOR / NUMERATOR))).cast("int")
-    rows = rows.withColumns({"own": own, "band": band}).withColumn(
+    steps = F.when(F.col("n") > BLOCK // 8, F.array(F.lit(0), F.lit(1))).otherwise(F.array(F.lit(0)))
+    rows = rows.withColumns({
+        "own": own, "band": F.when(F.col("n") > BLOCK // 8, band).otherwise(0)}).withColumn(
         "other", F.explode(F.sequence(F.lit(0), blocks - 1))).withColumn(
-        "step", F.explode(F.array(F.lit(0), F.lit(1)))).select(
+        "step", F.explode(steps)).select(
         "key", (F.col("band") + F.col("step")).alias("tile"), F.least("own", "other").alias("i"),
         F.greatest("own", "other").alias("j"), "own", "step", "size", "node", "label", "bits")
 
@@ -294,7 +317,7 @@ def _rest_pairs(entries: DataFrame, links: DataFrame, nodes: DataFrame) -> DataF
         size, label, node = (frame[c].to_numpy(np.int64) for c in ("size", "label", "node"))
         lower, own = frame["step"].to_numpy() == 1, frame["own"].to_numpy()
         i, j = frame["i"].iloc[0], frame["j"].iloc[0]
-        found = []
+        found, bounds = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
         for at in np.flatnonzero(~lower):
             # A band against itself once, against the lower band always; across the two blocks.
             other = (lower | (node > node[at])) & (label != label[at])
@@ -304,10 +327,14 @@ def _rest_pairs(entries: DataFrame, links: DataFrame, nodes: DataFrame) -> DataF
             there = np.flatnonzero(other)
             if len(there):
                 different = np.bitwise_count(bits[there] ^ bits[at]).sum(1, dtype=np.int64)
-                there = there[may_link(size[there], size[at], different)]
-                found.append(np.stack([np.full(len(there), node[at]), node[there]], 1))
-        pairs = np.concatenate(found) if found else np.zeros((0, 2), np.int64)
-        return pd.DataFrame({"a": pairs.max(1, initial=-(1 << 63)), "b": pairs.min(1, initial=(1 << 63) - 1)})
+                may = may_link(size[there], size[at], different)
+                found.append(np.stack([np.full(may.sum(), at), there[may]], 1))
+                bounds.append(different[may])
+        pairs = np.concatenate(found)
+        if forest:
+            pairs = _forest(pairs, np.concatenate(bounds), label)
+        ends = np.sort(node[pairs], axis=1)
+        return pd.DataFrame({"key": frame["key"].iloc[0], "a": ends[:, 1], "b": ends[:, 0]})
 
     keys = ["key", "tile", "i", "j"]
 
@@ -326,7 +353,7 @@ def _rest_pairs(entries: DataFrame, links: DataFrame, nodes: DataFrame) -> DataF
 
     # Rows of a tile lie in one task; a tile holds two bands of two blocks at most.
     return rows.repartition(*keys).sortWithinPartitions(*keys).mapInPandas(
-        run, "a long, b long").where("a <> b").distinct()
+        run, "key long, a long, b long")
 
 
 def near_duplicates(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
@@ -356,9 +383,12 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     entries = materialize(shared.join(_tiles(shared), "key"), "tiles")
 
     links = _verified(_bits_differ(_hub_pairs(entries), nodes), nodes, docs, shingle_words)
-    rest = materialize(_rest_pairs(entries, links, nodes), "rest")
-    more = _verified(rest, nodes, docs, shingle_words)
-    classes = components(links.unionByName(more))
+    for forest in (True, False):
+        rest = materialize(_rest_pairs(entries, components(links), nodes, forest), "rest")
+        links = links.unionByName(_verified(rest.select("a", "b"), nodes, docs, shingle_words))
+        # A tile without a pair so far has none later: classes only grow.
+        entries = entries.join(rest.select("key").distinct(), "key", "left_semi")
+    classes = components(links)
     reach = classes.join(nodes.select("node", "doc_id"), "node")
     least = reach.groupBy("component").agg(F.min("doc_id").alias("least"))
     reach = nodes.select("node", "doc_id").join(
