@@ -32,6 +32,8 @@ def materialize(df: DataFrame, name: str) -> DataFrame:
     """Write a table to the shared folder and read it back: cuts lineage, survives lost executors."""
     path = f"{shared_dir(df.sparkSession)}/veilscan-{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
+    # What was shuffled for this table is of no more use; its files go when the JVM's references do.
+    df.sparkSession.sparkContext._jvm.System.gc()
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
