@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from veilscan.llm import nbsvm
 from veilscan.llm.common import materialize, table
-from veilscan.llm.jaccard_join import near_duplicates
+from veilscan.llm.jaccard_join import row_classes, text_key
 from veilscan.llm.packing import pack
 from veilscan.llm.pseudonyms import pseudonymize
 from veilscan.llm.queries import PSEUDONYM_KEY, pieces_of
@@ -29,17 +29,18 @@ def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The document with the smallest number of each class of near copies.
 
-    Only the numbers that go are joined with the documents.  Rows that share a number, and rows
+    Only the keys of rows that go are joined with the documents.  Rows that share a number, and rows
     without one, are told apart by their text: one of equal ones stays.
     """
-    classes = materialize(near_duplicates(docs), "classes")
-    leaves = classes.where(~F.col("doc_id").eqNullSafe(F.col("component_id"))).select(
-        "doc_id").distinct()
-    kept = docs.join(leaves, docs["doc_id"].eqNullSafe(leaves["doc_id"]), "left_anti")
-    again = materialize(classes.groupBy("doc_id").count().where("count > 1").select("doc_id"), "again")
-    same = kept["doc_id"].eqNullSafe(again["doc_id"])
-    return kept.join(again, same, "left_anti").unionByName(
-        kept.join(again, same, "left_semi").dropDuplicates(["doc_id", "text"]))
+    classes = materialize(row_classes(docs), "classes")
+    keys = ["doc_id", "text_key"]
+    leaves = classes.where(~F.col("first")).select(*keys).distinct()
+    again = materialize(classes.where("first").groupBy(*keys).count().where("count > 1").select(*keys), "again")
+    same = lambda rows, keys: rows["doc_id"].eqNullSafe(keys["doc_id"]) & (
+        text_key(rows["text"]) == keys["text_key"])
+    kept = docs.join(leaves, same(docs, leaves), "left_anti")
+    return kept.join(again, same(kept, again), "left_anti").unionByName(
+        kept.join(again, same(kept, again), "left_semi").dropDuplicates(["doc_id", "text"]))
 
 
 def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -328,3 +328,21 @@ def test_pipeline(spark, tmp_path):
     again = corpus_pipeline.run(spark, str(tmp_path)).collect()
     assert sorted((r.doc_id or -1, r.piece, r.ids_crc32) for r in again) == sorted(
         (r.doc_id or -1, r.piece, r.ids_crc32) for r in docs.collect())
+
+
+def test_near_duplicates_go_by_row(spark):
+    import corpus_pipeline
+
+    chance = random.Random(20)
+    plain = [" ".join("".join(chance.choice("aeitnsrl") for _ in range(6)) for _ in range(40)) for _ in range(8)]
+    rows = [(9, plain[0]), (None, plain[0]), (None, plain[1] + " near"), (10, plain[1]),
+            (None, plain[2]), (None, plain[3]), (None, plain[3]),
+            (5, plain[4]), (5, plain[5]), (3, plain[5] + " near"), (7, plain[6]), (7, plain[6]), (7, plain[6] + " near"),
+            (None, ""), (None, None), (5, ""), (6, "")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    out = corpus_pipeline.drop_near_duplicates(spark, df.repartition(3), "").collect()
+    sevens = [r.text for r in out if r.doc_id == 7]
+    assert len(sevens) == 1 and sevens[0] in (plain[6], plain[6] + " near")
+    assert sorted((tuple(r) for r in out if r.doc_id != 7), key=str) == sorted(
+        [(9, plain[0]), (10, plain[1]), (None, plain[2]), (None, plain[3]), (5, plain[4]),
+         (3, plain[5] + " near"), (None, ""), (None, None), (5, ""), (6, "")], key=str)

@@ -79,6 +79,11 @@ def may_link(size_a, size_b, different):
     return 2 * NUMERATOR * (total + different) <= 2 * DENOMINATOR * (total - different)
 
 
+def text_key(text: Column) -> Column:
+    """Tells rows that share a number, or have none, apart by their text."""
+    return F.xxhash64(text)
+
+
 def _digest(shingles: np.ndarray) -> int:
     return np.frombuffer(xxhash.xxh3_64_digest(shingles.tobytes()), ">i8")[0]
 
@@ -89,8 +94,8 @@ def _sets(batches, shingler) -> Iterator[tuple[pa.RecordBatch, list[np.ndarray]]
 
 
 def _survey(docs: DataFrame, size: int) -> DataFrame:
-    """A row for each document (``doc_id, size, node, bits``), and rows (``shingle, count``) for what
-    is frequent in a task."""
+    """A row for each document (``doc_id, text_key, size, node, bits``), and rows (``shingle, count``)
+    for what is frequent in a task."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         shingler, n_docs = Shingler(size), 0
         waiting: list[np.ndarray] = []
@@ -111,7 +116,8 @@ def _survey(docs: DataFrame, size: int) -> DataFrame:
             filled = [len(s) > 0 for s in sets]
             none = pa.nulls(len(sets), pa.int64())
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array([len(s) for s in sets], pa.int32()),
+                [batch.column("doc_id"), batch.column("text_key"),
+                 pa.array([len(s) for s in sets], pa.int32()),
                  pa.array([_digest(s) if f else None for s, f in zip(sets, filled)], pa.int64()),
                  pa.array([signature(s) if f else None for s, f in zip(sets, filled)], pa.binary()),
                  none, none], names)
@@ -121,12 +127,12 @@ def _survey(docs: DataFrame, size: int) -> DataFrame:
         keys, counts = keys[often], counts[often]
         none = pa.nulls(len(keys), pa.int64())
         yield pa.RecordBatch.from_arrays(
-            [none, pa.nulls(len(keys), pa.int32()), none, pa.nulls(len(keys), pa.binary()),
+            [none, none, pa.nulls(len(keys), pa.int32()), none, pa.nulls(len(keys), pa.binary()),
              pa.array(keys.view(np.int64)), pa.array(counts)], names)
 
-    names = ["doc_id", "size", "node", "bits", "shingle", "count"]
-    return docs.mapInArrow(
-        run, "doc_id long, size int, node long, bits binary, shingle long, count long")
+    names = ["doc_id", "text_key", "size", "node", "bits", "shingle", "count"]
+    return docs.withColumn("text_key", text_key(F.col("text"))).mapInArrow(
+        run, "doc_id long, text_key long, size int, node long, bits binary, shingle long, count long")
 
 
 def _entries(docs: DataFrame, size: int, frequent) -> DataFrame:
@@ -232,7 +238,7 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) ->
     """The pairs whose sets are similar, by exact intersection."""
     def make_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch, sets in _sets(batches, Shingler(size)):
-            # Rows that share a number may have other texts.
+            # Texts are joined by a hash.
             own = [(n, s.tobytes()) for n, s in zip(batch.column("node").to_pylist(), sets)
                    if _digest(s) == n]
             yield pa.RecordBatch.from_arrays(
@@ -250,7 +256,9 @@ def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) ->
 
     pairs = materialize(pairs.distinct(), "pairs")
     wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    texts = docs.join(nodes.select("node", "doc_id").join(wanted, "node"), "doc_id")
+    wanted = nodes.join(wanted, "node").select("node", "first")
+    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["first.doc_id"]) & (
+        text_key(docs["text"]) == wanted["first.text_key"]))
     sets = materialize(texts.select("node", "text").mapInArrow(
         make_sets, "node long, shingles binary").dropDuplicates(["node"]), "sets")
     side = lambda x: sets.select(
@@ -356,14 +364,12 @@ def _rest_pairs(entries: DataFrame, classes: DataFrame, nodes: DataFrame, forest
         run, "key long, a long, b long")
 
 
-def near_duplicates(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
-    """``doc_id, n_shingles, component_id`` for each document.
+def row_classes(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
+    """``doc_id, text_key, n_shingles, component_id, first`` for each row: see ``near_duplicates``.
 
-    Documents link when their sets of distinct shingles have a Jaccard similarity of at least 4/5;
-    ``component_id`` is the smallest ``doc_id`` that links reach.  ``docs`` has ``doc_id`` and
-    ``text``; other columns are not read.  Null, empty and blank texts have no shingles and are
-    linked with nothing.  A null ``doc_id`` stands for itself alone unless documents with a number
-    reach it; repeated rows are linked documents.  An empty table gives no rows.
+    ``first`` says whether the row is its class's first: the one with the smallest number, rows
+    without one last, then by text.  Rows equal in number and text are first together; rows without
+    shingles are classes of their own.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     spark = docs.sparkSession
@@ -375,9 +381,11 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     # From the least frequent, 1, to the most frequent.
     frequent = spark.sparkContext.broadcast((often[order], (len(order) - order).astype(np.int64)))
 
-    rows = survey.where("shingle is null and size is not null").select("doc_id", "size", "node", "bits")
+    rows = survey.where("shingle is null and size is not null").select(
+        "doc_id", "text_key", "size", "node", "bits")
+    place = F.struct(F.isnull("doc_id").alias("none"), "doc_id", "text_key")
     nodes = materialize(rows.where("node is not null").groupBy("node").agg(
-        F.min("doc_id").alias("doc_id"), F.first("size").alias("size"),
+        F.min(place).alias("first"), F.first("size").alias("size"),
         F.first("bits").alias("bits")), "nodes")
     shared = _shared_keys(materialize(_entries(docs, shingle_words, frequent), "entries"))
     entries = materialize(shared.join(_tiles(shared), "key"), "tiles")
@@ -389,11 +397,24 @@ def near_duplicates(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
         # A tile without a pair so far has none later: classes only grow.
         entries = entries.join(rest.select("key").distinct(), "key", "left_semi")
     classes = components(links)
-    reach = classes.join(nodes.select("node", "doc_id"), "node")
-    least = reach.groupBy("component").agg(F.min("doc_id").alias("least"))
-    reach = nodes.select("node", "doc_id").join(
+    least = classes.join(nodes.select("node", "first"), "node").groupBy("component").agg(
+        F.min("first").alias("least"))
+    reach = nodes.select("node", "first").join(
         classes.join(least, "component").select("node", "least"), "node", "left").select(
-        "node", F.coalesce(F.least("least", "doc_id"), "doc_id").alias("component_id"))
+        "node", F.coalesce("least", "first").alias("least"))
     return rows.join(reach, "node", "left").select(
-        "doc_id", F.col("size").cast("long").alias("n_shingles"),
-        F.coalesce("component_id", "doc_id").alias("component_id"))
+        "doc_id", "text_key", F.col("size").cast("long").alias("n_shingles"),
+        F.coalesce("least.doc_id", "doc_id").alias("component_id"),
+        (F.col("node").isNull() | (place == F.col("least"))).alias("first"))
+
+
+def near_duplicates(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
+    """``doc_id, n_shingles, component_id`` for each document.
+
+    Documents link when their sets of distinct shingles have a Jaccard similarity of at least 4/5;
+    ``component_id`` is the smallest ``doc_id`` that links reach.  ``docs`` has ``doc_id`` and
+    ``text``; other columns are not read.  Null, empty and blank texts have no shingles and are
+    linked with nothing.  A null ``doc_id`` stands for itself alone unless documents with a number
+    reach it; repeated rows are linked documents.  An empty table gives no rows.
+    """
+    return row_classes(docs, shingle_words).select("doc_id", "n_shingles", "component_id")
