@@ -233,6 +233,25 @@ def test_pieces_equal_the_tokenizer(spark):
     assert zlib.crc32(bytes(pieces[200][0].ids)) == zlib.crc32(b"\x01\0\0\0")
 
 
+def test_pieces_hold_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    from veilscan.llm.queries import pieces_of
+
+    tokenizer = Tokenizer.from_file(public_tokenizers.path("word_bpe_49k.json"))
+    texts = ["hello <|endoftext|> world", "a<|startoftext|>b É", "<|endoftext|>", "<|ENDOFTEXT|> <|endoftext",
+             "word " * 5_000 + "<|endoftext|>\n\n" + "more " * 5_000, "no token"]
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    out = {(r.doc_id, r.piece): r for r in pieces_of(df).collect()}
+    expected = {}
+    for i, text in enumerate(texts):
+        ids = [*tokenizer.encode(text, add_special_tokens=False).ids, 1]
+        for piece, at in enumerate(range(0, len(ids), 4096)):
+            own = ids[at:at + 4096]
+            expected[i, piece] = (at, len(own), zlib.crc32(np.array(own, "<u4").tobytes()))
+    assert {k: (r.start, r.length, r.ids_crc32) for k, r in out.items()} == expected
+
+
 # -- chats ------------------------------------------------------------------------------------
 
 VOCABULARY = public_tokenizers.path("byte_bpe_50k.tiktoken")

@@ -40,14 +40,20 @@ class WordEncoder:
 
     Words and the pieces they fall into are encoded once and kept in bounded tables.  Words of common
     Latin characters are split here and their pieces merged by the tokenizer's model; words with any
-    other character go through the whole tokenizer.
+    other character go through the whole tokenizer.  With ``added_tokens`` so do whole texts that
+    hold one of the vocabulary's added tokens, which may lie within words or span them; without, such
+    strings are text like any other.
     """
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, added_tokens: bool = False):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.tokenizer.encode_special_tokens = not added_tokens
+        added = self.tokenizer.get_added_tokens_decoder().values() if added_tokens else []
+        if any(t.normalized for t in added):
+            raise ValueError("added tokens that match normalised text are not supported")
+        self.added = re.compile("|".join(re.escape(t.content) for t in added) or "(?!)")
         self.model = self.tokenizer.model
         # The stand-in characters of bytes, in the order of the vocabulary's byte level.
         printable = {*range(33, 127), *range(161, 173), *range(174, 256)}
@@ -83,7 +89,7 @@ class WordEncoder:
         return found
 
     def encode(self, text: str) -> bytes:
-        if ODD_SPACE.search(text):
+        if ODD_SPACE.search(text) or self.added.search(text):
             return self._fresh([text])[0]
         words, kept = text.split(), self.kept
         try:
@@ -98,19 +104,21 @@ class WordEncoder:
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str) -> WordEncoder:
-    return WordEncoder(path)
+def _encoder(path: str, added_tokens: bool) -> WordEncoder:
+    return WordEncoder(path, added_tokens)
 
 
-def cut_pieces(docs: DataFrame, path: str, size: int = 4096, end_id: int = 1) -> DataFrame:
+def cut_pieces(docs: DataFrame, path: str, size: int = 4096, end_id: int = 1,
+               added_tokens: bool = False) -> DataFrame:
     """Pieces of every whole document: ``doc_id, piece, start, length, ids`` (binary, little-endian
-    unsigned 32-bit), the document's ids being its tokens and ``end_id``.
+    unsigned 32-bit), the document's ids being its tokens and ``end_id``.  With ``added_tokens`` the
+    vocabulary's added tokens are matched in texts, as the tokenizer does by default.
 
     Null and empty texts have ``end_id`` alone.  Only documents longer than ``size`` are cut.
     Repeated rows give repeated pieces, a null ``doc_id`` stays null; other columns are not read.
     """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        encoder, end = _encoder(path), np.array([end_id], "<u4").tobytes()
+        encoder, end = _encoder(path, added_tokens), np.array([end_id], "<u4").tobytes()
         step = 4 * size
         for batch in slices(batches):
             rows: list[tuple] = []

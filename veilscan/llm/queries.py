@@ -87,7 +87,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def pieces_of(docs: DataFrame) -> DataFrame:
     """All pieces with the CRC of their ids instead of the ids."""
-    cut = cut_pieces(docs, public_tokenizers.path("word_bpe_49k.json"))
+    cut = cut_pieces(docs, public_tokenizers.path("word_bpe_49k.json"), added_tokens=True)
     return cut.select("doc_id", "piece", "start", "length", F.crc32("ids").alias("ids_crc32"))
 
 
