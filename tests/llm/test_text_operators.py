@@ -197,6 +197,21 @@ def test_quality_on_held_out_rows(spark):
     assert nbsvm.score(table.limit(0), model).count() == 0
 
 
+def test_quality_reads_long_runs_whole(spark):
+    chance = random.Random(21)
+    word = lambda: "".join(chance.choice("aeitnsrl") for _ in range(6))
+    good = ["".join(word() for _ in range(11))[:64] + " " + " ".join(word() for _ in range(30)) for _ in range(60)]
+    bad = ["".join(word() for _ in range(11))[:64] + " " + "BUY99!!#" * 24 for _ in range(60)]
+    model = nbsvm.train([t for pair in zip(good, bad) for t in pair], np.array([1, 0] * 60))
+    # The same start of 64 characters; what follows tells them apart, though no run has been seen.
+    start = "".join(word() for _ in range(11))[:64]
+    texts = [start + "".join(word() for _ in range(60)), start + "BUY99!!#" * 100]
+    scores = {r.doc_id: r.score for r in nbsvm.score(docs(spark, texts), model).select("doc_id", "score").collect()}
+    assert scores[0] > 0.5 > scores[1]
+    indicators = nbsvm.Indicators()
+    assert set(indicators("!!??" * 16).tolist()) <= set(indicators("a" * 64 + "!!??" * 16).tolist())
+
+
 def test_quality_without_labels_or_with_one_class(spark):
     table = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")

@@ -26,6 +26,8 @@ N_FEATURES = 1 << 18
 #: The model is fitted to at most so many rows, those with the smallest hashes.
 SAMPLE_ROWS = 8_000
 MAX_KEPT_WORDS = 300_000
+#: Longer runs without white space are read as several words of so many characters.
+WORD_CHARS = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 _REPEAT = np.uint64(zlib.crc32(b"repeated word"))
 
@@ -60,7 +62,7 @@ class Indicators:
 
     @staticmethod
     def shape(word: str) -> str:
-        return _RUNS.sub(_short, word[:64].translate(_KINDS))
+        return _RUNS.sub(_short, word.translate(_KINDS))
 
     def _word(self, word: str) -> int:
         found = self.older.get(word)
@@ -72,6 +74,8 @@ class Indicators:
 
     def __call__(self, text: str) -> np.ndarray:
         words, kept = text.split(), self.kept
+        if max(map(len, words), default=0) > WORD_CHARS:
+            words = [w[at:at + WORD_CHARS] for w in words for at in range(0, len(w), WORD_CHARS)]
         if len(kept) > MAX_KEPT_WORDS:
             self.older, self.kept = kept, {}
             kept = self.kept
