@@ -64,6 +64,48 @@ def test_pseudonyms_keep_format_and_link(spark):
     assert pseudonymized(spark, [card], "other")[0][0] != made
 
 
+def test_phones_in_common_forms(spark):
+    forms = ["+14155552671", "+4915112345678", "+33 1 23 45 67 89", "020 7946 0958", "415 555 2671",
+             "+1 (415)555-2671", "+1 415 555 2671", "+49 (0)151/12345678", "+44.20.7946.0958", "01 23 45 67 89",
+             "0151-12345678", "(020) 7946 0958", "+1234567", "+123456789012345", "(415)555-2671", "415.555.2671"]
+    out = pseudonymized(spark, [f"call {f}, now" for f in forms])
+    for i, form in enumerate(forms):
+        text, found = out[i]
+        assert [k for k, _ in found] == ["phone"] and form not in text, form
+        assert text == f"call {found[0][1]}, now" and re.sub("[0-9]", "0", found[0][1]) == re.sub("[0-9]", "0", form)
+    digits = lambda i: re.sub("[^0-9]", "", out[i][1][0][1])
+    assert digits(0) == digits(5) == digits(6) and digits(0)[0] == "1"
+    assert out[1][1][0][1].startswith("+49") and out[2][1][0][1].startswith("+33 ")
+    # What follows a number keeps its kind; what has too few or too many digits is none.
+    after = pseudonymized(spark, [
+        "+1 (743) 555-3824 152.143.123.131", "+44 20 7946 0958 2024-01-02", "+14155552671 4785380592391139",
+        "+123456", "+1234567890123456", "01.13.2024 2023-02-30 000-45-6789", "12 345 6789", "4155552671"])
+    assert [[k for k, _ in after[i][1]] for i in range(8)] == [
+        ["phone", "ip"], ["phone", "date"], ["phone", "card"], [], [], [], [], []]
+    # 15 digits that pass the card checksum are a phone number after a plus.
+    assert luhn("378282246310005")
+    made = pseudonymized(spark, ["+378282246310005", "378282246310005"])
+    assert [made[i][1][0][0] for i in range(2)] == ["phone", "card"]
+
+
+def test_ibans(spark):
+    def check(iban):
+        iban = iban.replace(" ", "")
+        return int("".join(str(int(c, 36)) for c in iban[4:] + iban[:4])) % 97
+
+    ibans = ["DE89370400440532013000", "DE89 3704 0044 0532 0130 00", "GB29 NWBK 6016 1331 9268 19",
+             "FR1420041010050500013M02606", "NO9386011117947", "MT84MALT011000012345MTLCAST001S", "BE68 5390 0754 7034"]
+    out = pseudonymized(spark, [*(f"to {i} EUR" for i in ibans), "DE88370400440532013000", "DE8937040044053201300"])
+    for i, iban in enumerate(ibans):
+        text, [(kind, made)] = out[i]
+        assert kind == "iban" and check(iban) == check(made) == 1 and made != iban and made[:2] == iban[:2]
+        assert text == f"to {made} EUR"
+        kinds = lambda x: re.sub("[A-Z]", "A", re.sub("[0-9]", "0", x))
+        assert kinds(made) == kinds(iban)
+    assert out[0][1][0][1] == out[1][1][0][1].replace(" ", "")
+    assert out[7] == ("DE88370400440532013000", []) and out[8][1] == []
+
+
 def test_pseudonyms_are_a_permutation(spark):
     numbers = [f"{i:03d}" for i in range(1000)]
     out = spark.createDataFrame([(n,) for n in numbers], "n string").select(

@@ -7,8 +7,13 @@ social security numbers) repeat the permutation until it gives a valid value, wh
 permutation.  So equal values get equal pseudonyms in every document, different values different
 ones, and the result still passes the validation; separators stay.
 
-Kinds: ``email`` (the part before ``@``), ``ip`` (IPv4), ``date`` (ISO, and day and month first),
-``ssn``, ``phone`` (the number after the country code), ``card`` (Luhn; first digit and scheme stay).
+Kinds: ``email`` (the part before ``@``), ``iban`` (with its check digits and its country's length;
+the country stays), ``ip`` (IPv4), ``date`` (ISO, and day and month first), ``ssn``, ``phone`` (the
+number after the country code), ``card`` (Luhn; first digit and scheme stay).
+
+Phone numbers are a ``+`` with 7 to 15 digits and single separators anywhere, or national numbers in
+groups: 3-3-4 digits, or 9 to 12 digits that start with 0.  After a ``+`` (but not ``+1``, whose numbers
+have ten digits) nothing says where a number ends, so digits after one space belong to it up to 15.
 """
 
 from __future__ import annotations
@@ -24,17 +29,44 @@ WALKS = 24
 
 _OCTET = r"(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 _EDGE, _END = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
+#: Countries by the length of their IBANs.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK|FI|FK|FO|GL|NL|SD", 19: "MK|SI", 20: "AT|BA|EE|KZ|LT|LU|MN|XK",
+    21: "CH|HR|LI|LV", 22: "BG|BH|CR|DE|GB|GE|IE|ME|RS|VA", 23: "AE|GI|IL|IQ|OM|SO|TL",
+    24: "AD|CZ|ES|MD|PK|RO|SA|SE|SK|TN|VG", 25: "LY|PT|ST", 26: "IS|TR",
+    27: "BI|DJ|FR|GR|IT|MC|MR|SM", 28: "AL|AZ|BY|CY|DO|GT|HN|HU|LB|NI|PL|SV", 29: "BR|EG|PS|QA|UA",
+    30: "JO|KW|MU|YE", 31: "MT|SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern(size: int, countries: str) -> str:
+    groups, rest = divmod(size - 4, 4)
+    last = rf" [A-Z0-9]{{{rest}}}" if rest else ""
+    return (rf"(?:{countries})[0-9]{{2}}(?:[A-Z0-9]{{{size - 4}}}"
+            rf"|(?: [A-Z0-9]{{4}}){{{groups}}}{last})")
+
+
+#: What may lie between two digits of a phone number; a number does not end within a dotted or
+#: dashed value.
+_GAP = r"(?: ?\(|\)[ .\-/]?|[ .\-/])?"
+_PHONE_END = rf"{_END}(?![.\-/][0-9])"
+#: Country codes of telephone numbers; all others have three digits.
+COUNTRY_CODE = (r"^\+(?:[17]|2[07]|3[0-469]|4[013-9]|5[1-8]|6[0-6]|8[1246]|9[0-58]|[0-9]{3})")
 #: Patterns by kind, in the order in which they are tried at a place.
 PATTERNS = {
     "email": r"(?<![A-Za-z0-9._%+\-])[A-Za-z0-9._%+\-]++@"
              r"(?:[A-Za-z0-9][A-Za-z0-9\-]{0,62}\.){1,8}[A-Za-z]{2,24}",
+    "iban": rf"{_EDGE}(?:{'|'.join(_iban_pattern(n, c) for n, c in IBAN_COUNTRIES.items())}){_END}",
     "ip": rf"(?<![0-9.])(?:{_OCTET}\.){{3}}{_OCTET}(?![0-9]|\.[0-9])",
     "date": rf"{_EDGE}(?:[0-9]{{4}}-[0-9]{{2}}-[0-9]{{2}}|[0-9]{{4}}/[0-9]{{2}}/[0-9]{{2}}"
             rf"|[0-9]{{2}}\.[0-9]{{2}}\.[0-9]{{4}}|[0-9]{{2}}/[0-9]{{2}}/[0-9]{{4}}){_END}",
     "ssn": rf"{_EDGE}[0-9]{{3}}-[0-9]{{2}}-[0-9]{{4}}{_END}",
-    "phone": r"(?<![0-9A-Za-z+])\+[0-9]{1,3}[ .\-]?\(?[0-9]{2,4}\)?[ .\-][0-9]{3,4}[ .\-]?[0-9]{3,4}"
-             rf"{_END}|(?<![0-9A-Za-z+])\([0-9]{{3}}\) ?[0-9]{{3}}[ .\-][0-9]{{4}}{_END}"
-             rf"|{_EDGE}[0-9]{{3}}[.\-][0-9]{{3}}[.\-][0-9]{{4}}{_END}",
+    "phone": rf"(?<![0-9A-Za-z+])\+(?:1(?:{_GAP}[0-9]){{10}}|[0-9](?:{_GAP}[0-9]){{6,14}}){_PHONE_END}"
+             rf"|(?<![0-9A-Za-z+])\([0-9]{{3}}\) ?[0-9]{{3}}[ .\-][0-9]{{4}}{_END}"
+             rf"|(?<![0-9A-Za-z+])\(0[1-9][0-9]{{0,4}}\) ?[0-9](?:[ .\-/]?[0-9]){{4,8}}{_PHONE_END}"
+             rf"|{_EDGE}[0-9]{{3}}[.\-][0-9]{{3}}[.\-][0-9]{{4}}{_END}"
+             rf"|{_EDGE}[2-9][0-9]{{2}} [2-9][0-9]{{2}}[ .\-][0-9]{{4}}{_PHONE_END}"
+             rf"|{_EDGE}(?=0[1-9][0-9]{{0,4}}[ .\-/])0[1-9](?:[ .\-/]?[0-9]){{7,10}}{_PHONE_END}",
     "card": rf"{_EDGE}(?:[0-9]{{13,19}}|[0-9]{{4}}(?: [0-9]{{4}}){{2}} [0-9]{{1,7}}"
             rf"|[0-9]{{4}}(?:-[0-9]{{4}}){{2}}-[0-9]{{1,7}}"
             rf"|3[0-9]{{3}}[ \-][0-9]{{6}}[ \-][0-9]{{5}}){_END}",
@@ -102,10 +134,10 @@ def _walk(value: Column, step: Callable[[Column], Column], valid: Callable[[Colu
     return F.aggregate(F.sequence(F.lit(1), F.lit(WALKS)), start, turn)["v"]
 
 
-def refill(template: Column, digits: Column) -> Column:
-    """``template`` with its digits replaced, in order."""
+def refill(template: Column, digits: Column, signs: str = "[0-9]") -> Column:
+    """``template`` with its digits (or other ``signs``) replaced, in order."""
     return F.array_join(F.flatten(F.zip_with(
-        F.split(template, "[0-9]", -1), F.split(digits, ""), lambda s, d: F.array(
+        F.split(template, signs, -1), F.split(digits, ""), lambda s, d: F.array(
             s, F.coalesce(d, F.lit(""))))), "")
 
 
@@ -136,12 +168,39 @@ def _card(value: Column, key: str) -> Column:
 
 
 def _phone(value: Column, key: str) -> Column:
-    country = F.regexp_extract(value, r"^\+[0-9]{1,3}(?=[ .\-(])", 0)
+    country = F.regexp_extract(value, COUNTRY_CODE, 0)
     return let(country, lambda c: let(
         F.substring(value, F.length(c) + 1, F.length(value)),
         lambda rest: F.concat(c, refill(rest, permute_string(_only_digits(rest), "phone", key)))))
 
 
+def iban_check(country: Column, account: Column) -> Column:
+    """The two check digits of an account, letters counting from 10, by ISO 7064 (97, 10)."""
+    signs = F.transform(F.split(F.concat(account, country), ""), lambda c: F.conv(c, 36, 10).cast("int"))
+    rest = F.aggregate(signs, F.lit(0), lambda r, n: (r * F.when(n > 9, 100).otherwise(10) + n) % 97)
+    return F.lpad((98 - rest * 100 % 97).cast("string"), 2, "0")
+
+
+def _iban(value: Column, key: str) -> Column:
+    """Digits and letters of the account, each by their own permutation; new check digits."""
+    letters, as_digits = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789abcdefghijklmnop"
+    country = F.substring(value, 1, 2)
+
+    def image(account: Column) -> Column:
+        digits = permute_string(_only_digits(account), "iban", key)
+        own = F.translate(F.regexp_replace(account, "[^A-Z]", ""), letters, as_digits)
+        signs = F.translate(permute_string(own, "iban", key, 26), as_digits, letters)
+        return refill(refill(account, digits), signs, "[A-Z]")
+
+    def checked(account: Column) -> Column:
+        return let(image(account), lambda a: refill(refill(
+            F.concat(F.lit("00"), F.substring(value, F.lit(5), F.length(value))),
+            F.concat(iban_check(country, a), _only_digits(a))), F.regexp_replace(a, "[^A-Z]", ""), "[A-Z]"))
+
+    return let(F.regexp_replace(F.substring(value, F.lit(5), F.length(value)), " ", ""), lambda a: F.when(
+        iban_check(country, a) == F.substring(value, 3, 2), F.concat(country, checked(a))))
+
+
 def _ip(value: Column, key: str) -> Column:
     def image(o: Column) -> Column:
         half = F.lit(65536).cast("long")
@@ -196,7 +255,7 @@ def _date(value: Column, key: str) -> Column:
     return let(parsed, image)
 
 
-_IMAGES = {"email": _email, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
+_IMAGES = {"email": _email, "iban": _iban, "ip": _ip, "date": _date, "ssn": _ssn, "phone": _phone, "card": _card}
 
 
 def _replacement(value: Column, key: str) -> Column:
