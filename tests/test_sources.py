@@ -8,7 +8,7 @@ from veilscan.operators.blocks import scan_blocks
 from veilscan.operators.score import history_totals
 from veilscan.plans.scan import file_lines, scan_files, scan_history
 from veilscan.sources.baselines import read_baseline_json
-from veilscan.sources.files import decode_bytes, read_files
+from veilscan.sources.files import decode_bytes, expand_archives, read_files
 from veilscan.sources.history import (
     COMMIT_MARKER,
     added_lines,
@@ -64,6 +64,32 @@ def test_directory_scan(spark, rules, tree):
     assert "img.png" in everything
 
 
+def test_archive_members_are_read_like_plain_files(spark, rules, tmp_path, ak):
+    with zipfile.ZipFile(tmp_path / "a.zip", "w", zipfile.ZIP_DEFLATED) as archive:
+        archive.writestr("wide.txt", ("\ufeffkey " + ak).encode("utf-16-le"))
+        archive.writestr("nul.txt", (ak[:6].encode() + b"\0" + ak[6:].encode()))
+        archive.writestr("bad.txt", "unread " * 50 + ak)
+        archive.writestr("good.txt", "x " + ak)
+        archive.writestr("locked.txt", "y " + ak)
+        archive.writestr("pic.png", b"\0" * 50)
+        archive.writestr("note.png", "z " + ak)
+        places = {i.filename: i.header_offset for i in archive.infolist()}
+    body = bytearray((tmp_path / "a.zip").read_bytes())
+    at = places["bad.txt"] + 30 + len("bad.txt")
+    body[at:at + 8] = b"\xff" * 8
+    # The flag of encrypted members, in the member's header and in the directory.
+    body[places["locked.txt"] + 6] |= 1
+    body[body.rindex(b"locked.txt") - 46 + 8] |= 1
+    (tmp_path / "a.zip").write_bytes(bytes(body))
+    files = expand_archives(read_files(spark, str(tmp_path)))
+    assert {r.path.removeprefix("a.zip://"): r.status for r in files.collect()} == {
+        "wide.txt": "scanned", "nul.txt": "scanned", "bad.txt": "unreadable", "good.txt": "scanned",
+        "locked.txt": "unreadable", "pic.png": "binary", "note.png": "scanned", "a.zip": "scanned"}
+    found = scan_files(spark, str(tmp_path), rules.only(["aws-access-key"])).collect()
+    assert sorted(r.path for r in found) == [
+        f"a.zip://{n}" for n in ("good.txt", "note.png", "nul.txt", "wide.txt")]
+
+
 def test_single_file_scan(spark, rules, tree):
     picked = rules.only(["aws-access-key", "generic-api-key"])
     assert [r.path for r in scan_files(spark, tree + "/src/a.js", picked).collect()] == ["a.js"]

@@ -94,7 +94,8 @@ def scan_files(
     files = read_files(
         spark, path, ignore=ignore, scan_all_extensions=scan_all_extensions,
         max_file_size=max_file_size).where("status = 'scanned'")
-    texts = expand_archives(files).select("path", decode_bytes(F.col("content")).alias("content"))
+    texts = expand_archives(files, scan_all_extensions).where("status = 'scanned'").select(
+        "path", decode_bytes(F.col("content")).alias("content"))
     return scan_texts(texts, rules, merge_lines=merge_lines, structured=True, **options)
 
 

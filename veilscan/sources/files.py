@@ -3,8 +3,10 @@
 from __future__ import annotations
 
 import io
+import lzma
 import os
 import zipfile
+import zlib
 from collections.abc import Iterable, Iterator
 from urllib.parse import unquote, urlparse
 
@@ -21,6 +23,9 @@ FILE_SCHEMA = "path string, content binary, length bigint"
 # Shares of zero bytes that mean binary, or UTF-16 without a byte order mark.
 UTF16_NULL_SHARE, BINARY_NULL_SHARE = 0.3, 0.01
 ARCHIVE_SUFFIXES = ["zip", "jar"]
+# What reading an archive or a member raises: damaged, encrypted, of an unknown method.
+UNREADABLE = (zipfile.BadZipFile, zlib.error, lzma.LZMAError, RuntimeError, NotImplementedError,
+              EOFError, OSError, ValueError)
 
 
 def _is_local(path: str) -> bool:
@@ -189,33 +194,50 @@ def decode_bytes(content: Column) -> Column:
     return F.when(little | big, wide).otherwise(utf8)
 
 
-def expand_archives(files: DataFrame) -> DataFrame:
-    """Replace zip and jar files by their members, path ``archive://member``.
+def expand_archives(files: DataFrame, scan_all_extensions: bool = False) -> DataFrame:
+    """Replace zip and jar files by their members, path ``archive://member``: ``path, content, status``.
 
-    Folders, and members with more than a trace of zero bytes, are skipped; members come one by one.  Archives that cannot be read stay as they are.  Output columns: ``path, content``.
+    Members are read one by one, whatever their content.  ``status`` is that of ``files`` (``scanned``
+    without the column), ``unreadable`` for a damaged or encrypted member and ``binary`` for one that
+    has more than a trace of zero bytes and an extension that is not scanned among plain files
+    either; both have no content.  Folders give no row.  An archive that cannot be opened, or has
+    unreadable members, also stays as it is.
     """
+    binary = () if scan_all_extensions else tuple(P.EXCLUDED_EXTENSIONS)
+
+    def opened(path: str, content: bytes) -> Iterator[tuple]:
+        whole = False
+        try:
+            with zipfile.ZipFile(io.BytesIO(content)) as archive:
+                for member in archive.infolist():
+                    if member.is_dir():
+                        continue
+                    name = f"{path}://{member.filename}"
+                    try:
+                        body = archive.read(member)
+                    except UNREADABLE:
+                        whole = True
+                        yield name, None, "unreadable"
+                        continue
+                    if member.filename.lower().endswith(binary) and (
+                            body.count(0) > BINARY_NULL_SHARE * len(body)):
+                        yield name, None, "binary"
+                    else:
+                        yield name, body, "scanned"
+        except UNREADABLE:
+            whole = True
+        if whole:
+            yield path, content, "scanned"
+
     def members(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, content in zip(batch["path"], batch["content"]):
-                if path.rsplit(".", 1)[-1].lower() not in ARCHIVE_SUFFIXES:
-                    yield pd.DataFrame({"path": [path], "content": [content]})
-                    continue
-                try:
-                    with zipfile.ZipFile(io.BytesIO(content)) as archive:
-                        # Sound archives are read member by member, the others not at all.
-                        broken = archive.testzip() is not None
-                        for member in () if broken else archive.infolist():
-                            body = b"" if member.is_dir() else archive.read(member)
-                            if not member.is_dir() and (
-                                    body.count(0) <= BINARY_NULL_SHARE * len(body)):
-                                yield pd.DataFrame(
-                                    {"path": [f"{path}://{member.filename}"], "content": [body]})
-                except (zipfile.BadZipFile, RuntimeError, NotImplementedError, EOFError, OSError):
-                    broken = True
-                if broken:
-                    yield pd.DataFrame({"path": [path], "content": [content]})
-
-    is_archive = P.suffix(F.col("path")).isin(ARCHIVE_SUFFIXES)
-    plain = files.select("path", "content").where(~is_archive)
-    packed = files.select("path", "content").where(is_archive & F.col("content").isNotNull())
-    return plain.unionByName(packed.mapInPandas(members, "path string, content binary"))
+                for row in opened(path, content):
+                    yield pd.DataFrame([row], columns=["path", "content", "status"])
+
+    status = F.col("status") if "status" in files.columns else F.lit("scanned").alias("status")
+    is_archive = P.suffix(F.col("path")).isin(ARCHIVE_SUFFIXES) & F.col("content").isNotNull()
+    plain = files.where(~is_archive).select("path", "content", status)
+    packed = files.select("path", "content").where(is_archive)
+    return plain.unionByName(
+        packed.mapInPandas(members, "path string, content binary, status string"))
