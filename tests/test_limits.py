@@ -107,3 +107,14 @@ def test_long_line_time(spark, rules):
     start = time.perf_counter()
     scan_lines(lines, rules).count()
     assert time.perf_counter() - start < 60
+
+
+def test_long_texts_have_a_query(spark, tmp_path):
+    """A registered query plants keys beyond the former limits of lines, decoded texts and JSON."""
+    from oracle import all_oracles
+    from veilscan.plans import queries
+
+    assert "long_text_findings" in queries.all_queries() and "long_text_findings" in all_oracles()
+    spark.range(198, 201).withColumnRenamed("id", "s_suppkey").write.parquet(f"{tmp_path}/supplier.parquet")
+    sizes = {r.path: len(r.content) for r in queries.long_files(spark, str(tmp_path)).collect()}
+    assert sizes["long198.txt"] > 65_536 and sizes["blob199.txt"] > 8_192 and sizes["long200.json"] > 65_536
