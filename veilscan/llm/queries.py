@@ -13,9 +13,12 @@ from veilscan.llm.chat import format_chats, read_chats
 from veilscan.llm.common import materialize, table
 from veilscan.llm.fingerprints import compare_with_next
 from veilscan.llm.jaccard_join import near_duplicates
+from veilscan.llm.licenses import base_rule, default_rules, scan_licenses, summary
 from veilscan.llm.neighbours import nearest
 from veilscan.llm.packing import cut_pieces, pack
+from veilscan.llm.periodic_runs import find_runs, with_repeats
 from veilscan.llm.pseudonyms import pseudonymize
+from veilscan.llm.spelling import count_words, variants
 from veilscan.llm.url_filters import UrlRule, filter_urls
 
 URL_RULES = [
@@ -121,10 +124,46 @@ def op10_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.length("formatted").cast("long").alias("formatted_chars"))
 
 
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every word of all documents with its form and root; one pair of document and word in 31 is
+    misspelt beforehand."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return variants(count_words(docs, edit_share=31)).select("word", "form", "root", "n", "n_near", "form_n")
+
+
+LICENSE_PHRASES = [("gpl", "gnu general public license"), ("apache", "apache license"), ("cc-by", "cc by"),
+                   ("mit", "mit license")]
+
+
+def op12_license_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document's license detections, as counts and labels."""
+    rules = default_rules() + [base_rule(*phrase) for phrase in LICENSE_PHRASES]
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return summary(scan_licenses(docs, rules).drop("text"))
+
+
+def op13_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document's runs, and its text without repeats, as digests; a tenth of the documents
+    is made to repeat beforehand."""
+    docs = with_repeats(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = find_runs(docs).select("doc_id", "runs", "collapsed")
+    # The longest run, then the smallest start and period.
+    top = F.array_min(F.transform("runs", lambda r: F.struct(
+        (-r["length"]).alias("order"), r["start"].alias("start"), r["period"].alias("period"))))
+    lines = F.transform("runs", lambda r: F.concat_ws(",", r["start"], r["length"], r["period"]))
+    text = F.when(F.size("runs") > 0, F.concat(F.array_join(lines, "\n"), F.lit("\n"))).otherwise("")
+    return found.withColumn("top", top).select(
+        "doc_id", F.size("runs").cast("long").alias("n_runs"), F.col("top.start").alias("start"),
+        (-F.col("top.order")).alias("length"), F.col("top.period").alias("period"),
+        F.floor(-1000 * F.col("top.order") / F.col("top.period")).cast("long").alias("exponent_milli"),
+        F.sha2(text, 256).alias("runs_sha256"), F.sha2("collapsed", 256).alias("collapsed_sha256"))
+
+
 def llm_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     found = [op1_pseudonyms, op2_nearest_neighbours, op3_byte_bpe, op4_ngram_jaccard_join,
              op5_html_extraction, op6_quality_classifier, op7_url_filters, op8_best_fit_packing,
-             op9_document_fingerprints, op10_chat_formatting]
+             op9_document_fingerprints, op10_chat_formatting, op11_spelling_variants, op12_license_scans,
+             op13_periodic_runs]
     import corpus_pipeline
 
     return {f.__name__: f for f in found} | {"pipeline": corpus_pipeline.run}
