@@ -213,7 +213,7 @@ GRANTS = [
     ("gfdl", "distribute", "permission is granted to copy distribute and/?~or modify this document"),
     ("cc0", "waive", "has waived all copyright and related or neighbou?ring rights"),
     ("cc", "creative commons", "this work is licen[cs]ed under a creative commons"),
-    ("public-domain", "public domain", "the author disclaims copyright to this source code"),
+    ("public-domain", "disclaims copyright", "the author disclaims copyright to this source code"),
     ("beerware", "buy me a beer", "you can buy me a beer in return"),
     ("wtfpl", "you just do what", "you just do what the fuck you want to"),
 ]
