@@ -501,7 +501,7 @@ FROM found WHERE line % 2 = 0"""),
   WHERE k % 20 IN (0, 4, 5, 8, 10, 12, 15, 16)) USING (secret_sha)"""),
         "scan_summary": seeded(
             f"""SELECT *, {TIER} AS tier FROM (
-  SELECT (SELECT count(*) FROM seeded) AS files_scanned, 0 AS skipped_files,
+  SELECT (SELECT count(DISTINCT path) FROM seeded) AS files_scanned, 0 AS skipped_files,
          (SELECT count(*) FROM seeded) AS lines_scanned,
          (SELECT count(*) FROM marked WHERE NOT suppressed) AS findings,
          (SELECT count(*) FROM marked WHERE suppressed) AS suppressed_findings,

@@ -37,6 +37,29 @@ def test_structured_files_of_any_size_and_depth(spark, rules, ak):
     assert {(r.path, r.leaf_path, r.line) for r in found} == {("a.json", "deep.id", 1), ("b.env", None, 30_001)}
 
 
+def test_json_of_any_nesting_and_with_half_characters(spark, rules, ak):
+    deep = "[" * 60_000 + json.dumps({"id": ak}) + "]" * 60_000
+    half = '{"note": "\\ud800x", "id": "%s"}' % ak
+    broken = "[" * 60_000 + f'"{ak}"'
+    found = scan_texts(texts(spark, ("a.json", deep), ("b.json", half), ("c.json", broken)),
+                       rules.only(["aws-access-key"]), structured=True).collect()
+    paths = {r.path: r.leaf_path for r in found}
+    assert set(paths) == {"a.json", "b.json", "c.json"} and paths["b.json"] == "id" and paths["c.json"] is None
+    assert paths["a.json"] == "0." * 59_999 + "0.id"
+
+
+def test_reversed_tokens_are_read_in_linear_time(spark):
+    from pyspark.sql import functions as F
+
+    from veilscan.functions.codecs import reversed_token
+
+    token = "x" * 200_000 + "AIKA"
+    start = time.perf_counter()
+    rows = spark.createDataFrame([(token,), ("a" * 200_000,), ("a" * 14 + "AIKA",), ("a" * 15 + "aika",)], "t string")
+    got = [r[0] for r in rows.select(reversed_token(F.col("t"))).collect()]
+    assert got == [token[::-1], None, None, "akia" + "a" * 15] and time.perf_counter() - start < 10
+
+
 def test_normalisation_reads_the_whole_text(spark, rules, ak):
     line = "z " * 40_000 + f"key = {ak[:9]}\u200b{ak[9:]}"
     found = scan_texts(texts(spark, ("a.txt", line)), rules.only(["aws-access-key"])).collect()

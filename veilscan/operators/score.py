@@ -88,12 +88,19 @@ def distinct_findings(findings: DataFrame) -> DataFrame:
 
 
 def secret_reuse(findings: DataFrame) -> DataFrame:
-    """How widely each secret is spread, by its unsalted hash."""
-    return findings.groupBy("secret_sha").agg(
-        F.count(F.lit(1)).alias("findings"),
-        F.count_distinct("path").alias("files"),
-        F.count_distinct("rule_id").alias("rules"),
-        F.max(severity_lookup(F.col("severity"), "weight")).alias("max_weight"))
+    """How widely each secret is spread, by its unsalted hash.
+
+    Rows are merged by secret and file, then by secret: a file, or a secret, that holds a great part
+    of the findings is summed up before each shuffle.  A secret has few rules, so their sets stay
+    small.
+    """
+    by_file = findings.groupBy("secret_sha", "path").agg(
+        F.count(F.lit(1)).alias("n"), F.collect_set("rule_id").alias("ids"),
+        F.max(severity_lookup(F.col("severity"), "weight")).alias("weight"))
+    return by_file.groupBy("secret_sha").agg(
+        F.sum("n").alias("findings"), F.count("path").alias("files"),
+        F.size(F.array_distinct(F.flatten(F.collect_set("ids")))).cast("long").alias("rules"),
+        F.max("weight").alias("max_weight"))
 
 
 def file_totals(files: DataFrame, content: str = "content") -> DataFrame:

@@ -6,6 +6,8 @@ A leaf becomes a synthetic line ``key: value``, so that the ordinary rules apply
 from __future__ import annotations
 
 import json
+import re
+from itertools import dropwhile
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
@@ -21,27 +23,100 @@ LEAF_TYPE = T.ArrayType(T.StructType([
     T.StructField(name, T.StringType()) for name in ("key", "leaf_path", "value")]))
 
 
-@F.arrow_udf(LEAF_TYPE)
-def _leaves(document: pa.Array) -> pa.Array:
-    """String leaves of each document in document order; null where it is null or not JSON."""
-    def walk(node, path, out):
-        items = node.items() if isinstance(node, dict) else enumerate(node)
-        for key, value in items:
-            here = f"{path}.{key}" if path else str(key)
+_TOKEN = re.compile(r"""[ \t\n\r]*(?:([][{}:,])|("(?:[^"\\]|\\.)*")|([^][{}:,"\s]+))""", re.S)
+
+
+def _parse_deep(text: str):
+    """What ``json.loads`` gives, for documents nested deeper than it goes.
+
+    A stack of open containers; ``wanted`` says what may come next.
+    """
+    stack, root, wanted, key, at = [], None, "value", None, 0
+    while at < len(text):
+        m = _TOKEN.match(text, at)
+        if m is None:
+            if text[at:].strip(" \t\n\r"):
+                raise ValueError(f"no JSON at {at}")
+            break
+        at, (mark, quoted, bare) = m.end(), m.groups()
+        if mark in ("}", "]"):
+            if not stack or isinstance(stack[-1], dict) != (mark == "}") or (
+                    wanted not in ("next", "key or end", "value or end")):
+                raise ValueError(f"unexpected {mark} at {at}")
+            stack.pop()
+            wanted = "next" if stack else "nothing"
+        elif mark == ",":
+            if wanted != "next":
+                raise ValueError(f"unexpected , at {at}")
+            wanted = "key" if isinstance(stack[-1], dict) else "value"
+        elif mark == ":":
+            if wanted != "colon":
+                raise ValueError(f"unexpected : at {at}")
+            wanted = "value"
+        elif wanted in ("key", "key or end"):
+            if not quoted:
+                raise ValueError(f"no key at {at}")
+            key, wanted = json.loads(quoted), "colon"
+        elif wanted in ("value", "value or end"):
+            value = {} if mark == "{" else [] if mark == "[" else json.loads(quoted or bare)
+            if not stack:
+                root = value
+            elif isinstance(stack[-1], dict):
+                stack[-1][key] = value
+            else:
+                stack[-1].append(value)
+            if mark:
+                stack.append(value)
+                wanted = "key or end" if mark == "{" else "value or end"
+            else:
+                wanted = "next" if stack else "nothing"
+        else:
+            raise ValueError(f"unexpected token at {at}")
+    if stack or wanted != "nothing":
+        raise ValueError("unfinished JSON")
+    return root
+
+
+def _string_leaves(node) -> list[dict]:
+    """String leaves in document order.  Walked with a stack: documents may nest to any depth."""
+    out, keys = [], []
+    walks = [iter(node.items() if isinstance(node, dict) else enumerate(node))]
+    while walks:
+        for key, value in walks[-1]:
             if isinstance(value, str):
-                out.append({"key": str(key), "leaf_path": here, "value": value})
+                out.append({"key": str(key), "value": value,
+                            "leaf_path": ".".join(dropwhile(lambda k: not k, [*keys, str(key)]))})
             elif isinstance(value, (dict, list)):
-                walk(value, here, out)
-        return out
+                keys.append(str(key))
+                walks.append(iter(value.items() if isinstance(value, dict) else enumerate(value)))
+                break
+        else:
+            walks.pop()
+            if keys:
+                keys.pop()
+    return out
 
+
+def _whole(text: str) -> str:
+    """Halves of surrogate pairs, which escapes may give, as replacement characters."""
+    return text if text.isascii() else text.encode("utf-16", "surrogatepass").decode("utf-16", "replace")
+
+
+@F.arrow_udf(LEAF_TYPE)
+def _leaves(document: pa.Array) -> pa.Array:
+    """String leaves of each document in document order; null where it is null or not JSON."""
     def leaves(text):
         if text is None:
             return None
         try:
-            node = json.loads(text)
-            return walk(node, "", []) if isinstance(node, (dict, list)) else []
-        except (ValueError, RecursionError):
+            try:
+                node = json.loads(text)
+            except RecursionError:
+                node = _parse_deep(text)
+        except ValueError:
             return None
+        found = _string_leaves(node) if isinstance(node, (dict, list)) else []
+        return [{name: _whole(value) for name, value in leaf.items()} for leaf in found]
 
     kind = pa.list_(pa.struct([("key", pa.string()), ("leaf_path", pa.string()),
                                ("value", pa.string())]))
