@@ -100,15 +100,44 @@ def near_copy_rows():
     return [(1000 - i, t) for i, t in enumerate(texts)]
 
 
-@pytest.mark.parametrize("block", [1024, 7])
-def test_classes_equal_those_of_all_pairs(spark, monkeypatch, block):
-    monkeypatch.setattr(jaccard_join, "BLOCK", block)
+@pytest.mark.parametrize("block, part, crowd", [(1024, 1 << 13, 1 << 10), (7, 8, 4)])
+def test_classes_equal_those_of_all_pairs(spark, monkeypatch, block, part, crowd):
+    for name, value in (("BLOCK", block), ("PART", part), ("CROWD", crowd)):
+        monkeypatch.setattr(jaccard_join, name, value)
     rows = near_copy_rows()
     df = spark.createDataFrame([(i, t, "x", 1) for i, t in rows], "doc_id long, text string, size string, node int")
     out = jaccard_join.near_duplicates(df.repartition(5)).collect()
     assert sorted((r.doc_id, r.n_shingles, r.component_id) for r in out) == plain_classes(rows)
 
 
+@pytest.mark.parametrize("large", [3, 1 << 20])
+def test_tiles_hold_the_members_of_keys(monkeypatch, large):
+    """Keys with the same members share a tile; large and dealt ones are tiles by themselves."""
+    monkeypatch.setattr(jaccard_join, "LARGE", large)
+    chance = random.Random(2)
+    for _ in range(200):
+        rows = sorted({(-1, chance.randrange(-9, 9), chance.randrange(-20, 20)) for _ in range(chance.randint(0, 60))})
+        rows = sorted([*rows, *chance.sample(rows, len(rows) // 3)])  # repeated entries
+        rows += sorted((part, 99, node) for part, node in {(chance.randrange(2), chance.randrange(5)) for _ in range(4)})
+        arrays = [np.array([r[i] for r in rows], np.int64) for i in (1, 0, 2)]
+        size = chance.randint(1, 9)
+        batches = [jaccard_join.pa.RecordBatch.from_arrays(
+            [jaccard_join.pa.array(a[i:i + size]) for a in arrays], ["key", "part", "node"])
+            for i in range(0, len(rows), size)]
+        members, counts = defaultdict(set), {}
+        for batch in jaccard_join._members_of_keys(iter(batches)):
+            for tile, n, node in zip(*(c.to_pylist() for c in batch.columns)):
+                members[tile].add(node)
+                counts[tile] = n
+        by_key = defaultdict(set)
+        for _, key, node in rows:
+            by_key[key].add(node)
+        wanted = {frozenset(m) for k, m in by_key.items() if len(m) > 1 or k == 99}
+        assert {frozenset(m) for m in members.values() if len(m) > 1} == {m for m in wanted if len(m) > 1}
+        assert all(n is None or n == len(members[t]) for t, n in counts.items())
+        assert all(counts[t] is None for t in counts if t == 99)
+
+
 def test_classes_of_odd_tables(spark):
     df = spark.createDataFrame([(1, "a b"), (1, "a b"), (None, "c"), (3, None)], "doc_id long, text string")
     out = sorted(((r.doc_id, r.n_shingles, r.component_id) for r in jaccard_join.near_duplicates(df).collect()), key=str)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm.common import materialize
+from veilscan.llm.common import forget, materialize
 
 MAX_ROUNDS = 50
 
@@ -15,7 +15,8 @@ def components(edges: DataFrame) -> DataFrame:
 
     Each round links every node's larger neighbours, then its smaller ones, to its smallest; the
     number of rounds grows with the logarithm of the longest path.  Rounds are written to the shared
-    folder.  A node that very many share is only ever the smaller end after the first round, where
+    folder.  Should they not settle, which no table of up to 2 ** 50 nodes gives, that is an error.  A
+    node that very many share is only ever the smaller end after the first round, where
     sums and minima are combined before the shuffle.
     """
     current = materialize(edges.where("a <> b").select(
@@ -34,8 +35,11 @@ def components(edges: DataFrame) -> DataFrame:
         following = materialize(small, "edges")
         changed = following.join(current, ["a", "b"], "left_anti").limit(1).count() or (
             following.count() != current.count())
+        forget(current)
         current = following
         if not changed:
             break
+    else:
+        raise RuntimeError(f"components are not settled after {MAX_ROUNDS} rounds")
     return current.select(F.col("a").alias("node"), F.col("b").alias("component")).unionByName(
         current.select(F.col("b").alias("node"), F.col("b").alias("component")).distinct())

@@ -28,9 +28,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm.common import materialize, slices
+from veilscan.llm.common import forget, materialize, slices
 from veilscan.llm.components import components
-from veilscan.llm.shingles import Shingler
+from veilscan.llm.shingles import Shingler, mixed
 
 #: Similarity as a fraction.
 NUMERATOR, DENOMINATOR = 4, 5
@@ -42,6 +42,9 @@ PORTION = 1 << 21
 #: Nodes in a block of a tile.
 BLOCK = 1024
 BITS_PER_SHINGLE = 2
+#: Nodes of a frequent shingle in a part; entries of a key that are looked at together; partners of a
+#: node in a part.
+PART, LARGE, CROWD = 1 << 13, 1 << 20, 1 << 10
 
 
 def required(size: np.ndarray | int):
@@ -63,7 +66,7 @@ def signature(shingles: np.ndarray) -> bytes:
 
 
 def fold(signature: np.ndarray, width: int) -> np.ndarray:
-    """Signature (64-bit words) folded to ``width`` words."""
+    """Signature (64-bit words, along the first axis) folded to ``width`` words."""
     while len(signature) > width:
         half = len(signature) // 2
         signature = signature[:half] ^ signature[half:]
@@ -136,135 +139,180 @@ def _survey(docs: DataFrame, size: int) -> DataFrame:
 
 
 def _entries(docs: DataFrame, size: int, frequent) -> DataFrame:
-    """``key, size, node`` for every shingle of every node's prefix; once in a task."""
+    """``key, part, node`` for every shingle of every node's prefix; once in a task.
+
+    ``part`` deals the nodes of a very frequent shingle out, ``PART`` to each; it is -1 for others.
+    """
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        often, rank = frequent.value  # ascending shingles, and their place by frequency
+        often, rank, parts = frequent.value  # ascending shingles, their places by frequency, their parts
         shingler, done = Shingler(size), set()
         for _, sets in _sets(batches, shingler):
-            keys, sizes, nodes = [], [], []
+            keys, dealt, nodes = [], [], []
             for shingles in sets:
                 node = _digest(shingles)
                 if not len(shingles) or node in done:
                     continue
                 done.add(node)
                 prefix = len(shingles) - required(len(shingles)) + 1
+                part = np.full(prefix, -1, np.int64)
+                chosen = shingles[:prefix]
                 if len(often):
                     at = np.minimum(np.searchsorted(often, shingles), len(often) - 1)
-                    late = np.where(often[at] == shingles, rank[at], 0)
-                    chosen = shingles[np.argsort(late, kind="stable")[:prefix]]
-                else:
-                    chosen = shingles[:prefix]
+                    listed = often[at] == shingles
+                    first = np.argsort(np.where(listed, rank[at], 0), kind="stable")[:prefix]
+                    chosen, of = shingles[first], np.where(listed[first], parts[at[first]], 1)
+                    part = np.where(of > 1, node % of, -1)
                 keys.append(chosen)
-                sizes.append(np.full(prefix, len(shingles), np.int32))
+                dealt.append(part)
                 nodes.append(np.full(prefix, node, np.int64))
             if keys:
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(sizes)),
-                     pa.array(np.concatenate(nodes))], ["key", "size", "node"])
+                    [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.concatenate(dealt)),
+                     pa.array(np.concatenate(nodes))], ["key", "part", "node"])
 
-    return docs.mapInArrow(run, "key long, size int, node long")
+    return docs.mapInArrow(run, "key long, part long, node long")
 
 
-def _shared_keys(entries: DataFrame) -> DataFrame:
-    """The entries whose key at least two nodes have.
+def _members_of_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """``tile, n, node`` of entries sorted by ``part, key, node``, for keys that two nodes share.
 
-    Keys are dealt by range with size and node, so one key may fill many parts; what lies at a
-    part's ends is kept, as its other entries may lie in the next part.
+    A key's tile is a digest of its members, so that keys with the same members give the same rows.
+    Where a key is dealt out, or is too large to be looked at as a whole, its tile is the key itself
+    and ``n`` is null.
     """
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest = None
-        first = True
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            columns = [batch.column(i).to_numpy() for i in range(3)]
-            if rest is not None:
-                columns = [np.concatenate(pair) for pair in zip(rest, columns)]
-            key, _, node = columns
-            fresh = np.ones(len(key), bool)
-            fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
-            columns = [c[fresh] for c in columns]
-            key = columns[0]
-            # The last key waits for the next batch: one entry of it is enough when more is out.
-            last = np.flatnonzero(key == key[-1])[0]
-            shared = np.zeros(len(key), bool)
-            shared[1:] = key[1:] == key[:-1]
-            shared[:-1] |= shared[1:]
-            if first and len(key):
-                shared[0] = True
-                first = False
-            out = shared.copy()
-            keep = max(last, len(key) - 2)
-            out[keep:] = False
-            rest = [c[keep:] for c in columns]
-            yield pa.RecordBatch.from_arrays([pa.array(c[out]) for c in columns], names)
-        if rest is not None:
-            yield pa.RecordBatch.from_arrays([pa.array(c) for c in rest], names)
-
-    names = ["key", "size", "node"]
-    ordered = entries.repartitionByRange("key", "size", "node").sortWithinPartitions(
-        "key", "size", "node")
-    found = ordered.mapInArrow(run, "key long, size int, node long").distinct()
-    return materialize(found, "shared-keys")
-
-
-def _tiles(shared: DataFrame) -> DataFrame:
-    """One key of all that have the same members, with ``n``, its members."""
-    members = shared.groupBy("key").agg(
-        F.count("*").alias("n"), F.bit_xor(F.xxhash64("node")).alias("x"),
-        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("y")).where("n > 1")
-    return members.groupBy("n", "x", "y").agg(F.min("key").alias("key")).select("key", "n")
+    none = np.zeros(0, np.int64)
+
+    def rows(tile, n, node):
+        return pa.RecordBatch.from_arrays(
+            [pa.array(tile), pa.array(n, mask=n < 0), pa.array(node)], ["tile", "n", "node"])
+
+    def groups(key, node):
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.concatenate([starts, [len(key)]]))
+        mix = mixed(node.view(np.uint64))
+        tile = mixed(np.bitwise_xor.reduceat(mix, starts)) + np.add.reduceat(mix * mix, starts)
+        kept = np.repeat(sizes > 1, sizes)
+        return rows(np.repeat(tile.view(np.int64), sizes)[kept], np.repeat(sizes, sizes)[kept], node[kept])
+
+    rest, large = (none, none), None
+    for batch in batches:
+        key, part, node = (batch.column(i).to_numpy() for i in range(3))
+        whole = part >= 0
+        if whole.any():
+            yield rows(key[whole], np.full(whole.sum(), -1), node[whole])
+            key, node = key[~whole], node[~whole]
+        key, node = np.concatenate([rest[0], key]), np.concatenate([rest[1], node])
+        fresh = np.ones(len(key), bool)
+        fresh[1:] = (key[1:] != key[:-1]) | (node[1:] != node[:-1])
+        key, node = key[fresh], node[fresh]
+        if large is not None and len(key):
+            more = int(np.searchsorted(key, large, side="right"))
+            yield rows(key[:more], np.full(more, -1), node[:more])
+            key, node = key[more:], node[more:]
+            large = None if len(key) else large
+        last = int(np.searchsorted(key, key[-1])) if len(key) else 0
+        if last:
+            yield groups(key[:last], node[:last])
+        rest = key[last:], node[last:]
+        if len(rest[0]) > LARGE:
+            large = int(rest[0][0])
+            yield rows(rest[0], np.full(len(rest[0]), -1), rest[1])
+            rest = none, none
+    if len(rest[0]):
+        yield groups(*rest)
+
+
+def _tiles(entries: DataFrame, nodes: DataFrame) -> DataFrame:
+    """``key, n, node, size``: the members of each tile, with its number of members and their sizes."""
+    found = materialize(
+        entries.repartition("key", "part").sortWithinPartitions("part", "key", "node").mapInArrow(
+            _members_of_keys, "tile long, n long, node long").dropDuplicates(["tile", "node"]), "members")
+    counted = found.where("n is null").groupBy("tile").agg(F.count("*").alias("counted"))
+    tiles = materialize(
+        found.join(counted, "tile", "left").join(nodes.select("node", "size"), "node").select(
+            F.col("tile").alias("key"), F.coalesce("n", "counted").alias("n"), "node", "size"), "tiles")
+    forget(found)
+    return tiles
 
 
 def _bits_differ(pairs: DataFrame, nodes: DataFrame) -> DataFrame:
     """The pairs (``a``, ``b``) whose signatures allow a link."""
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            kept = []
-            for a, b, size_a, size_b in zip(frame.bits_a, frame.bits_b, frame.size_a, frame.size_b):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                width = min(len(a), len(b))
-                different = int(np.bitwise_count(fold(a, width) ^ fold(b, width)).sum())
-                kept.append(may_link(size_a, size_b, different))
-            yield frame.loc[np.array(kept, bool), ["a", "b"]]
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sides = [batch.column(f"bits_{x}").to_pylist() for x in "ab"]
+            widths = np.array([[len(bits) // 8 for bits in side] for side in sides])
+            sizes = [batch.column(f"size_{x}").to_numpy().astype(np.int64) for x in "ab"]
+            kept = np.zeros(batch.num_rows, bool)
+            for pair in np.unique(widths, axis=1).T:
+                at = np.flatnonzero((widths.T == pair).all(axis=1))
+                first, second = (
+                    fold(np.frombuffer(b"".join([side[i] for i in at]), np.uint64).reshape(len(at), width).T, pair.min())
+                    for side, width in zip(sides, pair))
+                different = np.bitwise_count(first ^ second).sum(0, dtype=np.int64)
+                kept[at] = may_link(sizes[0][at], sizes[1][at], different)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(x).filter(pa.array(kept)) for x in "ab"], ["a", "b"])
 
     side = lambda x: nodes.select(
         F.col("node").alias(x), F.col("size").alias(f"size_{x}"), F.col("bits").alias(f"bits_{x}"))
     return pairs.join(side("a"), "a").join(side("b"), "b").select(
-        "a", "b", "size_a", "size_b", "bits_a", "bits_b").mapInPandas(run, "a long, b long")
+        "a", "b", "size_a", "size_b", "bits_a", "bits_b").mapInArrow(run, "a long, b long")
+
+
+def _of_rows(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """The documents that may be among the rows (``doc_id``, ``text_key``) of ``wanted``.
+
+    Rows are marked in a bitmap of a fixed 2 ** 26 bits, so 8 MB at most are broadcast, and texts that
+    nobody asked for are seldom shuffled.
+    """
+    place = lambda: F.pmod(F.xxhash64("doc_id", "text_key"), F.lit(1 << 26))
+    marks = wanted.select(place().alias("place")).groupBy(
+        F.bitmap_bucket_number("place").alias("bucket")).agg(
+        F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("marks"))
+    bit = F.bitmap_bit_position(place())
+    byte = F.conv(F.hex(F.substring(F.col("marks"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+    marked = F.getbit(byte, (bit % 8).cast("int")) == 1
+    return docs.withColumn("bucket", F.bitmap_bucket_number(place())).join(
+        F.broadcast(marks), "bucket").where(marked).drop("bucket", "marks")
 
 
 def _verified(pairs: DataFrame, nodes: DataFrame, docs: DataFrame, size: int) -> DataFrame:
-    """The pairs whose sets are similar, by exact intersection."""
-    def make_sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch, sets in _sets(batches, Shingler(size)):
-            # Texts are joined by a hash.
-            own = [(n, s.tobytes()) for n, s in zip(batch.column("node").to_pylist(), sets)
-                   if _digest(s) == n]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array([n for n, _ in own], pa.int64()), pa.array([s for _, s in own], pa.binary())],
-                ["node", "shingles"])
+    """The pairs whose sets are similar, by exact intersection.
 
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for frame in frames:
-            kept = []
-            for a, b in zip(frame.set_a, frame.set_b):
-                a, b = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
-                common = len(np.intersect1d(a, b, assume_unique=True))
-                kept.append(DENOMINATOR * common >= NUMERATOR * (len(a) + len(b) - common))
-            yield frame.loc[np.array(kept, bool), ["a", "b"]]
+    The texts of all ``a`` go to their ``b``, whose set is made once; a ``b`` with many partners is
+    dealt out to parts of ``CROWD``, each with its text.
+    """
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shingler, at, hub_set = Shingler(size), None, None
+        for batch, sets in _sets(batches, shingler):
+            found = []
+            for hub, node, shingles in zip(batch.column("hub").to_pylist(), batch.column("node").to_pylist(), sets):
+                if _digest(shingles) != node:
+                    continue  # texts are joined by a hash
+                if node == hub:
+                    at, hub_set = hub, shingles
+                elif at == hub:
+                    common = len(np.intersect1d(shingles, hub_set, assume_unique=True))
+                    if DENOMINATOR * common >= NUMERATOR * (len(shingles) + len(hub_set) - common):
+                        found.append((node, hub))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array([f[i] for f in found], pa.int64()) for i in range(2)], ["a", "b"])
 
     pairs = materialize(pairs.distinct(), "pairs")
-    wanted = pairs.select(F.col("a").alias("node")).union(pairs.select("b")).distinct()
-    wanted = nodes.join(wanted, "node").select("node", "first")
-    texts = docs.join(wanted, docs["doc_id"].eqNullSafe(wanted["first.doc_id"]) & (
-        text_key(docs["text"]) == wanted["first.text_key"]))
-    sets = materialize(texts.select("node", "text").mapInArrow(
-        make_sets, "node long, shingles binary").dropDuplicates(["node"]), "sets")
-    side = lambda x: sets.select(
-        F.col("node").alias(x), F.col("shingles").alias(f"set_{x}"))
-    return materialize(pairs.join(side("a"), "a").join(side("b"), "b").select(
-        "a", "b", "set_a", "set_b").mapInPandas(run, "a long, b long"), "links")
+    crowd = pairs.groupBy("b").agg(F.ceil(F.count("*") / CROWD).cast("int").alias("parts"))
+    members = pairs.join(crowd, "b").select(
+        F.col("a").alias("node"), F.col("b").alias("hub"), F.pmod(F.xxhash64("a"), "parts").cast("int").alias("part"))
+    hubs = crowd.select(F.col("b").alias("node"), F.col("b").alias("hub"),
+                        F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    seats = materialize(members.unionByName(hubs).join(nodes.select("node", "first"), "node").select(
+        "hub", "part", "node", "first.doc_id", "first.text_key"), "seats")
+    texts = _of_rows(docs.withColumn("text_key", text_key(F.col("text"))), seats)
+    same = texts["doc_id"].eqNullSafe(seats["doc_id"]) & (texts["text_key"] == seats["text_key"])
+    seated = texts.join(seats, same).select("hub", "part", "node", "text")
+    links = materialize(seated.repartition("hub", "part").sortWithinPartitions(
+        "hub", F.col("node") != F.col("hub")).mapInArrow(run, "a long, b long").distinct(), "links")
+    forget(pairs, seats)
+    return links
 
 
 def _hub_pairs(entries: DataFrame) -> DataFrame:
@@ -378,8 +426,10 @@ def row_classes(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
         F.sum("count").alias("n")).orderBy(F.desc("n"), "shingle").limit(MAX_FREQUENT).toPandas()
     often = frequent["shingle"].to_numpy(np.int64).view(np.uint64)
     order = np.argsort(often)
-    # From the least frequent, 1, to the most frequent.
-    frequent = spark.sparkContext.broadcast((often[order], (len(order) - order).astype(np.int64)))
+    # Places from the least frequent, 1, to the most frequent.
+    parts = -(-frequent["n"].to_numpy(np.int64) // PART)
+    frequent = spark.sparkContext.broadcast(
+        (often[order], (len(order) - order).astype(np.int64), parts[order]))
 
     rows = survey.where("shingle is null and size is not null").select(
         "doc_id", "text_key", "size", "node", "bits")
@@ -387,12 +437,15 @@ def row_classes(docs: DataFrame, shingle_words: int = 5) -> DataFrame:
     nodes = materialize(rows.where("node is not null").groupBy("node").agg(
         F.min(place).alias("first"), F.first("size").alias("size"),
         F.first("bits").alias("bits")), "nodes")
-    shared = _shared_keys(materialize(_entries(docs, shingle_words, frequent), "entries"))
-    entries = materialize(shared.join(_tiles(shared), "key"), "tiles")
+    entries = _tiles(_entries(docs, shingle_words, frequent), nodes)
 
-    links = _verified(_bits_differ(_hub_pairs(entries), nodes), nodes, docs, shingle_words)
+    hub_pairs = materialize(_bits_differ(_hub_pairs(entries), nodes), "hubs")
+    links = _verified(hub_pairs, nodes, docs, shingle_words)
+    forget(hub_pairs)
     for forest in (True, False):
-        rest = materialize(_rest_pairs(entries, components(links), nodes, forest), "rest")
+        classes = components(links)
+        rest = materialize(_rest_pairs(entries, classes, nodes, forest), "rest")
+        forget(classes)
         links = links.unionByName(_verified(rest.select("a", "b"), nodes, docs, shingle_words))
         # A tile without a pair so far has none later: classes only grow.
         entries = entries.join(rest.select("key").distinct(), "key", "left_semi")
