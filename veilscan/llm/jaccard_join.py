@@ -368,24 +368,34 @@ def _rest_pairs(entries: DataFrame, classes: DataFrame, nodes: DataFrame, forest
         F.greatest("own", "other").alias("j"), "own", "step", "size", "node", "label", "bits")
 
     def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        width = min(map(len, frame.bits)) // 8
-        bits = np.stack([fold(np.frombuffer(b, np.uint64), width) for b in frame.bits])
+        words = [np.frombuffer(b, np.uint64) for b in frame["bits"]]
+        widths = np.array([len(w) for w in words])
         size, label, node = (frame[c].to_numpy(np.int64) for c in ("size", "label", "node"))
         lower, own = frame["step"].to_numpy() == 1, frame["own"].to_numpy()
         i, j = frame["i"].iloc[0], frame["j"].iloc[0]
         found, bounds = [np.zeros((0, 2), np.int64)], [np.zeros(0, np.int64)]
-        for at in np.flatnonzero(~lower):
-            # A band against itself once, against the lower band always; across the two blocks.
-            other = (lower | (node > node[at])) & (label != label[at])
-            if i != j:
-                other &= own != own[at]
-            other &= DENOMINATOR * np.minimum(size, size[at]) >= NUMERATOR * np.maximum(size, size[at])
-            there = np.flatnonzero(other)
-            if len(there):
-                different = np.bitwise_count(bits[there] ^ bits[at]).sum(1, dtype=np.int64)
-                may = may_link(size[there], size[at], different)
-                found.append(np.stack([np.full(may.sum(), at), there[may]], 1))
-                bounds.append(different[may])
+        for width in np.unique(widths):
+            # Sets of similar sizes have signatures of one width or of two neighbouring ones, and are
+            # compared at the narrower of their own two.
+            near = np.flatnonzero((widths == width) | (widths == 2 * width))
+            bits = np.stack([fold(words[k], width) for k in near])
+            narrow = widths[near] == width
+            for row, at in enumerate(near):
+                if lower[at]:
+                    continue
+                # A band against itself once, against the lower band always; across the two blocks.
+                other = (lower[near] | (node[near] > node[at])) & (label[near] != label[at])
+                if not narrow[row]:
+                    other &= narrow
+                if i != j:
+                    other &= own[near] != own[at]
+                other &= DENOMINATOR * np.minimum(size[near], size[at]) >= NUMERATOR * np.maximum(size[near], size[at])
+                there = np.flatnonzero(other)
+                if len(there):
+                    different = np.bitwise_count(bits[there] ^ bits[row]).sum(1, dtype=np.int64)
+                    may = may_link(size[near[there]], size[at], different)
+                    found.append(np.stack([np.full(may.sum(), at), near[there[may]]], 1))
+                    bounds.append(different[may])
         pairs = np.concatenate(found)
         if forest:
             pairs = _forest(pairs, np.concatenate(bounds), label)

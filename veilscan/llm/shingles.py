@@ -46,4 +46,10 @@ class Shingler:
         total = np.full(count, size, np.uint64)
         for i in range(size):
             total = total * _MIX + hashes[i:i + count]
-        return np.unique(mixed(total))
+        total = mixed(total)
+        total.sort()
+        if count > 1:
+            fresh = np.ones(count, bool)
+            np.not_equal(total[1:], total[:-1], out=fresh[1:])
+            total = total[fresh]
+        return total
