@@ -609,6 +609,10 @@ UNION ALL SELECT DISTINCT path, 2, NULL, NULL, NULL, '  </testsuite>' FROM found
         "report_markdown": seeded(
             """SELECT '| `' || rule_id || '` | `' || path || '` | ' || line || ' |' AS fragment FROM (
   SELECT * FROM found ORDER BY path, line, depth, rule_ord, "column", masked_value LIMIT 10)"""),
+        "redacted_secrets": """
+SELECT 'src/' || kind || c_custkey || '.ts' AS path, 0::BIGINT AS findings_left, false AS key_left,
+       'before' || chr(13) || chr(10) || '  ' || CASE kind WHEN 'd' THEN 'key' ELSE 'blob' END AS head, true AS masked
+FROM customer CROSS JOIN (VALUES ('d'), ('e')) AS kinds(kind)""",
         "redacted_documents": f"""WITH RECURSIVE docs AS (
   SELECT 'documents/' || doc_id || '.txt' AS path, text,
          list_distinct(regexp_extract_all(text, '{doc_token}', 1)) AS secrets FROM documents

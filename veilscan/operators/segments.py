@@ -23,7 +23,7 @@ def check_decode_depth(depth: int) -> int:
     return depth
 
 
-def _tokens(text: Column) -> Column:
+def encoded_tokens(text: Column) -> Column:
     """Encoded tokens of a text, finder by finder: ``array<struct<hit, pos>>``."""
     none = F.array().cast("array<struct<hit:string,pos:int>>")
     return F.concat(*[
@@ -45,7 +45,7 @@ def _expand(frontier: Column) -> Column:
     """Decode every token of every text of a frontier, in order."""
     def of_text(c):
         return F.flatten(F.transform(
-            _tokens(c["text"]), lambda t: _decoded(t["hit"], c["offset"] + t["pos"])))
+            encoded_tokens(c["text"]), lambda t: _decoded(t["hit"], c["offset"] + t["pos"])))
 
     return F.flatten(F.transform(frontier, of_text))
 

@@ -20,7 +20,7 @@ from veilscan.operators import score as S
 from veilscan.operators.blocks import scan_blocks
 from veilscan.operators.lines import cut_long_lines, to_lines
 from veilscan.operators.match import keyword_candidates
-from veilscan.operators.redact import redact
+from veilscan.operators.redact import redact, redact_texts
 from veilscan.operators.segments import decode_texts
 from veilscan.operators.structured import env_entries, json_leaves
 from veilscan.plans.scan import scan_history, scan_lines, scan_texts
@@ -94,11 +94,11 @@ def documents(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # -- rows derived from order keys ------------------------------------------------------------
 
-def _keys(spark, sf_dir) -> DataFrame:
+def _keys(spark, sf_dir, name: str = "orders", key: str = "o_orderkey") -> DataFrame:
     """``k``, its MD5 ``h`` and an access key id ``ak``."""
-    k = F.col("o_orderkey")
+    k = F.col(key)
     h = F.md5(k.cast("string").cast("binary"))
-    return spread(table(spark, sf_dir, "orders").select("o_orderkey")).select(
+    return spread(table(spark, sf_dir, name).select(key)).select(
         k.alias("k"), h.alias("h"),
         F.concat(F.lit("AK"), F.lit("IA"), F.upper(F.substring(h, 1, 16))).alias("ak"))
 
@@ -110,9 +110,9 @@ def _pick(selector: Column, choices: list[Column]) -> Column:
     return out
 
 
-def disguised_lines(spark, sf_dir) -> DataFrame:
+def disguised_lines(spark, sf_dir, *source: str) -> DataFrame:
     """Access key ids in fourteen disguises; normalisation must give ``key = <ak>`` for all."""
-    df = _keys(spark, sf_dir)
+    df = _keys(spark, sf_dir, *source)
     ak = F.col("ak")
     head, tail = F.substring(ak, 1, 10), F.substring(ak, 11, 10)
     chars = F.split(ak, "")
@@ -149,7 +149,7 @@ def disguised_lines(spark, sf_dir) -> DataFrame:
                      _pick(F.col("k") % 14, shapes).alias("text"))
 
 
-def encoded_lines(spark, sf_dir) -> DataFrame:
+def encoded_lines(spark, sf_dir, *source: str) -> DataFrame:
     """Access key ids encoded in nine ways, two of them twice."""
     ak = F.col("ak")
     once = F.base64(ak.cast("binary"))
@@ -166,7 +166,7 @@ def encoded_lines(spark, sf_dir) -> DataFrame:
         F.concat(F.lit("blob "), _base32(ak)),
         F.concat(F.lit("blob <~"), _ascii85(ak), F.lit("~>")),
     ]
-    return _keys(spark, sf_dir).select(
+    return _keys(spark, sf_dir, *source).select(
         "k", "ak", _pick(F.col("k") % 9, shapes).alias("text"))
 
 
@@ -757,6 +757,40 @@ def redacted_documents(spark, sf_dir):
         "path", F.length("content").alias("n_chars"), _digest("content").alias("content_md5"))
 
 
+def hidden_files(spark, sf_dir) -> DataFrame:
+    """Two files of three lines for each customer's key, disguised and encoded, in the second line.
+
+    ``sure`` is false for ASCII85, whose alphabet holds what normalisation rewrites.
+    """
+    source = ("customer", "c_custkey")
+    lines = disguised_lines(spark, sf_dir, *source).select(
+        F.concat(F.lit("src/d"), "k", F.lit(".ts")).alias("path"), "ak", "text", F.lit(True).alias("sure")).unionByName(
+        encoded_lines(spark, sf_dir, *source).select(
+            F.concat(F.lit("src/e"), "k", F.lit(".ts")).alias("path"), "ak", "text", (F.col("k") % 9 != 8).alias("sure")))
+    return lines.select("path", "ak", "sure", F.concat(F.lit("before\r\n  "), "text", F.lit(" \nafter")).alias("content"))
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """A table written to the shared folder and read back."""
+    path = f"{_work_folder(df.sparkSession)}/table"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def redacted_secrets(spark, sf_dir):
+    """Disguised and encoded keys, found by all rules, masked at their source and scanned again."""
+    files = hidden_files(spark, sf_dir)
+    # Findings and the redacted corpus are each used more than once, and made once.
+    found = _written(scan_texts(files.select("path", "content"), keep_secret=True))
+    clean = _written(redact_texts(files, found))
+    again = scan_texts(clean.select("path", "content")).groupBy("path").agg(F.count("*").alias("left"))
+    return clean.join(again, "path", "left").select(
+        "path", F.coalesce("left", F.lit(0)).cast("long").alias("findings_left"),
+        F.contains("content", "ak").alias("key_left"),
+        F.regexp_extract("content", r"(?s)^(before\r\n  [a-z]+).*( \nafter)\z", 1).alias("head"),
+        (F.col("content").contains("***") | ~F.col("sure")).alias("masked"))
+
+
 # -- streaming ----------------------------------------------------------------------------------
 
 def _work_folder(spark) -> str:
@@ -814,6 +848,6 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         report_sarif_history, report_quality, report_junit, report_annotations, report_markdown,
         redacted_documents, stream_findings, stream_active_findings, long_text_findings,
         text_block_findings, engines_agree, history_marker_lines, stream_history_findings,
-        written_baseline,
+        written_baseline, redacted_secrets,
     ]
     return {fn.__name__: fn for fn in chosen}
