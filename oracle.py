@@ -479,6 +479,10 @@ FROM found GROUP BY path"""),
         "top_findings": seeded(
             f"""SELECT {KEY_LIST} FROM found
 ORDER BY path, line, depth, rule_ord, "column", masked_value LIMIT 10"""),
+        "stream_first_findings": seeded(f"SELECT DISTINCT {FINGERPRINT} AS fingerprint, rule_id, path FROM found"),
+        "stream_totals": seeded(
+            """SELECT severity, (2 * count(*))::BIGINT AS findings, count(DISTINCT path) AS files
+FROM found GROUP BY severity"""),
         "distinct_findings": seeded(
             """SELECT path, line, rule_id, secret_hash, m.d AS depth, m.c AS "column" FROM (
   SELECT path, line, rule_id, secret_hash, min({'d': depth, 'c': "column"}) AS m

@@ -829,6 +829,34 @@ def stream_active_findings(spark, sf_dir):
     return _run_stream(spark, found.select(*KEY_COLUMNS))
 
 
+def _repeated_stream(spark, sf_dir) -> DataFrame:
+    """The seeded corpus as a stream of two batches, the second with the same files again."""
+    folder = f"{_work_folder(spark)}/lines"
+    lines = C.seeded_lines(table(spark, sf_dir, "orders").select("o_orderkey"))
+    for part in range(2):
+        lines.coalesce(1).write.parquet(f"{folder}/part={part}")
+    return spark.readStream.schema(lines.schema).option("maxFilesPerTrigger", 1).option(
+        "recursiveFileLookup", True).parquet(folder)
+
+
+def stream_first_findings(spark, sf_dir):
+    """Each finding of the repeated stream once, known by its fingerprint."""
+    folder = _work_folder(spark)
+    streams.report_once(
+        streams.stream_lines(_repeated_stream(spark, sf_dir)).select(*KEY_COLUMNS), f"{folder}/out",
+        f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/out").select("fingerprint", "rule_id", "path")
+
+
+def stream_totals(spark, sf_dir):
+    """Findings and distinct files by severity, over both batches of the repeated stream."""
+    folder = _work_folder(spark)
+    streams.write_totals(
+        streams.stream_lines(_repeated_stream(spark, sf_dir)), f"{folder}/totals",
+        f"{folder}/checkpoint").awaitTermination()
+    return streams.read_totals(spark, f"{folder}/totals").withColumnRenamed("path", "files")
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_seeded(spark, sf_dir)
 
@@ -848,6 +876,6 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         report_sarif_history, report_quality, report_junit, report_annotations, report_markdown,
         redacted_documents, stream_findings, stream_active_findings, long_text_findings,
         text_block_findings, engines_agree, history_marker_lines, stream_history_findings,
-        written_baseline, redacted_secrets,
+        written_baseline, redacted_secrets, stream_first_findings, stream_totals,
     ]
     return {fn.__name__: fn for fn in chosen}

@@ -1,11 +1,14 @@
 """Scanning streams of text.
 
 All scan operators are stateless, so a stream goes through the same plan as a table.  State is used
-in two places only: dropping findings already seen, and running totals.
+in two places only: dropping findings already seen (``report_once``, ``drop_repeats``), and running
+totals, which live in the query's state (``running_totals``) or as mergeable rows (``write_totals``).
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterable
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
@@ -69,12 +72,87 @@ def running_totals(findings: DataFrame) -> DataFrame:
         F.approx_count_distinct("path").alias("files"))
 
 
+#: State in RocksDB on the executors, of which a batch writes only what it changed.
+STATE_STORE = {
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.changelogCheckpointing.enabled": "true",
+}
+
+
+def report_once(
+    findings: DataFrame, path: str, checkpoint: str, known: DataFrame | None = None, **trigger
+) -> StreamingQuery:
+    """Append each finding to the Parquet table at ``path`` when it is met for the first time.
+
+    What was met is keyed state by fingerprint, for the whole life of the stream: a batch looks up its
+    own fingerprints and writes its own changes, so that it costs what it holds, however much came
+    before.  State and output advance together with the batch's number; a batch that is run again
+    gives the same rows.  ``known`` (``fingerprint``) are findings reported before the stream began.
+    """
+    spark = findings.sparkSession
+    fresh = with_fingerprint(findings)
+    if known is not None:
+        fresh = fresh.join(known.select("fingerprint").distinct(), "fingerprint", "left_anti")
+    before = {name: spark.conf.get(name, None) for name in STATE_STORE}
+    for name, value in STATE_STORE.items():
+        spark.conf.set(name, value)
+    try:  # a query keeps the settings that it was started with
+        return (
+            fresh.dropDuplicates(["fingerprint"]).writeStream.format("parquet").option("path", path)
+            .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})).start()
+        )
+    finally:
+        for name, value in before.items():
+            if value is None:
+                spark.conf.unset(name)
+            else:
+                spark.conf.set(name, value)
+
+
+#: 2 ** 16 registers: distinct counts within about 0.4 %, and exact to some thousands.
+SKETCH_BITS = 16
+
+
+def write_totals(
+    findings: DataFrame, folder: str, checkpoint: str, distinct: Iterable[str] = ("path",), **trigger
+) -> StreamingQuery:
+    """Totals of a stream's findings by severity, as one mergeable row for each batch.
+
+    Counts add up and distinct values of the columns ``distinct`` are HyperLogLog sketches, so neither
+    values nor state are kept.  A batch's rows lie under its number and replace those of an earlier
+    attempt: what is run again is not counted twice.
+    """
+    sketches = [F.hll_sketch_agg(F.col(c).cast("string"), F.lit(SKETCH_BITS)).alias(c) for c in distinct]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        batch.groupBy("severity").agg(F.count(F.lit(1)).alias("findings"), *sketches).write.mode(
+            "overwrite").parquet(f"{folder}/batch={batch_id}")
+
+    return (
+        findings.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start()
+    )
+
+
+def read_totals(spark: SparkSession, folder: str, by: Iterable[str] = ("severity",)) -> DataFrame:
+    """The totals that ``write_totals`` has written so far, merged; ``by`` may be empty.
+
+    Null values are not counted; a stream without batches gives an error, as there is no table yet.
+    """
+    parts = spark.read.parquet(folder)
+    distinct = [c for c in parts.columns if c not in ("severity", "findings", "batch")]
+    return parts.groupBy(*by).agg(
+        F.sum("findings").alias("findings"),
+        *[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in distinct])
+
+
 def append_new_findings(
     findings: DataFrame, table: str, checkpoint: str, **trigger
 ) -> StreamingQuery:
-    """Append findings whose fingerprint is not in ``table`` yet.
+    """Append findings whose fingerprint is not in ``table`` yet; for tables that others write as well.
 
-    Exact over the whole life of the stream without keeping state: each batch is anti-joined with
+    Each batch reads all fingerprints of the table: ``report_once`` does not.  Exact over the whole life of the stream without keeping state: each batch is anti-joined with
     the table.  A batch that is run again after a failure finds its own rows and appends nothing
     twice.
     """
