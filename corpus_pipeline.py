@@ -7,54 +7,9 @@ documents.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-from veilscan.llm import nbsvm
 from veilscan.llm.common import materialize, table
-from veilscan.llm.jaccard_join import row_classes, text_key
-from veilscan.llm.packing import pack
-from veilscan.llm.pseudonyms import pseudonymize
-from veilscan.llm.queries import PSEUDONYM_KEY, pieces_of
-
-
-def keep_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier accepts; it learns from the labels outside fold 0."""
-    model = nbsvm.fit(docs, table(spark, sf_dir, "labels"))
-    columns = [F.col(f"doc.{c}").alias(c) for c in docs.columns]
-    # The score's columns must not meet a document's own.
-    scored = nbsvm.score(docs.select(F.struct("*").alias("doc"), "text"), model)
-    return scored.where("predicted = 1").select(*columns)
-
-
-def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest number of each class of near copies.
-
-    Only the keys of rows that go are joined with the documents.  Rows that share a number, and rows
-    without one, are told apart by their text: one of equal ones stays.
-    """
-    classes = materialize(row_classes(docs), "classes")
-    keys = ["doc_id", "text_key"]
-    leaves = classes.where(~F.col("first")).select(*keys).distinct()
-    again = materialize(classes.where("first").groupBy(*keys).count().where("count > 1").select(*keys), "again")
-    same = lambda rows, keys: rows["doc_id"].eqNullSafe(keys["doc_id"]) & (
-        text_key(rows["text"]) == keys["text_key"])
-    kept = docs.join(leaves, same(docs, leaves), "left_anti")
-    return kept.join(again, same(kept, again), "left_anti").unionByName(
-        kept.join(again, same(kept, again), "left_semi").dropDuplicates(["doc_id", "text"]))
-
-
-def hide_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Personal values replaced by pseudonyms; ``n_chars`` follows the text."""
-    changed = pseudonymize(docs, PSEUDONYM_KEY, found="_pii").drop("_pii")
-    if "n_chars" in docs.columns:
-        changed = changed.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return changed.select(*docs.columns)
-
-
-def pack_sequences(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents with their places in sequences of 4,096 tokens."""
-    return pack(pieces_of(docs))
-
+from veilscan.llm.stages import drop_near_duplicates, hide_personal_data, keep_quality, pack_sequences
 
 STAGES = [
     ("quality classifier", keep_quality),
@@ -68,6 +23,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The pieces of all documents that the stages keep; an empty table gives no rows."""
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = materialize(stage(spark, docs, sf_dir), name.replace(" ", "-"))
