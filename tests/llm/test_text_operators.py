@@ -3,9 +3,12 @@
 import hashlib
 import random
 import re
+import time
+import zlib
 
 import numpy as np
 import public_tokenizers
+import pyarrow.parquet as pq
 import pytest
 
 from veilscan.llm import byte_bpe, fingerprints, nbsvm, page_text, pseudonyms
@@ -164,10 +167,70 @@ def field():
 
 
 def test_pages_held_out(field):
-    extractor = page_text.Extractor(field)
     pages = page_text.labelled_pages(150, seed=77)
-    right = sum(field.viterbi([extractor._score(b) for b in blocks]) == labels for blocks, labels in pages)
+    right = sum(field.viterbi(field.scores(blocks)) == labels for blocks, labels in pages)
     assert right >= 0.95 * len(pages)
+    blocks = pages[0][0]
+    plain = [sum(field.weights.get(f, 0.0) for f in field.features(b)) for b in blocks]
+    assert np.allclose(field.scores(blocks), plain)
+
+
+@pytest.mark.parametrize("third", range(3))
+def test_layout_families_held_out(third):
+    def held_out(layout):
+        return zlib.crc32(layout.encode()) % 3 == third
+
+    field = page_text.train(use=lambda layout: not held_out(layout))
+    pages = page_text.labelled_pages(150, seed=78, use=held_out)
+    right = [a == b for blocks, labels in pages for a, b in zip(field.viterbi(field.scores(blocks)), labels)]
+    assert sum(right) >= 0.85 * len(right)
+
+
+@pytest.mark.parametrize("page, expected", [
+    ("<p data-x=it's>It is, one.</p><p>It's two.</p>", ["It is, one.", "It's two."]),
+    ('<p title="abc>one</p><p class="x">two</p>', ["two"]),
+    ('<p>one</p><p title="abc>two</p>', ["one"]),
+    ("<p a=\"x>y\" b='>' c = d>one</p>", ["one"]),
+    ("<a href=/x/>one</a> two<title-bar>three</title-bar>", ["one two", "three"]),
+    ("<svg/><p>one<!-->two<!-- x --!>three</p>", ["onetwothree"]),
+    ("<script type='a>b'>x</script foo>one", ["one"]),
+    ("<p =a=b / c>one<br/>two", ["one two"]),
+    ("a < b <3 c", ["a < b <3 c"]),
+])
+def test_broken_attributes(page, expected):
+    assert [b.text for b in page_text.leaf_blocks(page)] == expected
+
+
+def test_deep_pages_take_linear_time(field):
+    for page in ("<b>" * 20_000 + "x" + "</i>" * 20_000, "<p a='" * 20_000, "<!--" * 20_000,
+                 "".join(f"<div class=c{i}>text {i}" for i in range(20_000))):
+        start = time.process_time()
+        page_text.main_text(page, field)
+        assert time.process_time() - start < 5
+
+
+def test_all_text_against_a_plain_parser():
+    from html.parser import HTMLParser
+
+    class Plain(HTMLParser):
+        silent, text = 0, ""
+
+        def handle_starttag(self, tag, attrs):
+            self.silent += tag in page_text.SILENT
+
+        def handle_endtag(self, tag):
+            self.silent -= tag in page_text.SILENT
+
+        def handle_data(self, data):
+            self.text += "" if self.silent else data
+
+    pages = pq.read_table("/root/testdata/sf0.001/pages.parquet", columns=["html"])["html"].to_pylist()
+    for page in pages:
+        plain = Plain()
+        plain.feed(page or "")
+        plain.close()
+        found = "".join(b.text for b in page_text.leaf_blocks(page or ""))
+        assert "".join(found.split()) == "".join(plain.text.split())
 
 
 def test_viterbi_and_marginals_against_all_labelings(field):
@@ -199,12 +262,13 @@ def test_extraction(spark, field):
         '<section class="comments"><p>I do not agree with this at all.</p></section><footer>&copy; x</footer>',
         None, "", "<p", "plain words without any markup, but enough of them to be read as text.",
         f"<article><p>{long}</p></article>", "<nav><a>x</a></nav>", "</div></p><b>"]
+    pages += pages[:1]
     df = spark.createDataFrame([(i, p, "old") for i, p in enumerate(pages)], "page_id long, html string, text string")
     rows = {r.page_id: r for r in page_text.with_length(page_text.extract(df, field)).collect()}
     assert rows[0].text == ("A & B\nOne two, three and four. five\nSix <seven> and more words.")
     assert rows[0].n_chars == len(rows[0].text)
     assert rows[1].text == rows[2].text == rows[6].text == rows[7].text == "" and rows[1].n_chars == 0
-    assert rows[5].text == long.strip()
+    assert rows[5].text == long.strip() and rows[8].text == rows[0].text
     assert page_text.extract(df.limit(0), field).count() == 0
 
 

@@ -12,7 +12,7 @@ from __future__ import annotations
 import html
 import random
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -36,37 +36,101 @@ CLOSES_ITSELF = {"p": {"p"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"
 #: How far up an element closes another one of its kind.
 BARRIERS = frozenset("ul ol dl table div section article aside nav main header footer form body".split())
 
+#: Elements of another vocabulary, which a slash at the end of their tag closes.
+FOREIGN = ("svg", "math")
+
+# Attributes by the states of the HTML tokenizer: unquoted values may hold quotes, and a quote that
+# nothing closes goes on to the end of the page.
+_BLANK = r"[\t\n\f\r ]"
+_VALUE = r"(?:\"[^\"]*+(?:\"|\Z)|'[^']*+(?:'|\Z)|[^\t\n\f\r >\"'][^\t\n\f\r >]*+)"
+_NAME = r"(?:=[^\t\n\f\r />=]*+|[^\t\n\f\r />=]++)"
+_ATTRIBUTES = rf"(?:{_BLANK}++|/(?!>)|{_NAME}(?:{_BLANK}*+={_BLANK}*+{_VALUE}?+)?+)*+"
+_ATTRIBUTE = re.compile(rf"({_NAME})(?:{_BLANK}*+={_BLANK}*+({_VALUE}))?+")
 _TOKEN = re.compile(
-    r"<!--.*?(?:-->|\Z)|<(" + "|".join(SILENT) + r")\b(?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+>.*?(?:</\1\s*>|\Z)"
-    r"|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>\"']++|\"[^\"]*+\"|'[^']*+')*+)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)|([^<]++|<)",
+    r"<!--(?:-?>|.*?(?:--!?>|\Z))"
+    rf"|<(?:{'|'.join(FOREIGN)})(?=[\t\n\f\r />]){_ATTRIBUTES}/>"
+    rf"|<({'|'.join(SILENT)})(?=[\t\n\f\r />]){_ATTRIBUTES}/?(?:>|\Z)"
+    r".*?(?:</\1(?=[\t\n\f\r />])[^>]*+(?:>|\Z)|\Z)"
+    rf"|<(/?)([a-zA-Z][^\t\n\f\r />]*+)({_ATTRIBUTES})(/?)(?:>|\Z)|<[!?][^>]*+(?:>|\Z)|([^<]++|<)",
     re.S | re.I)
-_NAMES = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
 _WORDS = re.compile(r"[a-z]+")
 
 
+class Node:
+    """An open element; its ancestors are a linked list, which blocks share."""
+
+    __slots__ = ("tag", "parent", "fresh", "leaf")
+
+    def __init__(self, tag: str, parent: Node | None, fresh: tuple[str, ...]):
+        self.tag, self.parent = tag, parent
+        #: Features of this element that none of its ancestors has.
+        self.fresh = fresh
+        self.leaf = tag if tag not in INLINE else parent.leaf if parent else "body"
+
+
 @dataclass
 class Block:
     text: str
-    ancestors: tuple[tuple[str, str], ...]
+    node: Node | None
     links: float
 
 
-def _split_names(attributes: str) -> str:
+def _split_names(attributes: str) -> list[str]:
     """Class, id and role words of an element, ascending; camel case and joined words are split."""
-    found = " ".join("".join(g) for g in _NAMES.findall(attributes)) if attributes else ""
+    found = " ".join(
+        value.strip("\"'") for name, value in _ATTRIBUTE.findall(attributes)
+        if name.lower() in ("class", "id", "role")) if attributes else ""
     if not found:
-        return ""
-    found = re.sub(r"([a-z])([A-Z])", r"\1 \2", found).lower()
-    return " ".join(sorted(set(_WORDS.findall(found))))
+        return []
+    found = re.sub(r"([a-z])([A-Z])", r"\1 \2", html.unescape(found)).lower()
+    return sorted(set(_WORDS.findall(found)))
+
+
+class _Open:
+    """The open elements.  Each step takes time by what it opens or closes, not by the depth."""
+
+    def __init__(self):
+        self.stack: list[tuple[Node, list[str]]] = []
+        self.places: dict[str, list[int]] = {}
+        self.counts: dict[str, int] = {}
+
+    @property
+    def node(self) -> Node | None:
+        return self.stack[-1][0] if self.stack else None
+
+    def last(self, tags: Iterable[str]) -> int:
+        """How deep the innermost open one of these elements is, or -1."""
+        return max((self.places[t][-1] for t in tags if self.places.get(t)), default=-1)
+
+    def push(self, tag: str, names: list[str]) -> None:
+        features = [f"named {word}" for word in names]
+        if tag not in ("html", "body"):
+            features.append(f"in {tag}")
+        fresh = tuple(f for f in features if not self.counts.get(f))
+        for f in features:
+            self.counts[f] = self.counts.get(f, 0) + 1
+        self.places.setdefault(tag, []).append(len(self.stack))
+        self.stack.append((Node(tag, self.node, fresh), features))
+
+    def close(self, depth: int) -> None:
+        """Closes the element at this depth and all in it."""
+        while len(self.stack) > depth:
+            node, features = self.stack.pop()
+            self.places[node.tag].pop()
+            for f in features:
+                self.counts[f] -= 1
 
 
 def leaf_blocks(page: str) -> list[Block]:
-    """Blocks of a whole page in page order, white space joined, character references decoded."""
-    stack: list[tuple[str, str]] = []
+    """Blocks of a whole page in page order, white space joined, character references decoded.
+
+    A slash at the end of a tag closes the element, as pages written as XHTML mean it.
+    """
+    elements = _Open()
     blocks: list[Block] = []
     parts: list[str] = []
     linked = 0
-    opened: tuple[tuple[str, str], ...] = ()
+    opened: Node | None = None
 
     def end() -> None:
         nonlocal linked
@@ -78,14 +142,14 @@ def leaf_blocks(page: str) -> list[Block]:
         linked = 0
 
     for token in _TOKEN.finditer(page):
-        silent, closing, tag, attributes, text = token.groups()
+        silent, closing, tag, attributes, slash, text = token.groups()
         if text is not None:
             text = html.unescape(text)
             if not parts and not text.isspace():
-                opened = tuple(stack)
+                opened = elements.node
             if parts or not text.isspace():
                 parts.append(text)
-                if any(name == "a" for name, _ in stack):
+                if elements.places.get("a"):
                     linked += len(text.strip())
             continue
         if tag is None:
@@ -98,31 +162,27 @@ def leaf_blocks(page: str) -> list[Block]:
         elif tag == "br" and parts:
             parts.append(" ")
         if closing:
-            for at in range(len(stack) - 1, -1, -1):
-                if stack[at][0] == tag:
-                    del stack[at:]
-                    break
-        elif tag not in VOID and not attributes.endswith("/"):
+            at = elements.last([tag])
+            if at >= 0:
+                elements.close(at)
+        elif tag not in VOID and not slash:
             ends = CLOSES_ITSELF.get(tag)
             # Any block ends an open paragraph.
             ends = ends if ends or tag in INLINE else {"p"}
-            if ends:
-                for at in range(len(stack) - 1, -1, -1):
-                    if stack[at][0] in ends:
-                        del stack[at:]
-                        break
-                    if stack[at][0] in BARRIERS:
-                        break
-            stack.append((tag, _split_names(attributes)))
+            at = elements.last(ends or ())
+            if at > elements.last(BARRIERS):
+                elements.close(at)
+            elements.push(tag, _split_names(attributes))
     end()
     return blocks
 
 
-def _ancestor_features(ancestors: tuple[tuple[str, str], ...]) -> list[str]:
-    found = {f"in {tag}" for tag, _ in ancestors if tag not in ("html", "body")}
-    found |= {f"named {word}" for _, names in ancestors for word in names.split()}
-    block = next((tag for tag, _ in reversed(ancestors) if tag not in INLINE), "body")
-    return [*sorted(found), f"leaf {block}", "any"]
+def _ancestor_features(node: Node | None) -> list[str]:
+    found = [f"leaf {node.leaf if node else 'body'}", "any"]
+    while node:
+        found += node.fresh
+        node = node.parent
+    return found
 
 
 def _text_features(block: Block) -> list[str]:
@@ -146,7 +206,24 @@ class Field:
     first: np.ndarray = field(default_factory=lambda: np.zeros(2))
 
     def features(self, block: Block) -> list[str]:
-        return _ancestor_features(block.ancestors) + _text_features(block)
+        return _ancestor_features(block.node) + _text_features(block)
+
+    def scores(self, blocks: list[Block]) -> list[float]:
+        """Scores of label 1; what ancestors weigh is added up once for each element."""
+        known: dict[Node | None, float] = {None: 0.0}
+        found = []
+        for block in blocks:
+            chain, node = [], block.node
+            while node not in known:
+                chain.append(node)
+                node = node.parent
+            total = known[node]
+            for node in reversed(chain):
+                total = known[node] = total + sum(self.weights.get(f, 0.0) for f in node.fresh)
+            leaf = block.node.leaf if block.node else "body"
+            found.append(total + sum(
+                self.weights.get(f, 0.0) for f in (f"leaf {leaf}", "any", *_text_features(block))))
+        return found
 
     def viterbi(self, scores: list[float]) -> list[int]:
         """The best labels for the blocks' scores of label 1 (label 0: zero)."""
@@ -258,12 +335,16 @@ ANYWHERE = [
     '<div class="widget"><p>{short}</p></div>', "<form><p>{short}</p><p>{long}</p><input type=submit></form>",
     '<div class="popup">{long}</div>', '<div class="modal"><p>{long}</p></div>', '<div class="banner">{short}</div>',
     '<div class="notice"><p>{long}</p></div>', '<p class="notice">{long}</p>', '<p class="ad">{short}</p>',
+    '<div class="hatnote">{short}</div>', '<div class="disclaimer"><p>{long}</p></div>', '<p class="disclaimer">{short}</p>',
+    '<div class="notification">{long}</div>', '<div class="hinweis"><p>{short}</p></div>', '<div class="anzeige">{long}</div>',
 ]
 AFTER = [
     '<section class="comments"><h2>{words}</h2><div class="comment"><p>{long}</p></div><div class="comment"><p>{short}</p></div></section>',
     '<div id="comments"><p>{long}</p><p>{long}</p></div>', '<ol class="comment-list"><li><p>{long}</p></li><li><p>{short}</p></li></ol>',
     '<section id="comments"><article class="comment"><p>{long}</p></article><article class="comment"><p>{long}</p></article></section>',
     '<div class="reader-comments"><ul><li>{long}</li><li>{short}</li></ul></div>', '<div class="discussion"><div class="reply">{long}</div></div>',
+    '<div id="disqus_thread"><p>{long}</p><p>{short}</p></div>', '<section class="kommentare"><p>{long}</p><p>{short}</p></section>',
+    '<div class="commentaires"><p>{long}</p></div>', '<div id="comentarios"><p>{long}</p><p>{short}</p></div>',
     '<div class="responses"><blockquote>{long}</blockquote></div>', '<ul class="reviews"><li>{long}</li></ul>',
     '<footer>&copy; {words} &middot; {short}</footer>', "<footer><p>{long}</p><ul><li><a href=/x>{words}</a></li></ul></footer>",
     '<div class="footer">&copy; {short}</div>', '<div id="footer"><p>{short}</p></div>', '<div role="contentinfo">{words}</div>',
@@ -271,13 +352,21 @@ AFTER = [
 ]
 
 
+#: Share of the layouts around an article whose names are replaced by invented words in training.
+UNNAMED = 0.3
+
 #: Private characters that tell text of the two kinds apart while a page is made.
 OUTSIDE, INSIDE = "\ue000", "\ue001"
 
 
-def labelled_pages(number: int = 600, seed: int = 5) -> list[tuple[list[Block], list[int]]]:
-    """Pages of the layouts above with invented words, and their blocks' labels."""
+def labelled_pages(number: int = 600, seed: int = 5, use: Callable[[str], bool] = lambda layout: True,
+                   unnamed: float = 0.0) -> list[tuple[list[Block], list[int]]]:
+    """Pages of the layouts above with invented words, and their blocks' labels.
+
+    ``use`` chooses layouts around the article, so that whole families can be held out.
+    """
     chance = random.Random(seed)
+    before, anywhere, after = ([x for x in kind if use(x)] for kind in (BEFORE, ANYWHERE, AFTER))
 
     def words(least: int, most: int) -> str:
         return " ".join("".join(chance.choice("aeiourstnlmdé") for _ in range(chance.randint(2, 9)))
@@ -294,19 +383,25 @@ def labelled_pages(number: int = 600, seed: int = 5) -> list[tuple[list[Block],
 
         return re.sub(r"\{\w+\}", made, layout)
 
+    def around(layout: str) -> str:
+        """Some have names that no other page has: then the text and its place have to tell."""
+        if chance.random() < unnamed:
+            layout = re.sub(r'(?<=class=")[^"]*|(?<=id=")[^"]*', lambda m: words(1, 1), layout)
+        return fill(layout, OUTSIDE)
+
     def some(layouts: list[str], most: int) -> str:
-        return "".join(fill(chance.choice(layouts), OUTSIDE) for _ in range(chance.randint(0, most)))
+        return "".join(around(chance.choice(layouts)) for _ in range(chance.randint(0, most)))
 
     pages = []
     for _ in range(number):
         inside = [fill(chance.choice(["<h1>{title}</h1>", "<h1>{short}</h1>", "<header><h1>{title}</h1></header>", ""]), INSIDE)]
         for _ in range(chance.choice([0, 1, 2, 3, 5, 8, 12])):
             if chance.random() < 0.08:
-                inside.append(fill(chance.choice(ANYWHERE), OUTSIDE))
+                inside.append(around(chance.choice(anywhere)))
             inside.append(fill(chance.choice(ARTICLE_PARTS), INSIDE))
         frame = chance.choice([*ARTICLE_FRAMES, *ARTICLE_FRAMES[:1] * 4])
-        page = (some(BEFORE, 3) + some(ANYWHERE, 2) + frame.replace("{}", "".join(inside))
-                + some(ANYWHERE, 2) + some(AFTER, 3))
+        page = (some(before, 3) + some(anywhere, 2) + frame.replace("{}", "".join(inside))
+                + some(anywhere, 2) + some(after, 3))
         if chance.random() < 0.9:
             page = f"<html><body>{page}</body></html>"
         blocks, labels = leaf_blocks(page), []
@@ -317,31 +412,14 @@ def labelled_pages(number: int = 600, seed: int = 5) -> list[tuple[list[Block],
     return pages
 
 
-def train(number: int = 600) -> Field:
-    return Field().fit(labelled_pages(number))
-
-
-class Extractor:
-    """Texts of pages; the scores of equal ancestors are kept in a bounded table."""
-
-    def __init__(self, field_: Field, most: int = 50_000):
-        self.field, self.most = field_, most
-        self.kept: dict[tuple, float] = {}
+def train(number: int = 600, use: Callable[[str], bool] = lambda layout: True) -> Field:
+    return Field().fit(labelled_pages(number, use=use, unnamed=UNNAMED))
 
-    def _score(self, block: Block) -> float:
-        weights = self.field.weights
-        known = self.kept.get(block.ancestors)
-        if known is None:
-            if len(self.kept) >= self.most:
-                self.kept.clear()
-            known = self.kept[block.ancestors] = sum(
-                weights.get(f, 0.0) for f in _ancestor_features(block.ancestors))
-        return known + sum(weights.get(f, 0.0) for f in _text_features(block))
 
-    def __call__(self, page: str) -> str:
-        blocks = leaf_blocks(page)
-        labels = self.field.viterbi([self._score(b) for b in blocks])
-        return "\n".join(b.text for b, label in zip(blocks, labels) if label)
+def main_text(page: str, field_: Field) -> str:
+    blocks = leaf_blocks(page)
+    labels = field_.viterbi(field_.scores(blocks))
+    return "\n".join(b.text for b, label in zip(blocks, labels) if label)
 
 
 def extract(pages: DataFrame, field_: Field, source: str = "html", text: str = "text") -> DataFrame:
@@ -356,9 +434,8 @@ def extract(pages: DataFrame, field_: Field, source: str = "html", text: str = "
     at = kept.index(source)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        extractor = Extractor(shared.value)
         for batch in slices(batches):
-            texts = pa.array([extractor(x.as_py() or "") for x in batch.column(at)], pa.string())
+            texts = pa.array([main_text(x.as_py() or "", shared.value) for x in batch.column(at)], pa.string())
             yield pa.RecordBatch.from_arrays([*batch.columns, texts], [*kept, text])
 
     fields = ", ".join(f"`{n}` {t}" for n, t in pages.select(*kept).dtypes)
