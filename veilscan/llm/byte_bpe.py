@@ -305,13 +305,13 @@ def decode_stream(chunks: Iterable[np.ndarray], tokens: TokenBytes) -> Iterator[
 
 
 @lru_cache(maxsize=2)
-def _encoder(path: str, pattern: str) -> TextEncoder:
+def text_encoder(path: str, pattern: str) -> TextEncoder:
     """One per worker process, whatever the number of tasks."""
     return TextEncoder(load_ranks(path), pattern)
 
 
 @lru_cache(maxsize=2)
-def _token_bytes(path: str) -> TokenBytes:
+def token_bytes(path: str) -> TokenBytes:
     return TokenBytes(load_ranks(path))
 
 
@@ -338,7 +338,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
     replaced; all others pass.  Rows stay where they are; memory is that of a batch.
     """
     def make():
-        encoder = _encoder(path, pattern)
+        encoder = text_encoder(path, pattern)
 
         def convert(texts: pa.Array) -> pa.Array:
             gc.disable()  # its scans of the large tables cost as much as the encoding
@@ -359,7 +359,7 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
     """Add ``text``, decoded from ``ids``; null ids give an empty text, as no ids do."""
     def make():
-        tokens = _token_bytes(path)
+        tokens = token_bytes(path)
 
         def convert(lists: pa.Array) -> pa.Array:
             values = lists.values.to_numpy(zero_copy_only=False)

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from veilscan.llm.byte_bpe import KNOWN_PATTERN, TextEncoder, TokenBytes, load_ranks
+from veilscan.llm.byte_bpe import KNOWN_PATTERN, text_encoder, token_bytes
 from veilscan.llm.common import slices
 
 ESCAPE = "\\"
@@ -120,7 +120,7 @@ class _Layout:
 
     def __init__(self, part: int, template: Template, path: str):
         self.part, self.template = part, template
-        self.encoder = TextEncoder(load_ranks(path), KNOWN_PATTERN)
+        self.encoder = text_encoder(path, KNOWN_PATTERN)
         self.at = self.row = 0
         # The path of the last conversation: (digest, start, end, position after it).
         self.open: list[tuple[bytes, int, int, int]] = []
@@ -220,7 +220,7 @@ def read_chats(rows: DataFrame, vocabulary: str, template: Template = Template()
         "part", "row")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = TokenBytes(load_ranks(vocabulary))
+        table = token_bytes(vocabulary)
         part, path = None, []
         for batch in slices(batches):
             out: tuple[list, ...] = ([], [], [], [])
