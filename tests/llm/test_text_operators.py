@@ -129,6 +129,8 @@ def test_bpe_equals_the_public_library_and_round_trips(spark, texts):
     encoded = byte_bpe.encode(docs(spark, texts), RANKS, public_tokenizers.PATTERN)
     assert encoded.columns[-1] == "ids" and encoded.columns.count("ids") == 1
     rows = byte_bpe.decode(encoded, RANKS).collect()
+    at_once = byte_bpe.encode_and_decode(docs(spark, texts), RANKS, public_tokenizers.PATTERN)
+    assert sorted(map(str, at_once.collect())) == sorted(map(str, rows))
     assert len(rows) == len(texts)
     for row in rows:
         text = texts[row.doc_id] or ""

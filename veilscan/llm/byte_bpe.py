@@ -21,7 +21,7 @@ import gc
 import re
 import sys
 from array import array
-from collections.abc import Iterable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 from functools import lru_cache
 
 import numpy as np
@@ -315,28 +315,29 @@ def token_bytes(path: str) -> TokenBytes:
     return TokenBytes(load_ranks(path))
 
 
-def _append(df: DataFrame, source: str, name: str, kind: T.DataType, make) -> DataFrame:
-    """``df`` with column ``name`` made of column ``source`` by a function of Arrow arrays."""
-    columns = df.columns
-    kept = [c for c in columns if c != name]
-    schema = T.StructType([*(df.schema[c] for c in kept), T.StructField(name, kind)])
+#: A column made of another: source, name, type, and what gives a task its function of Arrow arrays.
+Step = tuple[str, str, T.DataType, Callable[[], Callable[[pa.Array], pa.Array]]]
+
+
+def _append(df: DataFrame, *steps: Step) -> DataFrame:
+    """``df`` with the columns of all steps, one after the other, in one Arrow pass."""
+    fields = {field.name: field for field in df.schema}
+    for _, name, kind, _ in steps:
+        fields.pop(name, None)
+        fields[name] = T.StructField(name, kind)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        convert = make()
+        made = [(source, name, make()) for source, name, _, make in steps]
         for batch in slices(batches):
-            made = convert(batch.column(columns.index(source)))
-            yield pa.RecordBatch.from_arrays(
-                [*(batch.column(columns.index(c)) for c in kept), made], [*kept, name])
-
-    return df.mapInArrow(run, schema)
+            columns = dict(zip(batch.schema.names, batch.columns))
+            for source, name, convert in made:
+                columns[name] = convert(columns[source])
+            yield pa.RecordBatch.from_arrays([columns[name] for name in fields], list(fields))
 
+    return df.mapInArrow(run, T.StructType(list(fields.values())))
 
-def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
-    """Add ``ids``, the tokens of the whole ``text``; a null or empty text has none.
 
-    The vocabulary file is read by each worker from ``path``.  An existing column named ``ids`` is
-    replaced; all others pass.  Rows stay where they are; memory is that of a batch.
-    """
+def _encoding(text: str, ids: str, path: str, pattern: str) -> Step:
     def make():
         encoder = text_encoder(path, pattern)
 
@@ -353,11 +354,10 @@ def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str
 
         return convert
 
-    return _append(df, text, ids, T.ArrayType(T.IntegerType(), True), make)
+    return text, ids, T.ArrayType(T.IntegerType(), True), make
 
 
-def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
-    """Add ``text``, decoded from ``ids``; null ids give an empty text, as no ids do."""
+def _decoding(ids: str, text: str, path: str) -> Step:
     def make():
         tokens = token_bytes(path)
 
@@ -370,4 +370,24 @@ def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") ->
 
         return convert
 
-    return _append(df, ids, text, T.StringType(), make)
+    return ids, text, T.StringType(), make
+
+
+def encode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids") -> DataFrame:
+    """Add ``ids``, the tokens of the whole ``text``; a null or empty text has none.
+
+    The vocabulary file is read by each worker from ``path``.  An existing column named ``ids`` is
+    replaced; all others pass.  Rows stay where they are; memory is that of a batch.
+    """
+    return _append(df, _encoding(text, ids, path, pattern))
+
+
+def decode(df: DataFrame, path: str, ids: str = "ids", text: str = "decoded") -> DataFrame:
+    """Add ``text``, decoded from ``ids``; null ids give an empty text, as no ids do."""
+    return _append(df, _decoding(ids, text, path))
+
+
+def encode_and_decode(df: DataFrame, path: str, pattern: str, text: str = "text", ids: str = "ids",
+                      decoded: str = "decoded") -> DataFrame:
+    """``encode``, then ``decode`` of its ids, in one pass: one worker a core, nothing written between."""
+    return _append(df, _encoding(text, ids, path, pattern), _decoding(ids, decoded, path))

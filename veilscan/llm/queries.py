@@ -78,10 +78,7 @@ def op3_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document encoded and decoded again, as digests."""
     path = public_tokenizers.path("byte_bpe_50k.tiktoken")
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    # Written in between, so that a core feeds one Python worker at a time and not two.
-    encoded = materialize(
-        byte_bpe.encode(docs, path, public_tokenizers.PATTERN).drop("text"), "encoded")
-    decoded = byte_bpe.decode(encoded, path)
+    decoded = byte_bpe.encode_and_decode(docs, path, public_tokenizers.PATTERN)
     return decoded.select(
         "doc_id", F.size("ids").cast("long").alias("n_tokens"),
         F.sha2(F.array_join(F.col("ids").cast("array<string>"), " "), 256).alias("ids_sha256"),
