@@ -11,7 +11,7 @@ from veilscan.functions.regex import to_re2
 from veilscan.operators.score import REPORT_ORDER
 from veilscan.plans.queries import CUSTOM_RULES
 from veilscan.rules import Rule, builtin_rules
-from veilscan.rules.catalog import NOT_CODE
+from veilscan.rules.catalog import LOOK_UP
 from veilscan.rules.remediation import STEPS
 
 ZWSP = "\u200b"
@@ -120,7 +120,7 @@ def sql_pattern(rule: Rule) -> str:
     """
     source = rule.source
     if rule.rule_id == "generic-password":
-        source = source.replace(NOT_CODE, "")
+        source = source.replace(LOOK_UP, "")
     flags = "(?i)" if "i" in rule.flags else ""
     return f"{flags}(?:{to_re2(source)})()()"
 

@@ -69,6 +69,15 @@ def test_placeholder_and_low_entropy_values(scan):
         "generic-api-key"]
 
 
+def test_passwords_that_are_expressions(scan):
+    code = ["process.env.DB_PASSWORD", "getenv('DB_PASSWORD')", "${DB_PASSWORD_REF}", "readSecret(name1)",
+            "getenv.DB_PASSWORD", "process.env.password1;"]
+    literal = ["Tr0ub4dor&3x", "'Tr0ub4dor&3x'", '"process.Tr0ub4dor3"', "processTr0ub4dor;"]
+    lines = [f"password = {value}" for value in code + literal]
+    lines.append("password: process.env.pwd = 'Tr0ub4dor&3x'")
+    assert [r.line for r in scan(lines, only=["generic-password"])] == [7, 8, 9, 10, 11]
+
+
 def test_several_matches_and_columns(scan, ak):
     other = ak[:-1] + "Z"
     rows = scan([f"{ak} and {other}, \U0001f600 {ak}"], only=["aws-access-key"])
