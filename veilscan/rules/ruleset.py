@@ -11,6 +11,7 @@ from functools import cached_property
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from veilscan.functions.ambiguity import is_ambiguous
 from veilscan.functions.regex import (
     has_nested_quantifier,
     literal_alternation,
@@ -43,10 +44,10 @@ def compile_custom_rule(definition: Mapping, check: bool = True) -> Rule:
     source, flags = split_literal(definition["regex"])
     if "g" not in flags:
         flags += "g"
-    if has_nested_quantifier(source):
+    if has_nested_quantifier(source) or is_ambiguous(source, flags):
         raise RuleError(
-            f'Custom rule "{rule_id}" rejected: the pattern repeats a group that itself repeats, '
-            "which can take exponential time."
+            f'Custom rule "{rule_id}" rejected: the pattern repeats a group that itself repeats or '
+            "can read one text in several ways, which can take exponential time."
         )
     min_entropy = definition.get("minEntropy")
     requires = definition.get("requiresEntropy")
