@@ -663,4 +663,6 @@ def all_oracles() -> dict[str, str]:
     out["written_baseline"] = seeded(f"SELECT DISTINCT {FINGERPRINT} AS fingerprint FROM found")
     out["stream_findings"] = out["custom_rule_findings"].replace(", secret_sha FROM", " FROM")
     out["stream_active_findings"] = out["baseline_active"]
+    out["history_cut_lines"] = out["stream_cut_lines"] = out["history_added_lines"]
+    out["history_cut_findings"] = out["history_findings"]
     return out

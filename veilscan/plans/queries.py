@@ -40,6 +40,7 @@ from veilscan.sources.history import (
     parse_commits,
     read_log,
 )
+from veilscan.sources.log_ranges import log_lines, read_log_line_stream, read_log_lines
 from veilscan.sources.snapshots import changed_since, guard, pick_snapshot, staged
 from veilscan.streaming import scan as streams
 
@@ -712,6 +713,55 @@ def history_newest(spark, sf_dir):
     return added_lines(file_diffs(commits), "40B").select("commit", "path", "line", "text")
 
 
+def _numbered_log(spark, sf_dir) -> DataFrame:
+    """The lines ``value`` of the log, in the order ``commit, pos``."""
+    blocks = commit_blocks(spark, sf_dir).select(
+        F.split_part("block", F.lit("\0"), F.lit(2)).alias("commit"),
+        F.regexp_replace("block", r"\n\z", "").alias("block"))
+    return blocks.select("commit", F.posexplode(F.split("block", "\n")).alias("pos", "value"))
+
+
+def _write_log(lines: DataFrame, folder: str) -> str:
+    """Files that end anywhere, also within a commit or a hunk; their names are in order."""
+    files = max(16, int(lines.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    lines.repartitionByRange(files, "commit", "pos").sortWithinPartitions("commit", "pos").select(
+        "value").write.text(folder)
+    return folder
+
+
+def _cut_log(spark, sf_dir) -> DataFrame:
+    return read_log_lines(spark, _write_log(_numbered_log(spark, sf_dir), f"{_work_folder(spark)}/log"))
+
+
+def history_cut_lines(spark, sf_dir):
+    """Added lines of the log whose commits are cut by the ends of files."""
+    lines = log_lines(_cut_log(spark, sf_dir), _work_folder(spark))
+    return lines.select("commit", "commit_author", "commit_date", "path", "line", "text")
+
+
+def history_cut_findings(spark, sf_dir):
+    """The same log, scanned."""
+    rules = effective_rules().only(["aws-access-key", "db-connection-string"])
+    lines = log_lines(_cut_log(spark, sf_dir), _work_folder(spark), ignore=["a7.ts"])
+    return scan_lines(lines, rules, extra=["commit", "commit_author", "commit_date"]).select(
+        "commit", "commit_author", "commit_date", "path", "line", "column", "rule_id", "masked_value", "secret_hash")
+
+
+def stream_cut_lines(spark, sf_dir):
+    """The same log as a stream whose second batch begins within a commit."""
+    folder = _work_folder(spark)
+    lines = _numbered_log(spark, sf_dir)
+    cut = lines.where("commit >= '8'").agg(F.min("commit")).head()[0]
+    late = lines.withColumn("late", F.coalesce(
+        (F.col("commit") > cut) | ((F.col("commit") == cut) & (F.col("pos") >= 12)), F.lit(False)))
+    for half in (False, True):
+        _write_log(late.where(F.col("late") == half), f"{folder}/log/half={int(half)}")
+        streams.write_log_lines(
+            read_log_line_stream(spark, f"{folder}/log"), folder, f"{folder}/checkpoint").awaitTermination()
+    return spark.read.parquet(f"{folder}/lines").select(
+        "commit", "commit_author", "commit_date", "path", "line", "text")
+
+
 # -- reports ------------------------------------------------------------------------------------
 
 def _report(fragments: DataFrame) -> DataFrame:
@@ -877,5 +927,6 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         redacted_documents, stream_findings, stream_active_findings, long_text_findings,
         text_block_findings, engines_agree, history_marker_lines, stream_history_findings,
         written_baseline, redacted_secrets, stream_first_findings, stream_totals,
+        history_cut_lines, history_cut_findings, stream_cut_lines,
     ]
     return {fn.__name__: fn for fn in chosen}

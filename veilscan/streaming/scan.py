@@ -17,6 +17,7 @@ from veilscan.operators.baseline import with_fingerprint
 from veilscan.plans.scan import scan_history, scan_lines, scan_texts
 from veilscan.rules import RuleSet
 from veilscan.sources.history import COMMIT_MARKER, log_blocks, record_separator
+from veilscan.sources.log_ranges import BEGINNING, SUMMARY, final_state, log_lines
 
 
 def read_text_stream(spark: SparkSession, path: str, files_per_batch: int = 1_000) -> DataFrame:
@@ -147,6 +148,32 @@ def read_totals(spark: SparkSession, folder: str, by: Iterable[str] = ("severity
         *[F.hll_sketch_estimate(F.hll_union_agg(c)).alias(c) for c in distinct])
 
 
+def write_log_lines(
+    lines: DataFrame, folder: str, checkpoint: str, *, trigger: dict | None = None, **options
+) -> StreamingQuery:
+    """Added lines of a log that arrives as a stream of files (``log_ranges.read_log_line_stream``).
+
+    A commit may begin in one batch and end in a later one: a batch begins in the state that the last
+    one left, one row under its number.  Lines are written to ``{folder}/lines/batch=N``, and a batch
+    that is run again replaces its own.  Within a batch files come in the order of their names.
+    ``options`` are those of ``log_lines``.
+    """
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark, before = batch.sparkSession, BEGINNING
+        if batch_id:
+            before = spark.read.schema(SUMMARY).parquet(f"{folder}/state/batch={batch_id - 1}").head().asDict()
+        found = log_lines(batch, f"{folder}/work", before=before, **options)
+        found.write.mode("overwrite").parquet(f"{folder}/lines/batch={batch_id}")
+        after = final_state(spark, f"{folder}/work", before)
+        spark.createDataFrame([after], SUMMARY).write.mode("overwrite").parquet(
+            f"{folder}/state/batch={batch_id}")
+
+    return (
+        lines.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+        .trigger(**(trigger or {"availableNow": True})).start()
+    )
+
+
 def append_new_findings(
     findings: DataFrame, table: str, checkpoint: str, **trigger
 ) -> StreamingQuery:
