@@ -538,6 +538,8 @@ FROM found""", "path <> 'src/a7.ts' AND NOT contains(path, '/a7.ts/')"),
         "history_totals": f"""WITH {HISTORY}
 SELECT count(DISTINCT "commit") AS commits_scanned, count(DISTINCT path) AS files_scanned,
        count(*) AS lines_scanned FROM added""",
+        "history_one_file": f"""WITH {HISTORY}
+SELECT "commit", path, line, text FROM added WHERE path = 'src/a7.ts'""",
         "history_newest": f"""WITH {HISTORY}, newest AS (
   SELECT "commit" FROM commits ORDER BY commit_date DESC, "commit" LIMIT 100)
 SELECT "commit", path, line, text FROM (
@@ -642,7 +644,22 @@ def _former_limits() -> dict[str, str]:
     hashed = "sha256(path || ':aws-access-key:' || ak) AS secret_hash"
     marked = f"""WITH {KEYS}, m AS (SELECT h AS "commit", 'src/m' || (k % 5) || '.ts' AS path, ak FROM keys)
 SELECT "commit", path, 2 AS line, 4 AS "column", {mask('ak')} AS masked_value, {hashed} FROM m"""
+    tree = """tree AS (
+  SELECT c_custkey AS k, c_custkey % 8 AS kind, 'arc/a' || (c_custkey // 80) || '.zip' AS archive,
+         'AK' || 'IA' || upper(substr(md5(CAST(c_custkey AS VARCHAR)), 1, 16)) AS ak FROM customer), files AS (
+  SELECT 'src/d' || (k % 50) || '/f' || k || '.ts' AS path, 'scanned' AS status, 23 AS length, ak FROM tree WHERE kind = 0
+  UNION ALL SELECT '.cfg/f' || k || '.txt', 'scanned', 23, ak FROM tree WHERE kind = 1
+  UNION ALL SELECT 'u/f' || k || '.txt', 'scanned', 48, ak FROM tree WHERE kind = 2
+  UNION ALL SELECT 'big/f' || k || '.txt', 'too-large', 3023, ak FROM tree WHERE kind = 3
+  UNION ALL SELECT 'links/f' || k || '.txt', 'symlink', NULL, ak FROM tree WHERE kind = 4
+  UNION ALL SELECT archive || '://m/f' || k || '.txt', 'scanned', 23, ak FROM tree WHERE kind = 5
+  UNION ALL SELECT 'bad/f' || k || '.zip', 'scanned', 23, ak FROM tree WHERE kind = 7
+  UNION ALL SELECT DISTINCT archive || '://m/bad.txt', 'unreadable', NULL, NULL FROM tree)"""
     return {
+        "tree_files": f"WITH {tree} SELECT path, status, length FROM files",
+        "tree_findings": f"""WITH {tree}
+SELECT path, 1 AS line, 4 AS "column", 'aws-access-key' AS rule_id, 'critical' AS severity,
+       {mask('ak')} AS masked_value, {hashed} FROM files WHERE status = 'scanned'""",
         "long_text_findings": f"""WITH {long}
 SELECT path, 1 AS line, "column", depth, leaf_path, {mask('ak')} AS masked_value, {hashed} FROM planted""",
         "engines_agree": f"""WITH {KEYS}
@@ -665,4 +682,6 @@ def all_oracles() -> dict[str, str]:
     out["stream_active_findings"] = out["baseline_active"]
     out["history_cut_lines"] = out["stream_cut_lines"] = out["history_added_lines"]
     out["history_cut_findings"] = out["history_findings"]
+    out["rules_file_findings"] = out["stream_findings"]
+    out["written_findings"] = out["scan_seeded"]
     return out

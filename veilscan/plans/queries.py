@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import tempfile
 import uuid
 from collections.abc import Callable
@@ -23,11 +24,11 @@ from veilscan.operators.match import keyword_candidates
 from veilscan.operators.redact import redact, redact_texts
 from veilscan.operators.segments import decode_texts
 from veilscan.operators.structured import env_entries, json_leaves
-from veilscan.plans.scan import scan_history, scan_lines, scan_texts
-from veilscan.rules import Rule, compile_custom_rule, effective_rules
+from veilscan.plans.scan import scan_history, scan_lines, scan_texts, scan_tree
+from veilscan.rules import Rule, compile_custom_rule, effective_rules, load_custom_rules
 from veilscan.rules.remediation import with_remediation
 from veilscan.sinks import reports as R
-from veilscan.sinks.writers import write_baseline_json
+from veilscan.sinks.writers import write_baseline_json, write_findings
 from veilscan.sources import tables as C
 from veilscan.sources.baselines import read_baseline_json
 from veilscan.sources.files import decode_bytes
@@ -42,6 +43,7 @@ from veilscan.sources.history import (
 )
 from veilscan.sources.log_ranges import log_lines, read_log_line_stream, read_log_lines
 from veilscan.sources.snapshots import changed_since, guard, pick_snapshot, staged
+from veilscan.sources.tree import tree_contents, walk_tree
 from veilscan.streaming import scan as streams
 
 CUSTOM_RULES = [
@@ -762,6 +764,103 @@ def stream_cut_lines(spark, sf_dir):
         "commit", "commit_author", "commit_date", "path", "line", "text")
 
 
+def history_one_file(spark, sf_dir):
+    """The added lines of a single file."""
+    lines = history_lines(commit_blocks(spark, sf_dir), only_file="src/a7.ts")
+    return lines.select("commit", "path", "line", "text")
+
+
+# -- folder trees and archives ------------------------------------------------------------------
+
+def _write_tree(spark, sf_dir) -> str:
+    """A file for each customer's key in a shared folder: plain, hidden, wide, large, linked, in an archive,
+    in a folder that is not entered, or with an archive's name."""
+    root = f"{_work_folder(spark)}/tree"
+
+    def write(table):
+        import io
+        import os
+        import zipfile
+
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(root if "://" in root else "file://" + root)
+
+        def put(path, body):
+            system.create_dir(f"{base}/{path.rsplit('/', 1)[0]}", recursive=True)
+            with system.open_output_stream(f"{base}/{path}", compression=None) as out:
+                out.write(body)
+
+        packed = io.BytesIO()
+        with zipfile.ZipFile(packed, "w", zipfile.ZIP_DEFLATED) as archive:
+            archive.writestr("m/bad.txt", "unread " * 50)
+            for k, ak in zip(table["k"].to_pylist(), table["ak"].to_pylist()):
+                text = "id " + ak
+                if k % 8 == 0:
+                    put(f"src/d{k % 50}/f{k}.ts", text.encode())
+                elif k % 8 == 1:
+                    put(f".cfg/f{k}.txt", text.encode())
+                elif k % 8 == 2:
+                    put(f"u/f{k}.txt", ("\ufeff" + text).encode("utf-16-le"))
+                elif k % 8 == 3:
+                    put(f"big/f{k}.txt", (text + "x" * 3_000).encode())
+                elif k % 8 == 4:
+                    put(f"kept/f{k}.txt", text.encode())
+                    os.makedirs(f"{base}/links", exist_ok=True)
+                    if not os.path.islink(f"{base}/links/f{k}.txt"):  # a task may run again
+                        os.symlink(f"{base}/kept/f{k}.txt", f"{base}/links/f{k}.txt")
+                elif k % 8 == 5:
+                    archive.writestr(f"m/f{k}.txt", text)
+                elif k % 8 == 6:
+                    put(f"lib/node_modules/f{k}.ts", text.encode())
+                else:
+                    put(f"bad/f{k}.zip", text.encode())
+        body = bytearray(packed.getvalue())
+        at = 30 + len("m/bad.txt")
+        body[at:at + 8] = b"\xff" * 8
+        put(f"arc/a{table['g'][0].as_py()}.zip", bytes(body))
+        return table.select(["k"])
+
+    keys = _keys(spark, sf_dir, "customer", "c_custkey").withColumn("g", F.expr("k div 80"))
+    keys.groupBy("g").applyInArrow(write, "k bigint").agg(F.count("k")).collect()
+    return root
+
+
+def tree_files(spark, sf_dir):
+    """All files of the tree and why they are scanned or not; members of archives with their own rows."""
+    root, folder = _write_tree(spark, sf_dir), _work_folder(spark)
+    listed = _written(walk_tree(spark, root, f"{folder}/listing", ignore=["kept"], max_file_size="2KB"))
+    read = tree_contents(listed, root, f"{folder}/members")
+    return read.select("path", "status", F.octet_length("content").cast("bigint").alias("length")).unionByName(
+        listed.where("status <> 'scanned'").select("path", "status", "length"))
+
+
+def tree_findings(spark, sf_dir):
+    """The tree scanned with all rules."""
+    root, folder = _write_tree(spark, sf_dir), _work_folder(spark)
+    return scan_tree(spark, root, folder, ignore=["kept"], max_file_size="2KB").select(*KEY_COLUMNS)
+
+
+# -- rules files and findings tables ------------------------------------------------------------
+
+def rules_file_findings(spark, sf_dir):
+    """Rules from a file over all documents: they replace custom rules of the same id, never built-in ones."""
+    folder = f"{_work_folder(spark)}/rules"
+    listed = [*CUSTOM_RULES, {"id": "jwt", "name": "Not the token", "regex": "the", "severity": "low", "keywords": ["the"]}]
+    spark.createDataFrame([(json.dumps({"customRules": listed}),)], "value string").coalesce(1).write.text(folder)
+    weaker = compile_custom_rule(CUSTOM_RULES[0] | {"regex": r"token\s*=\s*(\w)", "severity": "low"})
+    builtin = effective_rules().only(["jwt"]).rules
+    rules = effective_rules([weaker], load_custom_rules(spark, folder), builtin=builtin).only(["doc-hex-token", "jwt"])
+    return scan_texts(documents(spark, sf_dir), rules).select(*KEY_COLUMNS)
+
+
+def written_findings(spark, sf_dir):
+    """The findings of the seeded corpus as a table by severity, read back."""
+    folder = f"{_work_folder(spark)}/findings"
+    write_findings(seeded_findings(spark, sf_dir), folder)
+    return spark.read.parquet(folder).select(*KEY_COLUMNS, "depth")
+
+
 # -- reports ------------------------------------------------------------------------------------
 
 def _report(fragments: DataFrame) -> DataFrame:
@@ -927,6 +1026,7 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         redacted_documents, stream_findings, stream_active_findings, long_text_findings,
         text_block_findings, engines_agree, history_marker_lines, stream_history_findings,
         written_baseline, redacted_secrets, stream_first_findings, stream_totals,
-        history_cut_lines, history_cut_findings, stream_cut_lines,
+        history_cut_lines, history_cut_findings, stream_cut_lines, history_one_file, tree_files,
+        tree_findings, rules_file_findings, written_findings,
     ]
     return {fn.__name__: fn for fn in chosen}

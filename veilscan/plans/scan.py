@@ -16,6 +16,7 @@ from veilscan.operators.structured import structured_rows
 from veilscan.rules import RuleSet, effective_rules
 from veilscan.sources.files import decode_bytes, expand_archives, read_files
 from veilscan.sources.history import history_lines
+from veilscan.sources.tree import tree_contents, walk_tree
 
 
 def scan_lines(
@@ -99,6 +100,24 @@ def scan_files(
     return scan_texts(texts, rules, merge_lines=merge_lines, structured=True, **options)
 
 
+def scan_tree(
+    spark: SparkSession, path: str, folder: str, rules: RuleSet | None = None, *,
+    ignore: Iterable[str] = (), scan_all_extensions: bool = False,
+    max_file_size: str | int | None = None, merge_lines: bool = True, **options,
+) -> DataFrame:
+    """Findings of a directory tree that is listed and taken apart by tasks (``sources.tree``).
+
+    ``folder`` is shared by driver and executors, for listings.  Unlike in ``scan_files``, a damaged
+    member does not make its archive be read as a plain file.
+    """
+    listed = walk_tree(
+        spark, path, f"{folder}/listing", ignore=ignore, scan_all_extensions=scan_all_extensions,
+        max_file_size=max_file_size)
+    texts = tree_contents(listed, path, f"{folder}/members", scan_all_extensions).where(
+        "status = 'scanned'").select("path", decode_bytes(F.col("content")).alias("content"))
+    return scan_texts(texts, rules, merge_lines=merge_lines, structured=True, **options)
+
+
 def scan_history(
     blocks: DataFrame, rules: RuleSet | None = None, *, marker: str | None = None,
     max_commits: int | None = None, ignore: Iterable[str] = (), only_file: str | None = None,
