@@ -684,4 +684,14 @@ def all_oracles() -> dict[str, str]:
     out["history_cut_findings"] = out["history_findings"]
     out["rules_file_findings"] = out["stream_findings"]
     out["written_findings"] = out["scan_seeded"]
+    details = {
+        "sarif": ('"column"', "secret_hash"),
+        "quality": ("NULL", "sha256(path || ':' || line || ':' || \"column\" || ':' || rule_id || ':' || masked_value)"),
+        "json": ('"column"', "masked_value"),
+        "junit": ('"column"', "CAST(count(*) OVER (PARTITION BY path) AS VARCHAR)"),
+    }
+    out["written_reports"] = seeded("\nUNION ALL\n".join(
+        f"""SELECT '{kind}' AS kind, path, {'greatest(1, line)' if kind == 'sarif' else 'line'} AS line, {column} AS "column", rule_id, {detail} AS detail FROM found
+UNION ALL SELECT '{kind} total', NULL, count(*), NULL, NULL, NULL FROM found"""
+        for kind, (column, detail) in details.items()))
     return out

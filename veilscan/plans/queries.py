@@ -28,6 +28,7 @@ from veilscan.plans.scan import scan_history, scan_lines, scan_texts, scan_tree
 from veilscan.rules import Rule, compile_custom_rule, effective_rules, load_custom_rules
 from veilscan.rules.remediation import with_remediation
 from veilscan.sinks import reports as R
+from veilscan.sinks.report_source import read_manifest, save_report
 from veilscan.sinks.writers import write_baseline_json, write_findings
 from veilscan.sources import tables as C
 from veilscan.sources.baselines import read_baseline_json
@@ -897,6 +898,67 @@ def report_markdown(spark, sf_dir):
     return R.markdown_table(seeded_findings(spark, sf_dir)).select("fragment")
 
 
+def _read_sarif(documents: DataFrame) -> DataFrame:
+    region = "struct<startLine:bigint,startColumn:bigint>"
+    place = f"struct<artifactLocation:struct<uri:string>,region:{region}>"
+    result = ("struct<ruleId:string,partialFingerprints:struct<secretHash:string>,"
+              f"locations:array<struct<physicalLocation:{place}>>>")
+    log = F.from_json("value", f"struct<runs:array<struct<results:array<{result}>>>>")
+    at = F.col("r.locations")[0]["physicalLocation"]
+    return documents.select(F.explode(log["runs"][0]["results"]).alias("r")).select(
+        at["artifactLocation"]["uri"].alias("path"), at["region"]["startLine"].alias("line"),
+        at["region"]["startColumn"].alias("column"), F.col("r.ruleId").alias("rule_id"),
+        F.col("r.partialFingerprints.secretHash").alias("detail"))
+
+
+def _read_quality(documents: DataFrame) -> DataFrame:
+    issue = ("struct<check_name:string,fingerprint:string,"
+             "location:struct<path:string,lines:struct<begin:bigint>>>")
+    return documents.select(F.explode(F.from_json("value", f"array<{issue}>")).alias("r")).select(
+        "r.location.path", F.col("r.location.lines.begin").alias("line"), F.lit(None).cast("bigint").alias("column"),
+        F.col("r.check_name").alias("rule_id"), F.col("r.fingerprint").alias("detail"))
+
+
+def _read_json(documents: DataFrame) -> DataFrame:
+    item = "struct<rule:string,file:string,line:bigint,column:bigint,maskedValue:string>"
+    report = F.from_json("value", f"struct<findings:array<{item}>>")
+    return documents.select(F.explode(report["findings"]).alias("r")).select(
+        F.col("r.file").alias("path"), "r.line", "r.column", F.col("r.rule").alias("rule_id"),
+        F.col("r.maskedValue").alias("detail"))
+
+
+def _read_junit(documents: DataFrame) -> DataFrame:
+    """Cases below the suite of their file, whose stated number is the detail."""
+    suites = documents.select(F.explode(F.regexp_extract_all(
+        "value", F.lit(r"(?s)(<testsuite .*?</testsuite>)"), 1)).alias("suite"))
+    case = r'(?s)<testcase classname="([^"]*)" name="[^"]* at line (\d+):(\d+)".*?\(([^()"]*)\)" type='
+    cases = F.arrays_zip(*[F.regexp_extract_all("suite", F.lit(case), i).alias(n) for i, n in enumerate(
+        ("path", "line", "column", "rule_id"), 1)])
+    return suites.select(F.explode(cases).alias("r"), F.regexp_extract("suite", r'tests="(\d+)"', 1).alias("n")).select(
+        "r.path", F.col("r.line").cast("bigint").alias("line"), F.col("r.column").cast("bigint").alias("column"),
+        "r.rule_id",
+        F.col("n").alias("detail"))
+
+
+def written_reports(spark, sf_dir):
+    """The findings of the seeded corpus written in four formats and read back, with the stated totals."""
+    found = _written(seeded_findings(spark, sf_dir))
+    readers = {"sarif": _read_sarif, "quality": _read_quality, "json": _read_json, "junit": _read_junit}
+    frames = []
+    for kind, reader in readers.items():
+        folder = f"{_work_folder(spark)}/report"
+        save_report(found, folder, kind, findings_per_file=1_000)
+        frames.append(reader(spark.read.text(folder, wholetext=True)).withColumn("kind", F.lit(kind)))
+        total = read_manifest(folder)["findings"]
+        frames.append(spark.createDataFrame(
+            [(None, total, None, None, None, f"{kind} total")],
+            "path string, line bigint, column bigint, rule_id string, detail string, kind string"))
+    out = frames[0]
+    for frame in frames[1:]:
+        out = out.unionByName(frame)
+    return out
+
+
 def redacted_documents(spark, sf_dir):
     """Documents with every document token masked."""
     docs = spread(documents(spark, sf_dir))
@@ -1027,6 +1089,6 @@ def all_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         text_block_findings, engines_agree, history_marker_lines, stream_history_findings,
         written_baseline, redacted_secrets, stream_first_findings, stream_totals,
         history_cut_lines, history_cut_findings, stream_cut_lines, history_one_file, tree_files,
-        tree_findings, rules_file_findings, written_findings,
+        tree_findings, rules_file_findings, written_findings, written_reports,
     ]
     return {fn.__name__: fn for fn in chosen}
