@@ -176,6 +176,15 @@ def test_keywords_are_parts_of_every_match():
     assert not licenses.Scanner([Signature("a", "plain", "x y", "x")])("y x")
 
 
+def test_license_scans_go_on_past_the_first_piece_of_a_batch(spark, tmp_path):
+    # No text is null: a column with nulls is copied by the fill, and no piece begins within a buffer.
+    rows = [(i, f"The MIT License, no. {i}") for i in range(1_200)]
+    spark.createDataFrame(rows, "doc_id long, text string").coalesce(1).write.parquet(f"{tmp_path}/documents.parquet")
+    out = queries.op12_license_scans(spark, str(tmp_path)).where(
+        "n_words = 5 AND n_base = 1 AND first_word = 1 AND last_word = 1 AND base_labels = 'mit'")
+    assert out.count() == len(rows)
+
+
 def test_license_query_equals_brute_force(spark, tmp_path):
     rows = [(i, t) for i, t in enumerate(LICENSE_TEXTS)] + [
         (90, None), (91, "x " * 40_000 + "MIT  License." + " cc by" * 20_000), (None, "cc by"), (3, LICENSE_TEXTS[3]),

@@ -70,7 +70,11 @@ def forget(*tables: DataFrame) -> None:
 
 
 def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
-    """The batches in pieces of few rows, so that what is made of one stays small."""
+    """The batches in pieces of few rows, so that what is made of one stays small.
+
+    Later pieces are copies: some kernels (``ascii_lower``) misread arrays that begin within a buffer.
+    """
     for batch in batches:
         for at in range(0, batch.num_rows, rows):
-            yield batch.slice(at, rows)
+            piece = batch.slice(at, rows)
+            yield piece.take(pa.array(range(piece.num_rows), pa.int32())) if at else piece
