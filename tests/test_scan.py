@@ -201,3 +201,21 @@ def test_extra_columns_are_carried(spark, rules, ak):
     df = spark.createDataFrame([("a", 1, ak, "eu")], "path string, line int, text string, region string")
     row = scan_lines(df, rules.only(["aws-access-key"]), extra=["region"], keep_secret=True).head()
     assert (row.region, row.secret) == ("eu", ak)
+
+
+def test_texts_are_not_shuffled_by_rule(spark, rules, capsys):
+    from veilscan.plans.scan import scan_lines
+
+    scan_lines(spark.createDataFrame([("a", 1, "x")], "path string, line int, text string"), rules).explain()
+    plan = capsys.readouterr().out
+    assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan and "hashpartitioning" not in plan
+
+
+def test_large_tables_are_dealt_into_short_tasks(spark, monkeypatch):
+    from veilscan.plans import queries
+
+    monkeypatch.setattr(queries, "TASK_ROWS", 10)
+    dealt = queries.spread(spark.range(0, 101, 1, 2))
+    assert dealt.rdd.getNumPartitions() == 11 and dealt.count() == 101
+    assert queries.spread(spark.range(0, 101, 1, 12)).rdd.getNumPartitions() == 12
+    assert queries.spread(spark.range(0)).count() == 0
