@@ -70,3 +70,14 @@ def test_sketches_stay_within_their_error(spark, tmp_path):
     streams.write_totals(stream(spark, source), totals, str(tmp_path / "cp"), ("secret_hash",)).awaitTermination()
     row = streams.read_totals(spark, totals, by=()).head()
     assert row.findings == 200_000 and abs(row.secret_hash - 150_000) < 0.02 * 150_000
+
+
+def test_repeated_stream_has_two_batches_of_many_tasks(spark, tmp_path):
+    from veilscan.plans import queries
+
+    spark.range(400).withColumnRenamed("id", "o_orderkey").write.parquet(f"{tmp_path}/orders.parquet")
+    seen = []
+    queries._repeated_stream(spark, str(tmp_path)).writeStream.trigger(availableNow=True).option(
+        "checkpointLocation", f"{tmp_path}/checkpoint").foreachBatch(
+        lambda batch, _: seen.append((batch.count(), batch.rdd.getNumPartitions()))).start().awaitTermination()
+    assert [rows for rows, _ in seen] == [400, 400] and all(tasks > 1 for _, tasks in seen)
