@@ -1,0 +1,60 @@
+"""Work that is done for whole batches, or once a task, gives what is done for each row."""
+
+import base64
+
+import pyarrow as pa
+from pyspark.sql import functions as F
+
+from veilscan.functions import text as T
+from veilscan.operators import screen as S
+from veilscan.operators.match import find_matches, keyword_candidates
+from veilscan.operators.segments import _with_decoded
+
+HEX = "d41d8cd98f00b204e9800998ecf8427e"
+
+
+def test_entropies_of_a_batch(spark):
+    texts = ["", None, "a", "aaaa", "abab", HEX, "é𝔘é𝔘x", "Zürich 東京 🔑🔑", "x" * 70_000, "\0\x01", "ab" * 9 + "c"]
+    df = spark.createDataFrame([(t,) for t in texts], "text string").coalesce(1)
+    for row in df.select("text", T.rounded_entropies(F.col("text")).alias("batch"),
+                         T.rounded_entropies(F.col("text"), "jvm").alias("one")).collect():
+        assert row.batch == row.one and (row.batch is None) == (row.text is None), row
+
+
+def test_patterns_of_the_plan_match_like_those_of_rows(spark, rules, ak):
+    texts = [f"id {ak} and {ak[:-1]}Z", f'api_key = "{HEX}"', f"npm_{HEX}abcd", f'password: "{HEX[:12]}" secret=é{HEX}',
+             f"url postgres://svc:{HEX[:14]}@db.internal:5432/app", "é" + ak, ak + "\n" + ak, "token", ""]
+    df = spark.createDataFrame([(i, t, 3) for i, t in enumerate(texts)], "i int, text string, offset int")
+    columns = ["i", "rule_id", "matched", "secret", "column"]
+    made = keyword_candidates(df, rules)
+    by_plan = find_matches(made, rules).select(columns)
+    found = sorted(map(tuple, by_plan.collect()))
+    assert len(found) > 8 and found == sorted(map(tuple, find_matches(made).select(columns).collect()))
+
+
+def _texts(ak):
+    once = base64.b64encode(ak.encode()).decode()
+    hexed, thirty = ak.encode().hex(), base64.b32encode(ak.encode()).decode()
+    percent = "".join(f"%{b:02X}" for b in ak.encode())
+    listed = "[" + ", ".join(str(b) for b in ak.encode()) + "]"
+    nested = [base64.b64encode(t.encode()).decode() for t in (f"x {once}", f"x {percent}", f"x {listed}", ak[::-1])]
+    made = [once, hexed, hexed.upper(), thirty, thirty.lower(), percent, listed, ak[::-1], "<~87cURD]i,\"Ebo80~>",
+            "2NEpo7TZRRrLZSi2U" * 2, "%" + once, once + "%41%42", f"{once}.{hexed}-{once}", HEX, "Buffer.from(" + listed,
+            *nested, base64.b64encode(nested[0].encode()).decode()]
+    return [*made, *(f"v {t} w" for t in made), " ".join(made), "", None, "plain words"]
+
+
+def test_decoders_that_are_left_out_would_find_nothing(spark, ak):
+    df = spark.createDataFrame([(t,) for t in _texts(ak)], "text string").coalesce(1)
+    few, all_of_them = (
+        {r.text: r.decoded for r in _with_decoded(df, depth=4, engine=engine).collect()} for engine in ("arrow", "jvm"))
+    assert few == all_of_them
+    assert sum(bool(found) for found in few.values()) > 25
+
+
+def test_a_text_is_for_few_decoders():
+    ak = "AK" + "IA" + "0A1B0C2D0E3F0A1B"
+    once = base64.b64encode(ak.encode()).decode()
+    texts = pa.array(["skipped", f"v {once}", f"v {ak.encode().hex()}", ak, "%41%42", None, HEX])
+    some = S.BASE64 | S.HEX | S.BASE32
+    assert S._codecs(texts.slice(1)).tolist() == [S.BASE64 | S.BASE32, S.HEX, 0, S.PERCENT | some, 0, 0]
