@@ -214,8 +214,25 @@ class _RangeParser:
         })
 
 
-def _ranges(batches: Iterable[pa.RecordBatch], marker: str) -> Iterator[tuple]:
-    """``(file, start, added lines or None, parser)``; None once a range has ended."""
+    def feed_open(self, values: pa.Array) -> pa.Table:
+        """Added lines of the next lines, but for those between two commit headers.
+
+        A header makes an end of what holds before it, so that only the last one of these lines tells what
+        holds after them.
+        """
+        heads = np.flatnonzero(pc.starts_with(values, self.head).to_numpy(zero_copy_only=False))
+        if not len(heads):
+            return self.feed(values)
+        last = self.feed if self.summary["has_commit"] else lambda tail: pa.concat_tables(
+            [self.feed(values.slice(0, int(heads[0]))), self.feed(tail)])
+        return last(values.slice(int(heads[-1])))
+
+
+def _ranges(batches: Iterable[pa.RecordBatch], marker: str, only_open: bool = False) -> Iterator[tuple]:
+    """``(file, start, added lines or None, parser)``; None once a range has ended.
+
+    ``only_open`` leaves out added lines between two commit headers.
+    """
     key, parser = None, None
     for batch in batches:
         files, starts, values = (batch.column(name) for name in ("file", "start", "value"))
@@ -231,7 +248,8 @@ def _ranges(batches: Iterable[pa.RecordBatch], marker: str) -> Iterator[tuple]:
                 if parser is not None:
                     yield (*key, None, parser)
                 key, parser = here, _RangeParser(marker)
-            yield (*key, parser.feed(values.slice(begin, end - begin)), parser)
+            part = values.slice(begin, end - begin)
+            yield (*key, parser.feed_open(part) if only_open else parser.feed(part), parser)
     if parser is not None:
         yield (*key, None, parser)
 
@@ -246,7 +264,8 @@ def complete_lines(lines: DataFrame, marker: str = COMMIT_MARKER) -> DataFrame:
                 yield from added.filter(pc.and_(added["known"], pc.is_valid(added["commit"]))).select(
                     columns).to_batches()
 
-    return lines.mapInArrow(parse, DONE)
+    # Names are not looked at but for where one ends; 64 bits of them do, instead of a name beside each line.
+    return lines.withColumn("file", F.xxhash64("file")).mapInArrow(parse, DONE)
 
 
 def open_lines(lines: DataFrame, marker: str = COMMIT_MARKER) -> DataFrame:
@@ -257,7 +276,7 @@ def open_lines(lines: DataFrame, marker: str = COMMIT_MARKER) -> DataFrame:
                          for name, kind in (part.split(" ") for part in SUMMARY.split(", "))])
 
     def parse(batches):
-        for file, start, added, parser in _ranges(batches, marker):
+        for file, start, added, parser in _ranges(batches, marker, only_open=True):
             if added is None:
                 end = [NOTHING | parser.summary]
                 rows = pa.table({c: pa.nulls(1, pa.int64() if c in ("line", "bytes") else pa.string())
