@@ -394,3 +394,23 @@ def test_near_duplicates_go_by_row(spark):
     assert sorted((tuple(r) for r in out if r.doc_id != 7), key=str) == sorted(
         [(9, plain[0]), (10, plain[1]), (None, plain[2]), (None, plain[3]), (5, plain[4]),
          (3, plain[5] + " near"), (None, ""), (None, None), (5, ""), (6, "")], key=str)
+
+
+def test_packing_leaves_no_words_in_workers(spark):
+    """Workers live on after a task; words that it met must not stay in them."""
+    path = public_tokenizers.path("word_bpe_49k.json")
+
+    def held(batches):
+        import pyarrow as pa
+
+        from veilscan.llm import packing
+
+        for batch in batches:
+            known = packing._encoder.cache_info().currsize
+            encoder = packing._encoder(path, True) if known else None
+            words = known and len(encoder.kept) + len(encoder.older) + len(encoder.pieces) + len(encoder.older_pieces)
+            yield pa.RecordBatch.from_pydict({"words": pa.array([words] * batch.num_rows, pa.int64())})
+
+    df = spark.range(400).repartition(8).selectExpr("id AS doc_id", "concat('one two w', id) AS text")
+    assert packing.cut_pieces(df, path, added_tokens=True).count() == 400
+    assert spark.range(8).repartition(8).mapInArrow(held, "words long").agg({"words": "max"}).first()[0] == 0

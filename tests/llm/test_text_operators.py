@@ -320,6 +320,16 @@ def test_quality_reads_long_runs_whole(spark):
     assert set(indicators("!!??" * 16).tolist()) <= set(indicators("a" * 64 + "!!??" * 16).tolist())
 
 
+def test_quality_keeps_few_words():
+    """Tables of words stay small, and what falls out of them changes no feature."""
+    indicators = nbsvm.Indicators()
+    texts = [" ".join(f"w{i}x{j}" for j in range(1_000)) for i in range(320)]
+    for text in texts:
+        indicators(text)
+    assert len(indicators.kept) + len(indicators.older) <= 210_000
+    assert (indicators(texts[0]) == nbsvm.Indicators()(texts[0])).all()
+
+
 def test_quality_without_labels_or_with_one_class(spark):
     table = spark.createDataFrame([(1, "a b"), (2, None)], "doc_id long, text string")
     none = spark.createDataFrame([], "doc_id long, quality int")

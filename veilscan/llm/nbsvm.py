@@ -25,7 +25,8 @@ from veilscan.llm.common import slices
 N_FEATURES = 1 << 18
 #: The model is fitted to at most so many rows, those with the smallest hashes.
 SAMPLE_ROWS = 8_000
-MAX_KEPT_WORDS = 300_000
+#: Words whose shapes are kept, in each of two generations; how many there are changes no result.
+MAX_KEPT_WORDS = 100_000
 #: Longer runs without white space are read as several words of so many characters.
 WORD_CHARS = 64
 _MIX = np.uint64(0x9E3779B97F4A7C15)

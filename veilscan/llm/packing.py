@@ -102,6 +102,10 @@ class WordEncoder:
                 self.older_pieces, self.pieces = self.pieces, {}
             return b"".join([kept.get(w) or self._word(w) for w in words])
 
+    def forget(self) -> None:
+        """Let go of kept words and pieces; the vocabulary stays."""
+        self.kept, self.older, self.pieces, self.older_pieces = {}, {}, {}, {}
+
 
 @lru_cache(maxsize=2)
 def _encoder(path: str, added_tokens: bool) -> WordEncoder:
@@ -120,17 +124,20 @@ def cut_pieces(docs: DataFrame, path: str, size: int = 4096, end_id: int = 1,
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, end = _encoder(path, added_tokens), np.array([end_id], "<u4").tobytes()
         step = 4 * size
-        for batch in slices(batches):
-            rows: list[tuple] = []
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-                ids = encoder.encode(text.as_py() or "") + end
-                rows += [(doc_id, at // step, at // 4, min(step, len(ids) - at) // 4,
-                          ids[at:at + step]) for at in range(0, len(ids), step)]
-            columns = zip(*rows) if rows else [[]] * 5
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c, t) for c, t in zip(columns, (
-                    pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))],
-                ["doc_id", "piece", "start", "length", "ids"])
+        try:
+            for batch in slices(batches):
+                rows: list[tuple] = []
+                for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                    ids = encoder.encode(text.as_py() or "") + end
+                    rows += [(doc_id, at // step, at // 4, min(step, len(ids) - at) // 4,
+                              ids[at:at + step]) for at in range(0, len(ids), step)]
+                columns = zip(*rows) if rows else [[]] * 5
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(c, t) for c, t in zip(columns, (
+                        pa.int64(), pa.int32(), pa.int64(), pa.int64(), pa.binary()))],
+                    ["doc_id", "piece", "start", "length", "ids"])
+        finally:
+            encoder.forget()  # the worker lives on, and other steps need its memory
 
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").mapInArrow(
         run, "doc_id long, piece int, start long, length long, ids binary")
