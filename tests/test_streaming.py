@@ -4,6 +4,7 @@ import shutil
 
 from pyspark.sql import functions as F
 
+from veilscan.plans import queries
 from veilscan.streaming import scan as streams
 
 FINDING = "severity string, path string, rule_id string, secret_hash string, masked_value string"
@@ -81,3 +82,15 @@ def test_repeated_stream_has_two_batches_of_many_tasks(spark, tmp_path):
         "checkpointLocation", f"{tmp_path}/checkpoint").foreachBatch(
         lambda batch, _: seen.append((batch.count(), batch.rdd.getNumPartitions()))).start().awaitTermination()
     assert [rows for rows, _ in seen] == [400, 400] and all(tasks > 1 for _, tasks in seen)
+
+
+def test_a_stream_leaves_out_the_findings_of_its_baseline(spark, tmp_path):
+    """The baseline's table has fewer splits than there are cores; keys are repeated and missing."""
+    spark.createDataFrame([(k,) for k in [*range(40), 7, 7, 10, None]], "o_orderkey bigint").coalesce(1).write.parquet(
+        str(tmp_path / "rows"))
+    next((tmp_path / "rows").glob("*.parquet")).rename(tmp_path / "orders.parquet")
+    found = queries.stream_active_findings(spark, str(tmp_path))
+    active = queries.baseline_active(spark, str(tmp_path))
+    rows = sorted(found.collect())
+    assert rows and rows == sorted(active.collect())
+    assert {r.line % 2 for r in rows} == {1}
