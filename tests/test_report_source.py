@@ -4,6 +4,7 @@ import xml.etree.ElementTree as ET
 import pytest
 from pyspark.sql import functions as F
 
+from veilscan.plans import queries
 from veilscan.sinks import report_source as S
 
 
@@ -67,3 +68,15 @@ def test_failed_reports_leave_the_last_one(spark, tmp_path):
     assert _documents(tmp_path / "r") == before and S.read_manifest(path)["findings"] == 50
     with pytest.raises(ValueError):
         S.save_report(_found(spark, 1), path, "pdf")
+
+
+def test_suites_are_read_once_whatever_their_cases(spark, tmp_path):
+    """The number that a suite states is taken from it before its cases become rows."""
+    S.save_report(_found(spark, 300, files=2), str(tmp_path / "r"), "junit", findings_per_file=100)
+    read = queries._read_junit(spark.read.text(str(tmp_path / "r"), wholetext=True))
+    plan = read._jdf.queryExecution().optimizedPlan().toString()
+    cases = plan.index("Generate explode(arrays_zip")
+    assert plan.index('tests="') > cases
+    rows = read.collect()
+    assert len(rows) == 300 and {r.detail for r in rows} == {"150"} and {r.rule_id for r in rows} == {"jwt"}
+    assert sorted(r.line for r in rows) == list(range(300))
