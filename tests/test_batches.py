@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from veilscan.functions import text as T
 from veilscan.functions.regex import any_character, match_spans
 from veilscan.operators import screen as S
+from veilscan.operators.blocks import scan_blocks
 from veilscan.operators.match import find_matches, keyword_candidates
 from veilscan.operators.segments import _with_decoded
 from veilscan.plans.scan import scan_lines
@@ -120,3 +121,30 @@ def test_classes_of_all_characters():
     assert any_character(r"a[\s\S]*?b[\S-\s]") == r"a(?s:.)*?b(?s:.)"
     for other in (r"[^\s\S]", r"\[\s\S]", r"[\s]\S[ab]", r"[\sa-z]", r"[\S&&\s]"):
         assert any_character(other) == other
+
+
+def test_long_texts_go_to_the_workers_in_short_batches(spark, rules):
+    """By the scan's own setting, if none is set; texts of any length stay whole."""
+    @F.arrow_udf("int")
+    def together(text: pa.Array) -> pa.Array:
+        return pa.array([len(text)] * len(text), pa.int32())
+
+    before = spark.conf.get(S._BATCH_SETTING, None)
+    try:
+        spark.conf.unset(S._BATCH_SETTING)
+        df = spark.range(100, numPartitions=1).select(
+            F.lit("a").alias("path"), "id", F.repeat(F.lit("x "), 50_000).alias("content"))
+        assert df.agg(F.max(together("content"))).head()[0] > 50
+        for scan in (lambda: scan_blocks(df, rules), lambda: scan_lines(df.selectExpr("path", "id line", "content text"), rules)):
+            spark.conf.unset(S._BATCH_SETTING)
+            scan()
+            assert spark.conf.get(S._BATCH_SETTING) == f"{S.BATCH_BYTES}b"
+        assert df.agg(F.max(together("content"))).head()[0] <= S.BATCH_BYTES // 100_000 + 1
+        assert df.select(F.length("content").alias("n"), together("content")).agg(F.min("n")).head()[0] == 100_000
+        spark.conf.set(S._BATCH_SETTING, "1m")
+        S.in_short_batches(df)
+        assert spark.conf.get(S._BATCH_SETTING) == "1m"
+    finally:
+        spark.conf.unset(S._BATCH_SETTING)
+        if before is not None:
+            spark.conf.set(S._BATCH_SETTING, before)
